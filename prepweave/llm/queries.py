@@ -2,27 +2,80 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
-from prepweave.llm import pii, secrets
+from prepweave.llm import fertility, language, lexicon_bpe, mixing, pii, secrets, warc
+from prepweave.llm.common import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public vocabulary file; VOCABULARIES may name another folder."""
+    return os.path.join(os.environ.get("VOCABULARIES", "/opt/tokenizers"), name)
+
+
+#: The rank file's splitting pattern, a fixed value that comes with it.
+RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model"), RANKS_PATTERN
+    return fertility.judge(_read(spark, sf_dir, "documents"), files)
+
+
 def op2_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op4_segmented_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc.round_trip(pages, shared_dir(spark, "warc"))
+
+
+def op5_block_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, _ = mixing.mix(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs, secrets.train(secrets.labelled_samples(docs))))
 
 
+#: Base32 from the hexadecimal digest: each five digits are four characters.
+OP4 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (
+  SELECT page_id, n, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(5 * (3 - i % 4) AS INT)) & 31 AS INT), 1)), '') AS payload_digest
+  FROM p
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = max(page_id) OVER (PARTITION BY payload_digest) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> max(page_id) OVER (PARTITION BY payload_digest) THEN max(page_id) OVER (PARTITION BY payload_digest) END AS refers_to
+FROM d
+"""
+
+
+def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.predict(docs, language.learn(docs))
+
+
+def op10_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    path = vocabulary("word_bpe_49k.json")
+    return lexicon_bpe.code(docs, path, lexicon_bpe.compile_lexicon(spark, lexicon_bpe.count_words(docs, path), path))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_information_pii, op6_markov_secrets)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op9_rank_order_language, op10_lexicon_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_segmented_warc": OP4}
