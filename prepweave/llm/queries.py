@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepweave.llm import fertility, language, lexicon_bpe, mixing, pii, secrets, warc
+from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, pii, secrets, warc
 from prepweave.llm.common import shared_dir
 
 
@@ -62,6 +62,10 @@ FROM d
 """
 
 
+def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.top_k(_read(spark, sf_dir, "embeddings"))
+
+
 def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language.predict(docs, language.learn(docs))
@@ -72,10 +76,23 @@ def op10_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary("word_bpe_49k.json")
     return lexicon_bpe.code(docs, path, lexicon_bpe.compile_lexicon(spark, lexicon_bpe.count_words(docs, path), path))
 
+OP8 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM (SELECT * FROM v WHERE vec_id % 50 = 0) q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op9_rank_order_language, op10_lexicon_bpe)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_segmented_warc": OP4}
+    return {"op4_segmented_warc": OP4, "op8_voronoi_knn": OP8}
