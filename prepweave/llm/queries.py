@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, pii, secrets, warc
+from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, secrets, warc
 from prepweave.llm.common import shared_dir
 
 
@@ -62,6 +62,10 @@ FROM d
 """
 
 
+def op7_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.top_k(_read(spark, sf_dir, "embeddings"))
 
@@ -91,7 +95,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
