@@ -134,3 +134,17 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text",
     picked = docs.select(F.col(key).alias(key), held_out(key).alias("held_out"), F.col(text).alias("text"))
     kind = dict(picked.dtypes)[key]
     return picked.mapInArrow(run, f"{key} {kind}, held_out boolean, lang_pred string, score double")
+
+
+def assign(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", lang: str = "lang", size: int = 400) -> DataFrame:
+    """The documents with `lang` replaced by the predicted language (see predict()); the other columns stay as they are."""
+    schema = docs.schema
+    place, target = schema.names.index(text), schema.names.index(lang)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = Profiles(profiles, size)
+        for batch in batches:
+            found = pa.array([tool.predict(t.as_py())[0] for t in batch.column(place)], pa.string())
+            yield batch.set_column(target, lang, found)
+
+    return docs.mapInArrow(run, schema)
