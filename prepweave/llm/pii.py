@@ -93,8 +93,9 @@ def disclosing_terms(docs: DataFrame, text: str = "text", window: int = 60, supp
     contexts = each_text.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
     candidates = written(contexts, "candidates")
     words = small(candidates.select("term").distinct(), 100_000)
-    # both counts take a document as often as it stands in the corpus
-    n_term = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")).join(words, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # both counts take a document as often as it stands in the corpus; terms are counted before they meet the candidates,
+    # of which common words are the most frequent by far
+    n_term = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(words, "term", "left_semi")
     beside = found.select(F.xxhash64("__text").alias("in_text")).groupBy("in_text").agg(F.count("*").alias("copies"))
     n_both = mentions.join(candidates.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "in_text").distinct().join(beside, "in_text").groupBy("entity", "term").agg(F.sum("copies").alias("n_both"))
     joined = n_both.join(entities, "entity").join(n_term, "term")

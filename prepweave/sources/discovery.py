@@ -1,0 +1,307 @@
+"""Finding tables in a grid: regions, headers, types, profiles and the kind of each row.
+
+Regions and profiles are computed by Spark over all rows; headers are scored on a few rows at a region's top.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass, field, replace
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from prepweave.errors import PlanError
+from prepweave.functions import text
+from prepweave.sources.grid import ROW, cells
+
+BUCKET = 100_000
+REGION_LIMIT = 10_000
+#: Weights of the header score, words that mark rows.
+WEIGHTS = {"density": 0.35, "unique": 0.30, "text": 0.25, "next": 0.10}
+LEAST_SINGLE, LEAST_LEVELS = 0.35, 0.5
+TOTALS = r"^(grand|overall|report)\s+total\b|^total$"
+SUBTOTALS = r"\bsub\s*-?\s*total\b"
+FOOTERS = r"^(generated|printed|exported|created)\s+(by|on|at)\b"
+SIGNATURES = r"^(approved|authorised|authorized|signed|prepared|checked|verified)\s+by\b|\bsignature\b"
+NOTES = r"^(note|notes|remark|remarks|disclaimer|source)\b\s*:?"
+
+
+@dataclass(frozen=True)
+class Overrides:
+    sheet_name: str | None = None
+    header_rows: tuple[int, ...] = ()
+    table_id: str | None = None
+    header_search_depth: int = 25
+    preview_rows: int = 25
+    profile_sample_rows: int = 10_000
+    max_header_levels: int = 3
+    header_flattening_separator: str = "."
+
+    def __post_init__(self):
+        rows = self.header_rows
+        if rows and (len(rows) > 3 or rows[0] < 1 or list(rows) != list(range(rows[0], rows[0] + len(rows)))):
+            raise PlanError("HEADER_ROWS_INVALID")
+
+
+@dataclass(frozen=True)
+class Region:
+    """Bounds from 1, both included."""
+
+    first_row: int
+    last_row: int
+    first_column: int
+    last_column: int
+
+    @property
+    def table_id(self) -> str:
+        return f"r{self.first_row}-{self.last_row}c{self.first_column}-{self.last_column}"
+
+
+@dataclass(frozen=True)
+class Header:
+    rows: tuple[int, ...]
+    labels: tuple[str, ...]
+    confidence: float
+
+
+@dataclass
+class Table:
+    region: Region
+    header: Header | None
+    candidates: list[Header] = field(default_factory=list)
+    warnings: list[str] = field(default_factory=list)
+
+
+def blank(c: Column) -> Column:
+    return text.is_blank(c)
+
+
+def running(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the running sum of a value over the rows' numbers: in buckets of rows, then over the buckets."""
+    df = df.withColumn("__v", value.cast("long")).withColumn("__bucket", F.floor(F.col(ROW) / BUCKET))
+    sums = df.groupBy("__bucket").agg(F.sum("__v").alias("__s"))
+    bases = sums.select(F.col("__bucket"), (F.sum("__s").over(W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, 0)) - F.col("__s")).alias("__base"))
+    inside = df.withColumn("__in", F.sum("__v").over(W.partitionBy("__bucket").orderBy(ROW).rowsBetween(W.unboundedPreceding, 0)))
+    return inside.join(bases, "__bucket").withColumn(name, F.col("__in") + F.col("__base")).drop("__v", "__bucket", "__in", "__base")
+
+
+def regions(grid: DataFrame) -> list[Region]:
+    """Rectangles of cells: blocks of rows between blank rows, cut at columns that are blank in the whole block."""
+    names = cells(grid)
+    flags = grid.select(ROW, *[(~blank(F.col(c))).alias(c) for c in names])
+    any_cell = reduce(lambda a, b: a | b, [F.col(c) for c in names])
+    islands = running(flags.withColumn("__any", any_cell), (~F.col("__any")).cast("int"), "__island").filter("__any")
+    used = [F.min(F.when(F.col(c), F.col(ROW))).alias(f"lo{c}") for c in names] + [F.max(F.when(F.col(c), F.col(ROW))).alias(f"hi{c}") for c in names]
+    blocks = islands.groupBy("__island").agg(*used).orderBy("__island").limit(REGION_LIMIT + 1).collect()  # one row a block
+    if len(blocks) > REGION_LIMIT:
+        raise PlanError("DISCOVERY_TOO_MANY_REGIONS", str(REGION_LIMIT))
+    out = []
+    for b in blocks:
+        run: list[int] = []
+        for i in range(len(names) + 1):
+            full = i < len(names) and b[f"lo{names[i]}"] is not None
+            if full:
+                run.append(i)
+            elif run:
+                low = min(b[f"lo{names[j]}"] for j in run)
+                high = max(b[f"hi{names[j]}"] for j in run)
+                out.append(Region(low, high, run[0] + 1, run[-1] + 1))
+                run = []
+    return out
+
+
+def _filled(row: list[str]) -> list[str]:
+    return [c.strip() for c in row if c and c.strip()]
+
+
+def _is_number(cell: str) -> bool:
+    try:
+        float(cell.replace(",", "").rstrip("%"))
+        return True
+    except ValueError:
+        return False
+
+
+def header_score(row: list[str], following: list[str] | None) -> float:
+    """How much a row looks like labels: filled, different, textual, above a filled row; below two cells it is 0."""
+    filled = _filled(row)
+    if len(filled) < 2:
+        return 0.0
+    width = len(row)
+    next_density = len(_filled(following)) / width if following else 0.0
+    shares = {"density": len(filled) / width, "unique": len({c.casefold() for c in filled}) / len(filled), "text": sum(not _is_number(c) for c in filled) / len(filled), "next": next_density}
+    return sum(WEIGHTS[k] * v for k, v in shares.items())
+
+
+def flatten(levels: list[list[str]], separator: str = ".") -> tuple[str, ...]:
+    """Labels of several header rows: parents carry on to the right, equal neighbours in a path count once, repeated
+    labels get numbers, empty ones a name by place."""
+    rows = []
+    for depth, level in enumerate(levels):
+        cellsx = [(c or "").strip() for c in level]
+        if depth < len(levels) - 1:
+            last = ""
+            for i, c in enumerate(cellsx):
+                last = c or last
+                cellsx[i] = last
+        rows.append(cellsx)
+    seen: dict[str, int] = {}
+    out = []
+    for i, path in enumerate(zip(*rows), 1):
+        kept: list[str] = []
+        for part in path:
+            if part and (not kept or kept[-1].casefold() != part.casefold()):
+                kept.append(part)
+        label = separator.join(kept) or f"unnamed_{i}"
+        n = seen[label.casefold()] = seen.get(label.casefold(), 0) + 1
+        out.append(label if n == 1 else f"{label}_{n}")
+    return tuple(out)
+
+
+def header_candidates(top: list[tuple[int, list[str]]], overrides: Overrides) -> list[Header]:
+    """The best header rows among a region's first rows. Several levels count only if an upper one groups columns."""
+    found = []
+    rows = top[: overrides.header_search_depth]
+    for i, (number, row) in enumerate(rows):
+        score = header_score(row, top[i + 1][1] if i + 1 < len(top) else None)
+        if score >= LEAST_SINGLE:
+            found.append(Header((number,), flatten([row]), score))
+        for levels in range(2, overrides.max_header_levels + 1):
+            block = top[i : i + levels]
+            if len(block) < levels or i + levels > len(rows) + levels - 1:
+                break
+            parents = [_filled(r) for _, r in block[:-1]]
+            grouping = all(p for p in parents) and any(len(p) < len(r) or len({c.casefold() for c in p}) < len(p) for p, (_, r) in zip(parents, block))
+            base = block[-1][1]
+            own = header_score(base, top[i + levels][1] if i + levels < len(top) else None)
+            labels = flatten([r for _, r in block], overrides.header_flattening_separator)
+            unique = len({x.casefold() for x in labels}) / max(1, len(labels))
+            if grouping and own >= LEAST_LEVELS:
+                found.append(Header(tuple(n for n, _ in block), labels, min(1.0, own + 0.08 * (levels - 1) + 0.08 * unique)))
+    return sorted(found, key=lambda h: (-h.confidence, h.rows[0], len(h.rows)))[:12]
+
+
+def discover(grid: DataFrame, overrides: Overrides = Overrides()) -> list[Table]:
+    """The tables of a grid, each with its header."""
+    found = regions(grid)
+    if overrides.table_id:
+        found = [r for r in found if r.table_id == overrides.table_id]
+        if not found:
+            raise PlanError("TABLE_NOT_FOUND", overrides.table_id)
+    names, depth = cells(grid), overrides.header_search_depth + overrides.max_header_levels
+    wanted = reduce(lambda a, b: a | b, [F.col(ROW).between(r.first_row, min(r.last_row, r.first_row + depth - 1)) for r in found[:100]], F.lit(False))
+    top = {r[ROW]: [r[c] or "" for c in names] for r in grid.filter(wanted).collect()}  # the first rows of a region
+    out = []
+    for r in found:
+        rows = [(n, top[n][r.first_column - 1 : r.last_column]) for n in range(r.first_row, min(r.last_row, r.first_row + depth - 1) + 1) if n in top]
+        candidates = header_candidates(rows, overrides)
+        chosen, warnings = (candidates[0] if candidates else None), []
+        if overrides.header_rows:
+            if not all(r.first_row <= n <= r.last_row for n in overrides.header_rows):
+                if overrides.table_id or len(found) == 1:
+                    raise PlanError("HEADER_OVERRIDE_OUTSIDE_TABLE", str(overrides.header_rows))
+            else:
+                given = [dict(rows)[n] for n in overrides.header_rows]
+                chosen = Header(tuple(overrides.header_rows), flatten(given, overrides.header_flattening_separator), 1.0)
+        elif len(candidates) > 1 and candidates[0].confidence - candidates[1].confidence < 0.08:
+            warnings.append("AMBIGUOUS_HEADER")
+        if (r.last_row - r.first_row + 1) * (r.last_column - r.first_column + 1) > 5_000_000:
+            warnings.append("LARGE_TABLE")
+        out.append(Table(r, chosen, candidates, warnings))
+    return out
+
+
+def choose(tables: list[Table], strategy: str = "first_visible", table_id: str | None = None) -> Table:
+    if table_id:
+        found = [t for t in tables if t.region.table_id == table_id]
+    elif strategy == "largest":
+        found = sorted(tables, key=lambda t: (-(t.region.last_row - t.region.first_row), -(t.region.last_column - t.region.first_column)))
+    else:
+        found = tables
+    if not found:
+        raise PlanError("TABLE_NOT_FOUND", table_id or strategy)
+    return found[0]
+
+
+def read_table(grid: DataFrame, table: Table) -> DataFrame:
+    """The rows below a table's header, trimmed, empty text for nothing, with __row_id from 1 below the header. Repeated
+    headers, totals and footers stay in the data; classify() names them."""
+    r = table.region
+    start = max(table.header.rows) if table.header else r.first_row - 1
+    labels = table.header.labels if table.header else tuple(f"unnamed_{i + 1}" for i in range(r.last_column - r.first_column + 1))
+    picked = grid.filter(F.col(ROW).between(start + 1, r.last_row))
+    columns = [text.trim(F.coalesce(F.col(f"_c{r.first_column - 1 + i}"), F.lit(""))).alias(n) for i, n in enumerate(labels)]
+    return picked.select((F.col(ROW) - start).cast("long").alias("__row_id"), *columns)
+
+
+def classify(table: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """Adds __row_class and __row_confidence: repeated headers, totals, footers, signatures, notes, else data."""
+    names = [c for c in table.columns if not c.startswith("__")]
+    words = F.lower(text.normalise_spaces(F.concat_ws(" ", *[F.col(f"`{c}`") for c in names])))
+    repeated = reduce(lambda a, b: a & b, [F.lower(F.col(f"`{c}`")) == label.lower() for c, label in zip(names, labels)], F.lit(True))
+    kinds = [("repeated_header", 1.0, repeated), ("grand_total", 0.98, words.rlike(TOTALS) & ~words.rlike(SUBTOTALS)), ("subtotal", 0.95, words.rlike(SUBTOTALS)), ("generated_footer", 0.94, words.rlike(FOOTERS)), ("signature", 0.9, words.rlike(SIGNATURES)), ("note", 0.9, words.rlike(NOTES))]
+    kind, confidence = F.lit("data"), F.lit(1.0)
+    for name, sure, test in reversed(kinds):
+        kind, confidence = F.when(test, name).otherwise(kind), F.when(test, sure).otherwise(confidence)
+    return table.withColumns({"__row_class": kind, "__row_confidence": confidence})
+
+
+#: Texts that stand for nothing when types are inferred.
+NULL_LIKE = ["", "null", "none", "n/a", "na", "-"]
+
+
+def profile(table: DataFrame) -> DataFrame:
+    """A row per column: inferred type, share of nulls, different values, repeated values, least and greatest length.
+
+    Everything but the different values is one aggregation over all rows; those are counted from (column, value) pairs,
+    which combine before the shuffle.
+    """
+    names = [c for c in table.columns if not c.startswith("__")]
+    long = table.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(names)])).alias("x")).select("x.*")
+    v = text.trim(F.coalesce("value", F.lit("")))
+    none = F.lower(v).isin(NULL_LIKE)
+    is_ = lambda pattern: v.rlike(pattern)
+    counted = long.groupBy("position", "column", "value").agg(F.count("*").alias("n"))
+    facts = counted.withColumns({
+        "none": none,
+        "whole": ~none & is_(r"^[+-]?(0|[1-9]\d*)$"),
+        "zeros": ~none & is_(r"^[+-]?0\d+$"),
+        "number": ~none & is_(r"^[+-]?(\d+|\d{1,3}(,\d{3})+)(\.\d+)?$"),
+        "day": ~none & is_(r"^\d{4}-\d{2}-\d{2}$"),
+        "slashed": ~none & is_(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}$"),
+        "flag": ~none & F.lower(v).isin("true", "false", "yes", "no"),
+    })
+    n = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0))
+    out = facts.groupBy("position", "column").agg(F.sum("n").alias("rows"), n("none").alias("nulls"), F.count_if(~F.col("none")).alias("unique_count"), F.sum(F.when(~F.col("none"), F.col("n") - 1)).alias("repeats"), *[n(c).alias(c) for c in ("whole", "zeros", "number", "day", "slashed", "flag")])
+    full = F.col("rows") - F.col("nulls")
+    kind = F.when((full == 0) | (F.col("zeros") > 0), "text").when(F.col("whole") == full, "integer").when(F.col("number") == full, "decimal").when(F.col("day") == full, "date").when(F.col("flag") == full, "boolean").otherwise("text")
+    mixed = (kind == "text") & (F.col("zeros") == 0) & (F.col("number") > 0) & (F.col("number") < full)
+    warnings = F.array_compact(F.array(F.when(F.col("slashed") > 0, "AMBIGUOUS_DATES"), F.when(mixed, "MIXED_TYPES")))
+    return out.select("position", "column", kind.alias("data_type"), "rows", (F.col("nulls") / F.col("rows") * 100).alias("null_percentage"), "unique_count", F.coalesce("repeats", F.lit(0)).alias("duplicate_count"), ((F.col("unique_count") == full) & (full > 0)).alias("key_candidate"), warnings.alias("warnings"))
+
+
+#: Parts of labels that tell a column's role.
+ROLES = {"identifier": ("id", "code", "number", "no", "key"), "name": ("name", "description", "title"), "date": ("date", "day", "month", "year", "period"), "amount": ("amount", "price", "value", "total", "cost", "revenue"), "quantity": ("quantity", "qty", "hours", "count", "units"), "status": ("status", "state", "flag"), "percentage": ("percent", "rate", "%")}
+
+
+def roles(label: str, data_type: str) -> list[str]:
+    """Roles by parts of the label and by type."""
+    low = label.casefold()
+    found = [role for role, parts in ROLES.items() if any(p in low for p in parts)]
+    if data_type == "date" and "date" not in found:
+        found.append("date")
+    if data_type == "decimal" and not {"amount", "quantity", "percentage"} & set(found):
+        found.append("measure")
+    return found
+
+
+def memory_risk(file_bytes: int, rows: int, columns: int, available: int) -> str:
+    """low, warning or block, by an estimate of a single machine's memory; advice only, as Spark spills."""
+    share = max(3 * file_bytes, 24 * rows * columns) / max(1, available)
+    return "block" if share > 0.8 else "warning" if share > 0.4 else "low"
+
+
+def with_sheet(overrides: Overrides, sheet: str) -> Overrides:
+    return replace(overrides, sheet_name=sheet)
