@@ -260,8 +260,8 @@ SELECT c_custkey, c_mktsegment, c_nationkey, CAST(c_nationkey AS VARCHAR) AS __s
 
 
 def _op(name, column="c_name", **config):
-    raw = F.concat(F.lit(" \t"), F.regexp_replace("c_name", "#", "  o'"), F.lit(" "))
-    return lambda s, d: apply_operation(table(s, d, "customer").select("c_custkey", raw.alias("c_name")), Operation(name, {"field_id": "c_name", **config}))
+    raw = lambda: F.concat(F.lit(" \t"), F.regexp_replace("c_name", "#", "  o'"), F.lit(" "))
+    return lambda s, d: apply_operation(table(s, d, "customer").select("c_custkey", raw().alias("c_name")), Operation(name, {"field_id": "c_name", **config}))
 
 
 _raw = "' ' || chr(9) || replace(c_name, '#', '  o''') || chr(160)"
