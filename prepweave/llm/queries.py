@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, secrets, warc
+from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, secrets, site_quality, warc
 from prepweave.llm.common import shared_dir
 
 
@@ -32,6 +32,12 @@ def op2_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(_read(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op3_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table names a document's host by its source and has no path, for which lang stands."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return site_quality.classify(docs, site_quality.learn(docs, _read(spark, sf_dir, "labels")))
+
+
 def op4_segmented_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.round_trip(pages, shared_dir(spark, "warc"))
@@ -95,7 +101,7 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op3_site_quality, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
