@@ -2,20 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from collections import Counter
+from collections.abc import Iterator
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from prepweave.llm.common import small, written
 from prepweave.llm.language import held_out
 
 #: Symbols whose share of a text is a feature of its own each.
 SYMBOLS = "#*$%&|<>!"
-#: Every document's word list holds this one, so that a vocabulary is never empty.
-ANY = "\0"
+#: A word also counts by its first letters, since many languages put words together.
+PREFIX = 5
+LETTERS = regex.compile(r"\p{L}+")
+SHAPES = len(SYMBOLS) + 7
 #: A prior never weighs more than so many documents; reached where sites do not differ.
 MOST_PRIOR = 1e6
 EDGE = 1e-6
@@ -27,84 +33,141 @@ def site_levels(df: DataFrame, url: str, host: str = "host", path: str = "path")
     return df.withColumn(path, F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]*)", 1))
 
 
-def _share(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
-
-
-def features(docs: DataFrame, text: str) -> DataFrame:
-    """Adds __words (different lower-case words) and __shape (shares of kinds of characters, of repeated words and lines)."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    docs = docs.withColumn("__all", F.filter(F.split(F.lower(t), r"[^\p{L}]+"), lambda w: w != ""))
-    docs = docs.withColumn("__lines", F.filter(F.split(t, "\n"), lambda x: F.trim(x) != ""))
-    words = F.array_distinct(F.col("__all"))
-    repeated = lambda all_, some: 1 - F.size(some) / F.greatest(F.size(all_), F.lit(1))
-    shape = [
-        *[_share(t, rf"\Q{c}\E") for c in SYMBOLS],
-        _share(t, r"\p{Lu}"),
-        _share(t, r"\p{N}"),
-        _share(t, r"[^\p{L}\p{N}\s]"),
-        repeated("__all", words),
-        repeated("__lines", F.array_distinct("__lines")),
-        F.log1p(F.size("__all").cast("double")),
-        F.length(t) / F.greatest(F.size("__all"), F.lit(1)),
-    ]
-    docs = docs.withColumn("__shape", F.array(*[x.cast("double") for x in shape]))
-    return docs.withColumn("__words", F.concat(words, F.array(F.lit(ANY)))).drop("__all", "__lines")
-
+@lru_cache(1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 upper-case letter, 2 other letter, 3 digit, 4 white space, 0 other."""
+    kinds = np.zeros(0x110000, np.uint8)
+    for i in range(0x110000):
+        c = chr(i)
+        kinds[i] = 1 if c.isupper() else 2 if c.isalpha() else 3 if c.isdigit() else 4 if c.isspace() else 0
+    return kinds
 
-def _vectors(df: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
 
-    return df.withColumn("__shaped", array_to_vector("__shape"))
+def describe(text: str) -> tuple[set[str], list[float]]:
+    """The different words of a text with their prefixes, and its shape: shares of symbols and of kinds of characters, of
+    repeated words and lines, word length, and the number of words on a log scale."""
+    words = LETTERS.findall(text.lower())
+    some, n = set(words), max(1, len(text))
+    lines = [x for x in text.split("\n") if x.strip()]
+    kinds = np.bincount(_kinds()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)], minlength=5) / n
+    shape = [text.count(c) / n for c in SYMBOLS]
+    shape += [kinds[1], kinds[3], kinds[0], 1 - len(some) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), np.log1p(len(words)), min(50.0, n / max(1, len(words)))]
+    return some | {w[:PREFIX] + "*" for w in some if len(w) > PREFIX}, shape
 
 
 class Evidence:
-    """Models of one or more labels; a label without rows of both classes has a constant chance."""
+    """Logistic models over words and shape. A label without rows of both classes has a constant chance."""
 
-    def __init__(self, words: PipelineModel | None, models: dict, shares: dict[str, float]):
-        self.words, self.models, self.shares = words, models, shares
-
-    def apply(self, docs: DataFrame, text: str) -> DataFrame:
-        """Adds p_<label> for each label and __empty (the text has no word)."""
-        df = features(docs, text)
-        df = df.withColumn("__empty", F.size("__words") <= 1)
-        if self.words:
-            df = self.words.transform(_vectors(df))
-        for label, model in self.models.items():
-            df = model.transform(df).withColumn(f"p_{label}", vector_to_array("__p")[1]).drop("__p", "__raw", "__prediction")
-        for label, share in self.shares.items():
-            df = df.withColumn(f"p_{label}", F.lit(share))
-        return df.drop("__words", "__shape", "__shaped", "__counts", "__features")
+    def __init__(self, labels: tuple[str, ...], words: list[str], centre: np.ndarray, scale: np.ndarray, weights: np.ndarray, bias: np.ndarray):
+        self.labels, self.centre, self.scale, self.bias = labels, centre, scale, bias
+        self.shape_weights = weights[:SHAPES]
+        self.by_word = {w: x for w, x in zip(words, weights[SHAPES:])}
 
+    def chances(self, text: str) -> list[float]:
+        words, shape = describe(text)
+        z = self.bias + ((np.array(shape) - self.centre) / self.scale) @ self.shape_weights
+        for w in words:
+            if (x := self.by_word.get(w)) is not None:
+                z = z + x
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
-def learn(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), text: str = "text", key: str = "doc_id", rows: int = 20_000, vocabulary: int = 20_000, least_docs: int = 8) -> Evidence:
-    """Logistic regressions over words and shape, one for each column of labels.
+    def apply(self, docs: DataFrame, text: str) -> DataFrame:
+        """The documents with p_<label> for each label and __empty (the text has no word) in place of the text."""
+        kept = [f for f in docs.schema.fields if f.name != text]
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + "".join(f", p_{c} double" for c in self.labels) + ", __empty boolean"
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [t.as_py() or "" for t in batch.column(len(kept))]
+                found = list(zip(*[self.chances(t) for t in texts])) or [()] * len(self.labels)
+                arrays = [batch.column(i) for i in range(len(kept))] + [pa.array(c, pa.float64()) for c in found] + [pa.array([not LETTERS.search(t) for t in texts], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + [f"p_{c}" for c in self.labels] + ["__empty"])
+
+        return docs.select(*[F.col(f.name) for f in kept], F.col(text)).mapInArrow(run, kinds)
+
+
+def _fit(x: np.ndarray, y: np.ndarray, penalty: float, rounds: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression with a squared penalty, by accelerated gradient steps."""
+    x = np.column_stack((x, np.ones(len(x), np.float32)))
+    w = last = np.zeros(x.shape[1], np.float32)
+    ridge = np.full(x.shape[1], penalty, np.float32)
+    ridge[-1] = 0
+    v = np.ones(x.shape[1], np.float32)
+    for _ in range(20):  # the largest curvature, for the length of a step
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v)
+    step = 1 / (0.25 * np.linalg.norm(x @ v) ** 2 / len(x) + penalty)
+    for i in range(rounds):
+        at = w + (i / (i + 3)) * (w - last)
+        slope = x.T @ (1 / (1 + np.exp(-np.clip(x @ at, -30, 30))) - y) / len(x) + ridge * at
+        last, w = w, at - step * slope
+    return w[:-1], float(w[-1])
+
+
+def learn(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quality", "toxic"), text: str = "text", key: str = "doc_id", rows: int = 8_000, words: int = 600, least_docs: int = 5, penalty: float = 3e-4) -> Evidence:
+    """Logistic models over words and shape, one for each column of labels.
 
     At most about `rows` labelled documents that are not held out are used, by a hash of the key (the documented bound
-    of the labelled sample), and of them the `vocabulary` words that most documents hold. A key labelled twice has the
-    largest label. Null labels count as absent; without rows of both classes a label's chance is its smoothed share.
+    of the labelled sample), and for each label the `words` words or prefixes, held by least_docs of them, whose shares
+    differ most between its classes. A key labelled twice has the largest label. Null labels count as absent; without
+    rows of both classes a label's chance is its smoothed share.
     """
-    marked = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(*[F.max(F.col(c).cast("double")).alias(f"__y_{c}") for c in targets])
+    marked = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"__y_{c}") for c in targets])
     marked = written(marked.filter(~held_out("__k")), "labels")
     share = rows / max(rows, marked.count())
     picked = written(marked.filter(F.pmod(F.xxhash64(F.lit("sample"), "__k"), F.lit(1_000_000)) < F.lit(share * 1_000_000)), "picked")
-    used = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(small(picked, 2 * rows), "__k")
-    sample = written(features(used, "__t").drop("__t").repartition(16), "sample")
-    counts = sample.agg(F.count("*").alias("n"), *[F.count(f"__y_{c}").alias(f"n_{c}") for c in targets], *[F.coalesce(F.sum((F.col(f"__y_{c}") > 0).cast("int")), F.lit(0)).alias(f"y_{c}") for c in targets]).first()
-    both = [c for c in targets if 0 < counts[f"y_{c}"] < counts[f"n_{c}"]]
-    shares = {c: (counts[f"y_{c}"] + 1) / (counts[f"n_{c}"] + 2) for c in targets if c not in both}
-    if not both:
-        return Evidence(None, {}, shares)
-    counter = CountVectorizer(inputCol="__words", outputCol="__counts", vocabSize=vocabulary, minDF=float(min(least_docs, counts["n"])), binary=True)
-    words = Pipeline(stages=[counter, VectorAssembler(inputCols=["__shaped", "__counts"], outputCol="__features")]).fit(_vectors(sample))
-    ready = words.transform(_vectors(sample))
-    models = {}
-    for c in both:
-        known = ready.filter(F.col(f"__y_{c}").isNotNull()).withColumn("__y", (F.col(f"__y_{c}") > 0).cast("double"))
-        # elastic net: a few words and shapes decide, the many rare words get no weight
-        fit = LogisticRegression(featuresCol="__features", labelCol="__y", probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__prediction", maxIter=80, regParam=0.002, elasticNetParam=0.9)
-        models[c] = fit.fit(known)
-    return Evidence(words, models, shares)
+    ys = [f"__y_{c}" for c in targets]
+    used = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t")).join(small(picked, 2 * rows), "__k")
+    sample = written(used.select("__t", *ys), "sample")
+    counts = sample.agg(*[F.count(y).alias(f"n{y}") for y in ys], *[F.coalesce(F.sum(y), F.lit(0)).alias(y) for y in ys]).first()
+    both = [i for i, y in enumerate(ys) if 0 < counts[y] < counts[f"n{y}"]]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = {(i, y): Counter() for i in both for y in (0, 1)}
+            for t, *marks in zip(*[batch.column(i).to_pylist() for i in range(1 + len(ys))]):
+                held = describe(t)[0]
+                for i in both:
+                    if marks[i] is not None:
+                        found[i, marks[i]].update(held)
+            for (i, y), c in found.items():
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array([n * (1 - y) for n in c.values()], pa.int64()), pa.array([n * y for n in c.values()], pa.int64())], names=["label", "word", "no", "yes"])
+
+    chosen: list[str] = []
+    if both:
+        n = {i: (counts[f"n{ys[i]}"] - counts[ys[i]], counts[ys[i]]) for i in both}
+        table = sample.mapInArrow(count, "label int, word string, no long, yes long").groupBy("label", "word").agg(F.sum("no").alias("no"), F.sum("yes").alias("yes")).filter(F.col("no") + F.col("yes") >= least_docs)
+        of = lambda k: F.element_at(F.create_map(*[F.lit(x) for i in both for x in (i, float(n[i][k]))]), F.col("label"))
+        mean = (F.col("no") + F.col("yes")) / (of(0) + of(1))
+        z = F.abs(F.col("yes") / of(1) - F.col("no") / of(0)) / F.sqrt(mean * (1 - mean) * (1 / of(0) + 1 / of(1)) + EDGE)
+        best = table.withColumn("place", F.row_number().over(W.partitionBy("label").orderBy(z.desc(), "word"))).filter(F.col("place") <= words)
+        chosen = sorted({r["word"] for r in best.select("word").collect()})  # `words` rows a label
+    at = {w: i for i, w in enumerate(chosen)}
+
+    def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [describe(t.as_py()) for t in batch.column(0)]
+            places = [[at[w] for w in held if w in at] for held, _ in found]
+            yield pa.RecordBatch.from_arrays([pa.array([s for _, s in found], pa.list_(pa.float64())), pa.array(places, pa.list_(pa.int32())), *[batch.column(i) for i in range(1, 1 + len(ys))]], names=["shape", "places", *ys])
+
+    size = SHAPES + len(chosen)
+    weights, bias = np.zeros((size, len(targets))), np.zeros(len(targets))
+    centre, scale = np.zeros(SHAPES), np.ones(SHAPES)
+    for i, y in enumerate(ys):
+        p = (counts[y] + 1) / (counts[f"n{y}"] + 2)
+        bias[i] = np.log(p / (1 - p))
+    if both:
+        table = sample.mapInArrow(rows_of, "shape array<double>, places array<int>, " + ", ".join(f"{y} int" for y in ys)).toPandas()  # the bounded sample
+        shape = np.array(table["shape"].tolist())
+        centre, scale = shape.mean(axis=0), np.maximum(shape.std(axis=0), EDGE)
+        x = np.zeros((len(table), size), np.float32)
+        x[:, :SHAPES] = (shape - centre) / scale
+        for row, places in enumerate(table["places"]):
+            x[row, SHAPES + np.asarray(places, int)] = 1
+        for i in both:
+            known = table[ys[i]].notna().to_numpy()
+            weights[:, i], bias[i] = _fit(x[known], table[ys[i]][known].to_numpy(np.float32), penalty)
+    return Evidence(targets, chosen, centre, scale, weights, bias)
 
 
 def _logit(p: Column) -> Column:
@@ -162,7 +225,7 @@ def classify(docs: DataFrame, model: Evidence, host: str = "source", path: str =
     result; other columns are not read. With no labels to learn from both chances are their priors.
     """
     picked = docs.select(F.col(key).alias("__key"), F.col(text).alias("__body"), F.col(host).alias("__host"), F.col(path).alias("__path"))
-    df = written(model.apply(picked, "__body").drop("__body"), "evidence")
+    df = written(model.apply(picked, "__body"), "evidence")
     for p in ("p_quality", "p_toxic"):
         df = written(site_posteriors(df, p, "__host", "__path"), p)
     kept = ~F.col("__empty") & (F.col("p_quality") >= least_quality) & (F.col("p_toxic") < most_toxic)
