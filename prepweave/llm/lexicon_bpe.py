@@ -27,6 +27,8 @@ END = "</w>"
 MEMO = 200_000
 #: Words up to so many symbols are merged by plain search, longer ones with a heap.
 SHORT = 24
+#: The rank of a pair that is not joined.
+NONE = 1 << 60
 
 
 def byte_characters() -> dict[int, str]:
@@ -55,6 +57,9 @@ class Vocabulary:
 
     def words(self, piece: str) -> list[str]:
         """Normalises a piece of text without special tokens and splits it into words."""
+        if piece.isascii():
+            low = piece.lower()
+            return [low] if low.isalpha() else self.pattern.findall(low)
         text = self.blank.sub(" ", unicodedata.normalize("NFC", piece))
         # lower case is taken character by character, without the final form of sigma
         return self.pattern.findall(text.replace("Σ", "σ").lower())
@@ -66,11 +71,16 @@ class Vocabulary:
         ranks = self.ranks
         if len(symbols) > SHORT:
             return self._merge_long(symbols)
-        while len(symbols) > 1:
-            best, at = min((ranks.get(pair, 1 << 60), i) for i, pair in enumerate(zip(symbols, symbols[1:])))
-            if best == 1 << 60:
-                break
+        # ranks of adjacent pairs, kept up to date beside the symbols
+        near = [ranks.get(pair, NONE) for pair in zip(symbols, symbols[1:])]
+        while near and (best := min(near)) < NONE:
+            at = near.index(best)
             symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            del near[at]
+            if at:
+                near[at - 1] = ranks.get((symbols[at - 1], symbols[at]), NONE)
+            if at < len(near):
+                near[at] = ranks.get((symbols[at], symbols[at + 1]), NONE)
         return [self.ids[s] for s in symbols]
 
     def _merge_long(self, symbols: list[str]) -> list[int]:
