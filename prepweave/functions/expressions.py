@@ -194,8 +194,8 @@ def _substring(c: Column, start: Column, length: Column | None) -> Column:
 
 def _replace(c: Column, old: Column, new: Column) -> Column:
     """An empty search text matches before each character and at the end."""
-    around = F.concat(new, F.array_join(F.transform(F.split(c, ""), lambda x: F.concat(x, new)), ""))
-    return F.when(old == "", F.when(c == "", new).otherwise(around)).otherwise(F.replace(c, old, new))
+    each = F.regexp_replace(c, F.lit(r"(?s)(?=.)|$"), F.regexp_replace(new, r"([\\$])", r"\\$1"))
+    return F.when(old == "", each).otherwise(F.replace(c, old, new))
 
 
 def _call(name: str, a: list[Compiled], kind: str, today: dt.date) -> tuple[Column, Column | None]:

@@ -12,12 +12,15 @@ ROW = [("o'neil", "7", "2.5", "yes", "2026-01-31", None)]
 D = lambda x: Decimal(x)
 i = lambda x: lit(x, "integer")
 t = lambda x: lit(x, "text")
+# an empty literal is null, the empty text that a function makes is not
+EMPTY = fn("substring", t("x"), lit(5, "integer"))
 CASES = [
     (fn("add", i(2), i(3)), 5), (fn("subtract", i(2), i(3)), -1), (fn("multiply", lit("1.5", "decimal"), i(2)), D(3)), (fn("divide", i(10), i(4)), D("2.5")),
     (fn("percentage", i(1), i(8)), D("12.5")), (fn("absolute", i(-4)), 4), (fn("round", lit("3.145", "decimal"), i(2)), D("3.15")), (fn("minimum", i(2), i(3)), 2),
     (fn("maximum", i(2), lit("3.5", "decimal")), D("3.5")), (fn("concatenate", t("a"), fn("equal", i(1), i(1)), lit("2.50", "decimal")), "aTrue2.5"), (fn("length", fld("t")), 6),
     (fn("substring", t("abcdef"), i(1), i(3)), "bcd"), (fn("substring", t("abcdef"), i(-2)), "ef"), (fn("starts_with", fld("t"), t("o'")), True), (fn("ends_with", fld("t"), t("x")), False),
-    (fn("contains", fld("t"), t("nei")), True), (fn("replace", t("ab"), t(""), t("-")), "-a-b-"), (fn("replace", t("a.b"), t("."), t("")), "ab"), (fn("coalesce", fld("n"), t("z")), "z"),
+    (fn("contains", fld("t"), t("nei")), True), (fn("replace", t("ab"), t(""), t("-")), None), (fn("replace", t("a.b"), t("."), t("")), None),
+    (fn("replace", t("ab"), EMPTY, t("$")), "$a$b$"), (fn("replace", t("a.b"), t("."), EMPTY), "ab"), (fn("replace", EMPTY, EMPTY, t("-")), "-"), (fn("coalesce", fld("n"), t("z")), "z"),
     (fn("if", fn("equal", fld("n"), t("x")), i(1), i(2)), 2), (fn("and", fld("b"), fn("equal", fld("n"), t("x"))), None), (fn("or", fld("b"), fn("equal", i(1), i(2))), True), (fn("not", fld("b")), False),
     (fn("equal", i(2), lit("2.0", "decimal")), True), (fn("not_equal", t("a"), t("b")), True), (fn("greater_than", fld("i"), i(6)), True), (fn("less_than", fld("day"), lit("2026-02-01", "date")), True),
     (fn("is_null", fld("n")), True), (fn("is_null", t("")), True), (fn("is_not_null", fld("t")), True), (fn("in", fld("i"), i(7), i(8)), True), (fn("in", fld("t"), t("o'neil"), fld("n")), None),
