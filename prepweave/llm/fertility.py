@@ -10,6 +10,9 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from prepweave.llm.common import small, written
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -28,9 +31,13 @@ class Band:
 
 
 #: Parameters: characters per token of the byte-level vocabulary, share of bytes that the piece vocabulary spells by
-#: byte fallback, entropy of the tokens; by the script of most letters. Languages may have their own bands.
+#: byte fallback, entropy of the tokens; by the script of most letters. Languages may have their own bands. Strings of
+#: hex, base64 or random letters lie below latin's 1.8, digits and signs alone above other's 1.5. These limits hold for
+#: any table; fences() adds those of the table's own documents.
 BANDS = {
-    "latin": Band(1.2, 9.0, 0.10, 4.0),
+    "latin": Band(1.8, 7.0, 0.10, 4.0),
+    **dict.fromkeys(("cs", "sk", "hu", "pl"), Band(1.5, 7.0, 0.10, 4.0)),
+    "vi": Band(0.8, 7.0, 0.30, 4.0),
     "cyrillic": Band(0.4, 4.0, 0.10, 4.0),
     "greek": Band(0.4, 3.0, 0.20, 4.0),
     "arabic": Band(0.4, 3.0, 0.30, 4.0),
@@ -40,7 +47,7 @@ BANDS = {
     "hangul": Band(0.3, 3.0, 0.70, 3.5),
     "kana": Band(0.4, 3.0, 0.50, 3.5),
     "han": Band(0.3, 3.0, 0.60, 3.5),
-    "other": Band(0.2, 9.0, 1.00, 3.0),
+    "other": Band(0.2, 1.5, 0.97, 3.0),
 }
 #: Code point ranges of the scripts' blocks.
 SCRIPTS = {
@@ -139,16 +146,44 @@ SCHEMA = (
 )
 
 
-def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str, Band] = BANDS, text: str = "text", key: str = "doc_id", lang: str | None = None) -> DataFrame:
+#: Octaves of the number of tokens by which fences are grouped, as entropy grows with a text's length; longer texts
+#: share the last one.
+OCTAVES = 12
+#: A fence is never nearer to its quartile than reach times these: a share of the median, bits.
+LEAST_CHARS_SPREAD, LEAST_ENTROPY_SPREAD = 0.02, 0.1
+
+
+def fences(measured: DataFrame, reach: float) -> DataFrame:
+    """Limits from the documents themselves: name, octave, rows, low_chars, high_chars, low_entropy.
+
+    Grouped by language, and by script for documents without one or of a rare one, and by octave of the number of tokens.
+    A limit lies `reach` times the distance of the quartiles beyond the quartile, so it cuts no fixed share, and holds while
+    fewer than a quarter of a group is noise. Equal measures (copies) count once. Measures are rounded to thousandths, so
+    that the exact percentiles combine before the shuffle and hold few values a group.
+    """
+    names = F.array_compact(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script")))
+    one = measured.filter("kept").select(F.explode(names).alias("name"), "octave", "n_tokens", F.round("chars_per_token", 3).alias("chars"), F.round("token_entropy", 3).alias("bits")).distinct()
+    quarters = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
+    found = one.groupBy("name", "octave").agg(F.count("*").alias("rows"), quarters("chars"), quarters("bits"))
+    far = lambda c, least: reach * F.greatest(F.col(c)[2] - F.col(c)[0], least)
+    chars, bits = far("chars", LEAST_CHARS_SPREAD * F.col("chars")[1]), far("bits", F.lit(LEAST_ENTROPY_SPREAD))
+    return found.select("name", "octave", "rows", (F.col("chars")[0] - chars).alias("low_chars"), (F.col("chars")[2] + chars).alias("high_chars"), (F.col("bits")[0] - bits).alias("low_entropy"))
+
+
+def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str, Band] = BANDS, text: str = "text", key: str = "doc_id", lang: str | None = None, reach: float = 2.0, least_rows: int = 100) -> DataFrame:
     """Per document the base counts, the fertility measures and the verdict; SCHEMA's columns.
 
     vocabularies: paths of the rank file and of the piece file, and the rank file's splitting pattern; they must lie at
     the same place on all machines. A document is kept if it passes the base limits (20 words, at most 30 in 100 words
-    in repeated windows) and the band of its language (column `lang`, if bands has it) or else of its script. A null or
-    empty text has no words and is not kept; repeated rows are judged each for itself; an empty table gives an empty
-    result; columns other than those named are not read. No row is shuffled, and a task holds a batch of texts at a time.
+    in repeated windows), the band of its language (column `lang`, if bands has it) or else of its script, and the fences()
+    of its language and length, or of its script and length where fewer than least_rows different documents of the language
+    passed the others; where the script has not as many either, the band decides alone. A null or empty text has no words
+    and is not kept; repeated rows are judged each for itself; an empty table gives an empty result; columns other than
+    those named are not read. Texts are read once and not shuffled, and a task holds a batch of them at a time; the measures
+    are written below spark.checkpoint.dir.
     """
-    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]]) for c in SCHEMA.split(", ")])
+    out = SCHEMA + ", lang string, octave int"
+    schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]]) for c in out.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = Vocabularies(*vocabularies)
@@ -163,7 +198,7 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str,
                     failed = n < 20 or 100 * again > 30 * n
                     tokens, per, share, entropy, script = tools.measure(t)
                     band = bands.get(lg) or bands.get(script) or bands["other"]
-                    rows.append((k, n, len(t) - sum(t.count(c) for c in WHITE), sum(t.count(c) for c in SYMBOLS), duplicate_lines(t), again, failed, not failed and accepted(band, tokens, per, share, entropy), tokens, per, share, entropy, script))
+                    rows.append((k, n, len(t) - sum(t.count(c) for c in WHITE), sum(t.count(c) for c in SYMBOLS), duplicate_lines(t), again, failed, not failed and accepted(band, tokens, per, share, entropy), tokens, per, share, entropy, script, lg, min(OCTAVES, tokens.bit_length())))
                 held.clear()
 
             for k, lg, t in zip(keys, langs, texts):
@@ -177,7 +212,12 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str,
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    from pyspark.sql import functions as F
-
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
-    return picked.mapInArrow(run, SCHEMA)
+    measured = written(picked.mapInArrow(run, out), "measured")
+    limits = written(fences(measured, reach).filter(F.col("rows") >= least_rows), "fences")
+    own, other = (small(limits.select(F.col("name").alias(f"__{p}"), F.col("octave").alias(f"__{p}o"), F.struct("low_chars", "high_chars", "low_entropy").alias(f"__{p}f")), 100_000) for p in ("l", "s"))
+    df = measured.join(own, (F.concat(F.lit("lang:"), "lang") == F.col("__l")) & (F.col("octave") == F.col("__lo")), "left")
+    df = df.join(other, (F.concat(F.lit("script:"), "script") == F.col("__s")) & (F.col("octave") == F.col("__so")), "left")
+    fence = F.coalesce("__lf", "__sf")
+    inside = F.col("chars_per_token").between(fence["low_chars"], fence["high_chars"]) & (F.col("token_entropy") >= fence["low_entropy"])
+    return df.withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select(*[c.split()[0] for c in SCHEMA.split(", ")])

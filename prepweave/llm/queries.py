@@ -25,7 +25,7 @@ RANKS_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+
 
 def op1_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = vocabulary("byte_bpe_50k.tiktoken"), vocabulary("piece_bpe_32k.model"), RANKS_PATTERN
-    return fertility.judge(_read(spark, sf_dir, "documents"), files)
+    return fertility.judge(_read(spark, sf_dir, "documents"), files, lang="lang")
 
 
 def op2_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,25 @@ def test_fertility_bands_reject_noise(spark):
     assert verdict[1] and not verdict[3]
 
 
+def test_fertility_rejects_gibberish(spark):
+    import base64
+    import random
+
+    noise = [" ".join(hashlib.sha256(bytes([i])).hexdigest() for i in range(30)), " ".join(base64.b64encode(hashlib.sha512(bytes([i])).digest()).decode() for i in range(30))]
+    r = random.Random(5)
+    noise += [" ".join("".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(4, 9))) for _ in range(60)), " ".join(str(r.randrange(10**6, 10**7)) for _ in range(60))]
+    rows = fertility.judge(spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string"), FILES).collect()
+    assert len(rows) == 4 and not any(x["base_failed"] or x["kept"] for x in rows)
+
+
+def test_fertility_fences_follow_the_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("doc_id < 4000 and length(text) < 20000")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    found = fertility.judge(docs, FILES, lang="lang").join(labels, "doc_id").filter("not base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"), F.count("*").alias("n")).collect()
+    kept = {r["quality"]: r["kept"] for r in found}
+    assert kept[1] > 0.98 and kept[0] < 0.5
+
+
 @pytest.mark.parametrize("which", ["documents", "odd", "none"])
 def test_personal_data_base(which, request):
     docs = request.getfixturevalue(which)
