@@ -31,10 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; rows that repeat it stay one row."""
-    found = written(neardup.near_duplicates(docs).filter("kept").select("doc_id").distinct(), "kept")
-    kept = docs.join(F.broadcast(found) if found.count() <= 500_000 else found, "doc_id", "left_semi")
-    return _documents(kept.dropDuplicates(["doc_id"]))
+    """One document of each group stays, that with the smallest doc_id; rows that repeat it stay one row. Null and repeated
+    doc_ids are documents like others."""
+    return _documents(neardup.one_of_each(docs.select(*COLUMNS)))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,6 +31,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_name(*columns: Column | str) -> Column:
+    """A 128-bit name of the values, never null; nulls are equal to each other and to nothing else."""
+    cells = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.unhex(F.md5(F.concat(*[F.coalesce(F.md5(c.cast("string")), F.lit("null")) for c in cells])))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Marks a written table for broadcast if it has at most so many rows; otherwise Spark shuffles."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from prepweave.llm.common import WORD, word_count, written
+from prepweave.llm.common import WORD, row_name, word_count, written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -50,16 +50,16 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
 
 
 def pack(docs: DataFrame, text: str, block_tokens: int) -> DataFrame:
-    """The documents with their size and place in their source's stream of words: adds size, __offset.
+    """The documents with their size and place in their source's stream of words: adds size, __row (names doc_id, source and text), __offset.
 
     Within a source the documents are in the order of a hash of their key. Totals of hash buckets are summed per source
     (at most BUCKETS rows each), so no task holds a whole source.
     """
-    keyed = docs.withColumn("size", word_count(F.col(text))).withColumn("__hash", F.xxhash64(F.lit("order"), "doc_id")).withColumn("__bucket", F.pmod("__hash", F.lit(BUCKETS)))
+    keyed = docs.withColumn("size", word_count(F.col(text))).withColumn("__row", row_name("doc_id", "source", text)).withColumn("__hash", F.xxhash64(F.lit("order"), "doc_id")).withColumn("__bucket", F.pmod("__hash", F.lit(BUCKETS)))
     sums = keyed.groupBy("source", "__bucket").agg(F.sum("size").alias("__total"))
     bases = sums.withColumn("__base", F.sum("__total").over(W.partitionBy("source").orderBy("__bucket").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("__total"))
     bases = bases.select(F.col("source").alias("__s"), F.col("__bucket").alias("__b"), "__base")
-    order = W.partitionBy("source", "__bucket").orderBy("__hash", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    order = W.partitionBy("source", "__bucket").orderBy("__hash", "doc_id", "size", "__row").rowsBetween(W.unboundedPreceding, W.currentRow)
     inside = keyed.withColumn("__inside", F.sum("size").over(order) - F.col("size"))
     joined = inside.join(bases, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     return joined.withColumn("__offset", F.col("__base") + F.col("__inside")).drop("__hash", "__bucket", "__s", "__b", "__base", "__inside")
@@ -118,7 +118,8 @@ def mix(docs: DataFrame, text: str = "text", block_tokens: int = 64, shard_slots
 
     documents: the input's rows with size, source_size, target (its source's) and taken (words that the mix takes,
     repeats counted). pieces: the mix itself, a row for each part of a document in a block of a shard: shard, pass,
-    source, block, doc_id, start (word of the text, from 0), words.
+    source, block, doc_id, row (names doc_id, source and text), offset (tells rows of one name apart), start (word of the
+    text, from 0), words.
 
     A null text has size 0 and is never taken; a null source is a source of its own, last in order; repeated rows lie in
     the stream one after the other, each for itself, and their taken words are given for each. An empty table gives empty
@@ -130,8 +131,8 @@ def mix(docs: DataFrame, text: str = "text", block_tokens: int = 64, shard_slots
     sizes = packed.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = written(targets(sizes), "targets")
     taken_blocks = slots(sources, block_tokens, shard_slots, seed)
-    cut = packed.filter("size > 0").select("doc_id", "source", "size", F.col("__offset").alias("offset"), F.explode(F.expr(f"sequence(__offset div {block_tokens}, (__offset + size - 1) div {block_tokens})")).alias("block"))
-    parts = cut.select("doc_id", "source", "offset", "block", F.expr(f"greatest(offset, block * {block_tokens}) - offset").alias("start"), F.expr(f"least(offset + size, (block + 1) * {block_tokens}) - greatest(offset, block * {block_tokens})").alias("words"))
+    cut = packed.filter("size > 0").select("doc_id", F.col("__row").alias("row"), "source", "size", F.col("__offset").alias("offset"), F.explode(F.expr(f"sequence(__offset div {block_tokens}, (__offset + size - 1) div {block_tokens})")).alias("block"))
+    parts = cut.select("doc_id", "row", "source", "offset", "block", F.expr(f"greatest(offset, block * {block_tokens}) - offset").alias("start"), F.expr(f"least(offset + size, (block + 1) * {block_tokens}) - greatest(offset, block * {block_tokens})").alias("words"))
     b = taken_blocks.select("shard", "pass", F.col("source").alias("__s"), F.col("block").alias("__b"))
     pieces = parts.join(b, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))).drop("__s", "__b")
     pieces = written(pieces, "pieces")
@@ -141,14 +142,19 @@ def mix(docs: DataFrame, text: str = "text", block_tokens: int = 64, shard_slots
     result = packed.join(per_doc, same, "left").drop("__d", "__s", "__o")
     t = sources.select(F.col("source").alias("__s"), "source_size", "target")
     result = result.join(F.broadcast(t) if sources.count() <= 100_000 else t, F.col("source").eqNullSafe(F.col("__s")), "left")
-    return result.select("doc_id", "source", F.col("__offset").alias("offset"), "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken")), pieces.drop("offset")
+    return result.select("doc_id", "source", F.col("__offset").alias("offset"), "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken")), pieces
 
 
 def mixed_texts(docs: DataFrame, pieces: DataFrame, text: str = "text") -> DataFrame:
     """The documents with the words that the mix takes of them, joined by spaces, a pass after the other; documents of
-    which it takes none go. doc_id names a document here."""
-    runs = pieces.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pass", "start", "words"))).alias("__runs"))
-    joined = docs.join(runs.withColumnRenamed("doc_id", "__d"), F.col("doc_id") == F.col("__d")).drop("__d")
-    joined = joined.withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
+    which it takes none go. Null and repeated doc_ids are documents like others; rows equal in doc_id, source and text get
+    the words of one of them each."""
+    runs = pieces.groupBy("row", "offset").agg(F.sort_array(F.collect_list(F.struct("pass", "start", "words"))).alias("runs"))
+    each = runs.groupBy(F.col("row").alias("__row")).agg(F.sort_array(F.collect_list(F.struct("offset", "runs"))).alias("__each"))
+    others = [c for c in docs.columns if c not in ("doc_id", "source", text)]
+    order = W.partitionBy("__row").orderBy(F.xxhash64(*others) if others else F.lit(0))
+    # the rows of one name, in any order, meet the places that the stream gave them
+    joined = docs.withColumn("__row", row_name("doc_id", "source", text)).withColumn("__n", F.row_number().over(order) - 1).join(each, "__row")
+    joined = joined.withColumn("__runs", F.get("__each", F.col("__n"))["runs"]).filter("__runs is not null").withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
     taken = F.transform("__runs", lambda r: F.array_join(F.slice("__words", (r["start"] + 1).cast("int"), r["words"].cast("int")), " "))
-    return joined.withColumn(text, F.array_join(taken, " ")).drop("__runs", "__words")
+    return joined.withColumn(text, F.array_join(taken, " ")).drop("__runs", "__words", "__each", "__n", "__row")

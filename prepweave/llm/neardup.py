@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepweave.llm.common import written
+from prepweave.llm.common import row_name, written
 from prepweave.llm.components import components
 
 WORDS = 5
@@ -93,10 +93,10 @@ def code_of(words: list[bytes]) -> bytes | None:
 
 
 def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Per document: key, code (names its words), n_shingles, signature, planes; signature and planes null without words."""
+    """Per document: key, row (names key and text), code (names its words), n_shingles, signature, planes; signature and planes null without words."""
 
     def run(batches):
-        for rows, words, batch in _sub_batches(batches, 1):
+        for rows, words, batch in _sub_batches(batches, 2):
             sets = shingles(words)
             full = [i for i, s in enumerate(sets) if len(s)]
             signature = signatures([sets[i] for i in full]) if full else np.empty((0, FUNCTIONS), np.uint32)
@@ -107,31 +107,30 @@ def sketched(docs: DataFrame, text: str, key: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).take(pa.array(rows)),
+                    batch.column(1).take(pa.array(rows)),
                     pa.array([code_of(w) for w in words], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([pick(signed, i) for i in range(len(rows))], pa.list_(pa.int32())),
                     pa.array([pick(planes, i) for i in range(len(rows))], pa.list_(pa.int64())),
                 ],
-                names=["doc", "code", "n_shingles", "signature", "planes"],
+                names=["doc", "row", "code", "n_shingles", "signature", "planes"],
             )
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"doc {kind}, code binary, n_shingles long, signature array<int>, planes array<long>")
+    return docs.select(F.col(key), row_name(key, text), F.col(text)).mapInArrow(run, f"doc {kind}, row binary, code binary, n_shingles long, signature array<int>, planes array<long>")
 
 
 def full_sets(docs: DataFrame, needed: DataFrame, text: str, key: str) -> DataFrame:
-    """The shingle sets of the needed classes (columns code, doc: one document of each): code, shingles."""
+    """The shingle sets of the needed classes (columns code, row: one document of each): code, shingles."""
 
     def run(batches):
         for rows, words, batch in _sub_batches(batches, 1):
-            codes = batch.column(0).take(pa.array(rows))
-            same = [i for i, (c, w) in enumerate(zip(codes.to_pylist(), words)) if c == code_of(w)]  # a key may repeat
-            sets = shingles([words[i] for i in same])
-            yield pa.RecordBatch.from_arrays([codes.take(pa.array(same, pa.int64())), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["code", "shingles"])
+            sets = shingles(words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["code", "shingles"])
 
     needed = written(needed, "needed")
     side = F.broadcast(needed) if needed.count() <= 500_000 else needed
-    return docs.select(F.col(key).alias("doc"), F.col(text).alias("text")).join(side, "doc").select("code", "text").mapInArrow(run, "code binary, shingles array<long>").dropDuplicates(["code"])
+    return docs.select(row_name(key, text).alias("row"), F.col(text).alias("text")).join(side, "row").select("code", "text").mapInArrow(run, "code binary, shingles array<long>").dropDuplicates(["code"])
 
 
 def _different(a: str, b: str) -> Column:
@@ -147,7 +146,7 @@ class Join:
         self.docs, self.text, self.key = docs, text, key
         self.percent, self.trees, self.node_size, self.depth = percent, trees, node_size, depth
         self.rows = written(sketched(docs, text, key), "sketched")
-        grouped = self.rows.filter("code is not null").groupBy("code").agg(F.min("doc").alias("doc"), F.first("signature").alias("signature"), F.first("planes").alias("planes"))
+        grouped = self.rows.filter("code is not null").groupBy("code").agg(F.min("row").alias("row"), F.first("signature").alias("signature"), F.first("planes").alias("planes"))
         self.classes = written(grouped, "classes")
         self.linked = docs.sparkSession.createDataFrame([], "vertex binary, component binary")
         self.edges = docs.sparkSession.createDataFrame([], "u binary, v binary")
@@ -184,7 +183,7 @@ class Join:
         """Tests pairs (a, b) on full sets and links those that reach the similarity."""
         pairs = written(pairs.distinct(), "pairs")
         codes = pairs.select(F.col("a").alias("code")).unionByName(pairs.select(F.col("b").alias("code"))).distinct()
-        sets = written(full_sets(self.docs, codes.join(self.classes.select("code", "doc"), "code"), self.text, self.key), "sets")
+        sets = written(full_sets(self.docs, codes.join(self.classes.select("code", "row"), "code"), self.text, self.key), "sets")
         side = lambda c: sets.select(F.col("code").alias(c), F.col("shingles").alias(f"s{c}"))
         both = F.size(F.array_intersect("sa", "sb"))
         close = 100 * both >= self.percent * (F.size("sa") + F.size("sb") - both)
@@ -264,3 +263,23 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     least = labelled.filter("code is not null").groupBy("component").agg(F.min("doc").alias("least"))
     found = labelled.join(least, "component", "left").withColumn("component_id", F.when(F.col("code").isNull(), F.col("doc")).otherwise(F.col("least")))
     return found.select(F.col("doc").alias(key), "n_shingles", "component_id", F.col("doc").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **limits: int) -> DataFrame:
+    """One row of each component of near_duplicates(), and all rows without words, which are linked with nothing.
+
+    A component keeps a row of its smallest key (a null key only if it has no other); of several such rows that with the
+    smallest name of its text, then with the smallest other values. Rows are told apart by key and text, so rows that share
+    a key, or have none, and are no near-duplicates all stay. limits are those of near_duplicates().
+    """
+    defaults = {"percent": 85, "trees": 10, "node_size": 128, "depth": 4} | limits
+    join = Join(docs.select(F.col(key), F.col(text)), text, key, **defaults)
+    join.run()
+    labelled = join.component(join.rows.select("doc", "row", "code"))
+    least = labelled.filter("code is not null").groupBy("component").agg(F.min(F.struct(F.col("doc").isNull(), "doc", "row"))["row"].alias("__row"))
+    bare = labelled.filter("code is null").select(F.col("row").alias("__row"), F.lit(False).alias("__one"))
+    found = written(least.select("__row", F.lit(True).alias("__one")).unionByName(bare.distinct()), "kept")
+    kept = docs.withColumn("__row", row_name(key, text)).join(F.broadcast(found) if found.count() <= 500_000 else found, "__row")
+    rest = [c for c in docs.columns if c not in (key, text)]
+    first = kept.filter("__one").groupBy("__row").agg(F.min(F.struct(*rest, key, text)).alias("__first"))
+    return first.select(*[F.col("__first")[c].alias(c) for c in docs.columns]).unionByName(kept.filter(~F.col("__one")).select(*docs.columns))

@@ -3,7 +3,7 @@
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from prepweave.llm import queries
+from prepweave.llm import mixing, neardup, queries
 from prepweave.llm.common import written
 from tests.llm import brute
 
@@ -49,3 +49,21 @@ def test_empty(spark, none, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, sf), name)
         assert docs.count() == 0
+
+
+def test_null_and_repeated_doc_ids(spark, sf):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(200))
+    near = text(0).replace("w0x7 ", "other ")
+    rows = [(None, text(0), "s1"), (None, near, "s2"), (None, text(1), "s1"), (7, text(2), "s1"), (7, text(3), "s1"), (8, text(2), "s2"), (9, text(4), "s1"), (9, text(4), "s1")]
+    docs = spark.createDataFrame([(k, t, "en", s, len(t)) for k, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = neardup.near_duplicates(docs).collect()
+    assert len(found) == len(rows) and all(r["kept"] == (r["doc_id"] != 8) for r in found)
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()]
+    assert len(kept) == 5 and {(None, text(1)), (7, text(2)), (7, text(3)), (9, text(4))} < set(kept) and {(None, text(0)), (None, near)} & set(kept)
+    assert sorted(map(str, kept)) == sorted(str((r["doc_id"], r["text"])) for r in corpus_pipeline.near_duplicates(spark, docs.repartition(5), sf).collect())
+    _, pieces = mixing.mix(docs)
+    mixed = mixing.mixed_texts(docs, pieces).collect()
+    took = {r["row"]: 0 for r in pieces.collect()}
+    assert sum(len(r["text"].split()) for r in mixed) == pieces.agg({"words": "sum"}).first()[0]
+    assert len({r["text"].split()[0].split("x")[0] for r in mixed if r["doc_id"] is None}) == 2 and len(took) >= 6
+    assert all(len({w.split("x")[0] for w in r["text"].split()} - {"other"}) == 1 for r in mixed)
