@@ -191,8 +191,11 @@ def discover(grid: DataFrame, overrides: Overrides = Overrides()) -> list[Table]
         if not found:
             raise PlanError("TABLE_NOT_FOUND", overrides.table_id)
     names, depth = cells(grid), overrides.header_search_depth + overrides.max_header_levels
-    wanted = reduce(lambda a, b: a | b, [F.col(ROW).between(r.first_row, min(r.last_row, r.first_row + depth - 1)) for r in found[:100]], F.lit(False))
-    top = {r[ROW]: [r[c] or "" for c in names] for r in grid.filter(wanted).collect()}  # the first rows of a region
+    numbers = {n for r in found for n in range(r.first_row, min(r.last_row, r.first_row + depth - 1) + 1)}
+    numbers |= {n for n in overrides.header_rows if any(r.first_row <= n <= r.last_row for r in found)}
+    wanted = grid.sparkSession.createDataFrame([(n,) for n in sorted(numbers)], f"{ROW} long")
+    # the first rows of all regions, and the header rows that were given
+    top = {r[ROW]: [r[c] or "" for c in names] for r in grid.join(F.broadcast(wanted), ROW, "left_semi").collect()}
     out = []
     for r in found:
         rows = [(n, top[n][r.first_column - 1 : r.last_column]) for n in range(r.first_row, min(r.last_row, r.first_row + depth - 1) + 1) if n in top]
@@ -203,7 +206,7 @@ def discover(grid: DataFrame, overrides: Overrides = Overrides()) -> list[Table]
                 if overrides.table_id or len(found) == 1:
                     raise PlanError("HEADER_OVERRIDE_OUTSIDE_TABLE", str(overrides.header_rows))
             else:
-                given = [dict(rows)[n] for n in overrides.header_rows]
+                given = [top[n][r.first_column - 1 : r.last_column] if n in top else [""] * (r.last_column - r.first_column + 1) for n in overrides.header_rows]
                 chosen = Header(tuple(overrides.header_rows), flatten(given, overrides.header_flattening_separator), 1.0)
         elif len(candidates) > 1 and candidates[0].confidence - candidates[1].confidence < 0.08:
             warnings.append("AMBIGUOUS_HEADER")

@@ -42,6 +42,17 @@ def test_numbers_over_splits(spark, tmp_path):
 CSV = "Report,,,\n,,,\nCode,Name,Hours,\n007,ann,8,\nCode,Name,Hours,\n008,bob,9.5,\nGrand Total,,17.5,\nGenerated by x,,,\n,,,\n,,,\nItem,Quantity,,\nA,1,,\nB,2,,\n"
 
 
+def test_discovery_of_many_regions(spark, tmp_path):
+    grid = read_grid(spark, put(tmp_path / "many.csv", "".join(f"Code{i},Name{i}\n{i},ann\n,\n" for i in range(130))))
+    tables = discover(grid)
+    assert len(tables) == 130 and [t.header.labels for t in tables] == [(f"Code{i}", f"Name{i}") for i in range(130)]
+    last = tables[-1].region
+    given = discover(grid, Overrides(table_id=last.table_id, header_rows=(last.first_row,)))
+    assert given[0].header.labels == ("Code129", "Name129")
+    given = discover(grid, Overrides(header_rows=(last.first_row,)))
+    assert given[-1].header.labels == ("Code129", "Name129") and given[-1].header.confidence == 1.0
+
+
 def test_discovery(spark, tmp_path):
     grid = read_grid(spark, put(tmp_path / "t.csv", CSV))
     tables = discover(grid)
