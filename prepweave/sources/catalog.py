@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from fnmatch import fnmatch
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -22,6 +22,34 @@ class FolderConfig:
     maximum_files: int = 5000
 
 
+def matches(pattern: str) -> str:
+    """A regular expression of Spark's for a pattern as fnmatch takes it, with regard to case."""
+    out, i = [], 0
+    code = lambda c: f"\\x{{{ord(c):x}}}"
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        if c in "*?":
+            out.append(".*" if c == "*" else ".")
+            continue
+        start = i + (pattern[i : i + 1] == "!")
+        end = pattern.find("]", start + 1) if c == "[" else -1
+        if end < 0:
+            out.append(code(c))
+            continue
+        inside, members, k = pattern[start:end], [], 0
+        while k < len(inside):
+            if inside[k + 1 : k + 2] == "-" and k + 2 < len(inside):
+                if inside[k] <= inside[k + 2]:  # a range from high to low holds nothing
+                    members.append(f"{code(inside[k])}-{code(inside[k + 2])}")
+                k += 3
+            else:
+                members.append(code(inside[k]))
+                k += 1
+        out.append(f"[{'^' * (start > i)}{''.join(members)}]" if members else "." if start > i else "(?!)")
+        i = end + 1
+    return "(?s)\\A" + "".join(out) + "\\z"
+
+
 def scan_folder(spark: SparkSession, config: FolderConfig) -> DataFrame:
     """A row per file: relative_path, path, bytes, sha256; in order of the path without regard to case.
 
@@ -34,8 +62,9 @@ def scan_folder(spark: SparkSession, config: FolderConfig) -> DataFrame:
     listed = files.select("path", F.col("length").alias("bytes"), relative.alias("relative_path")).filter(ending.isin([e.lower().lstrip(".") for e in config.extensions]))
     if not config.recursive:
         listed = listed.filter(~F.contains("relative_path", F.lit("/")))
-    names = [r["relative_path"] for r in listed.select("relative_path").limit(config.maximum_files * 4 + 1).collect()]  # bounded
-    kept = [n for n in names if any(fnmatch(n, p) for p in config.include) and not any(fnmatch(n, p) for p in config.exclude)]
+    any_of = lambda patterns: reduce(Column.__or__, [F.col("relative_path").rlike(matches(p)) for p in patterns], F.lit(False))
+    listed = listed.filter(any_of(config.include) & ~any_of(config.exclude))
+    kept = [r["relative_path"] for r in listed.select("relative_path").limit(config.maximum_files + 1).collect()]  # bounded
     if len(kept) > config.maximum_files:
         raise PlanError("FOLDER_TOO_MANY_FILES", str(config.maximum_files))
     chosen = spark.createDataFrame([(n,) for n in kept], "relative_path string")

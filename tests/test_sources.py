@@ -132,3 +132,15 @@ def test_incremental(spark, tmp_path):
     assert ingest_new_files(*args) == 3 and ingest_new_files(*args) == 0
     spark.range(2).write.mode("append").parquet(str(src))
     assert ingest_new_files(*args) == 2
+
+
+def test_scan_folder_filters_before_its_limit(spark, tmp_path):
+    for i in range(40):
+        put(tmp_path / f"other{i}.csv", "x" * 500)
+    for name in ("want1.csv", "want2.csv", "want[3.csv", "wanted.csv"):
+        put(tmp_path / name, "a")
+    names = lambda **k: [r["relative_path"] for r in scan_folder(spark, FolderConfig(str(tmp_path), maximum_files=2, **k)).collect()]
+    assert names(include=["want[0-9].csv"]) == ["want1.csv", "want2.csv"]
+    assert names(include=["want*"], exclude=["*[[]*", "want[!0-9]?.csv"]) == ["want1.csv", "want2.csv"]
+    with pytest.raises(PlanError, match="FOLDER_TOO_MANY_FILES"):
+        names(include=["want*"], exclude=["*[[]*"])
