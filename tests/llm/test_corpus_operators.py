@@ -186,3 +186,12 @@ def test_against_sql(name, spark, sf):
     got = queries.queries()[name](spark, sf).select(*columns).collect()
     order = lambda rows: sorted(map(repr, map(tuple, rows)))
     assert order(got) == order(want.fetchall())
+
+
+@pytest.mark.parametrize("percent", [50, 70, 75, 80, 85, 95])
+def test_sketches_keep_pairs_at_the_threshold(percent):
+    from math import comb
+
+    p, most = 0.75 * (1 - percent / 100), neardup.most_different(percent)
+    assert sum(comb(128, k) * p**k * (1 - p) ** (128 - k) for k in range(most + 1, 129)) < 1e-4
+    assert percent != 85 or most == 31
