@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes written tables that nothing reads any more, so that a long job does not fill the shared folder."""
+    for df in tables:
+        for file in {f.rpartition("/")[0] for f in df.inputFiles()} if df is not None else ():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often `use` or a lambda in it reads it: Spark copies an expression
+    to each place that names it, but not one that a lambda variable is bound to."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def row_name(*columns: Column | str) -> Column:
     """A 128-bit name of the values, never null; nulls are equal to each other and to nothing else."""
     cells = [F.col(c) if isinstance(c, str) else c for c in columns]
