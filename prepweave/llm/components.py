@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prepweave.llm.common import written
+from prepweave.llm.common import dropped, written
 
 
 def _oriented(pairs: DataFrame) -> DataFrame:
@@ -31,4 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if mark == seen or not mark[0]:
             return now.toDF("vertex", "component")
-        seen, now = mark, written(_small_star(_large_star(now)), "edges")
+        old, seen, now = now, mark, written(_small_star(_large_star(now)), "edges")
+        dropped(old)
