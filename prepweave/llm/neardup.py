@@ -225,9 +225,9 @@ def links_of(table: pa.Table, percent: int) -> tuple[list[int], list[int]]:
 class Join:
     """The steps of one similarity join over the classes of equal word sequences."""
 
-    def __init__(self, docs: DataFrame, text: str, key: str, percent: int, trees: int, node_size: int, depth: int):
+    def __init__(self, docs: DataFrame, text: str, key: str, percent: int, trees: int, node_size: int, depth: int, block_rows: int):
         self.docs, self.text, self.key = docs, text, key
-        self.percent, self.trees, self.node_size, self.depth = percent, trees, node_size, depth
+        self.percent, self.trees, self.node_size, self.depth, self.block_rows = percent, trees, node_size, depth, block_rows
         spark = docs.sparkSession
         self.tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
         sketches = written(sketched(docs, text, key), "sketched")
@@ -274,25 +274,26 @@ class Join:
         return found
 
     def groups(self, rows: DataFrame, last: bool) -> DataFrame:
-        """The groups that are compared exhaustively, columns grp and side: nodes of at most node_size classes, and random
-        blocks of larger nodes, which share a few classes of the node, so that what is alike comes together at once. At the last
-        level blocks of larger nodes meet in pairs, each a group of its own, in which a row is compared with the other block."""
+        """The groups that are compared exhaustively, columns grp and side. A node of at most node_size classes, and at the last
+        level any node, is cut into random blocks; each block, and each pair of blocks, is a group, in which a row of a pair is
+        compared with the other block. Of a larger node only the blocks are groups, and they share a few classes of the node, so
+        that what is alike comes together at once."""
         own = ["code", "component", "size", "planes"]
-        none = F.lit(-1).alias("side")
-        small_nodes = rows.filter(F.col("n") <= self.node_size).select(F.col("node").alias("grp"), none, *own)
-        blocks = F.ceil(F.col("n") / self.node_size).cast("int")
-        large = rows.filter(F.col("n") > self.node_size).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks").cast("long")).cast("int"))
+        blocks = F.ceil(F.col("n") / self.block_rows).cast("int")
+        rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks").cast("long")).cast("int"))
+        paired = F.lit(True) if last else F.col("n") <= self.node_size
+        met = rows.filter(paired).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") < F.col("other")).cast("int"))
+        found = met.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("grp"), side.alias("side"), *own)
         if last:
-            met = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            grp = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-            side = F.when(F.col("own") == F.col("other"), -1).otherwise((F.col("own") < F.col("other")).cast("int"))
-            return small_nodes.unionByName(met.select(grp.alias("grp"), side.alias("side"), *own))
+            return found
+        large = rows.filter(~paired)
         rank = F.xxhash64(F.lit("pivot"), "code")
         few = [F.min(F.when(F.pmod(rank, F.lit(PIVOTS)) == i, F.struct(rank.alias("rank"), *own))).alias(f"p{i}") for i in range(PIVOTS)]
         shared = large.groupBy("node", "blocks").agg(*few).select("node", "blocks", F.explode(F.array_compact(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
         shared = shared.select("node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), *[F.col(f"p.{c}").alias(c) for c in own])
         each = large.select("node", "own", *own).unionByName(shared)
-        return small_nodes.unionByName(each.select(F.xxhash64("node", "own").alias("grp"), none, *own))
+        return found.unionByName(each.select(F.xxhash64("node", "own").alias("grp"), F.lit(-1).alias("side"), *own))
 
     def solve(self, groups: DataFrame) -> DataFrame:
         """The links (u, v) that join components in the groups. Rows for which sizes and sketches allow no link leave first;
@@ -341,16 +342,15 @@ class Join:
             dropped(rows)
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85, trees: int = 10, node_size: int = 1024, depth: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", percent: int = 85, trees: int = 10, node_size: int = 16_384, depth: int = 4, block_rows: int = 1024) -> DataFrame:
     """Per document: key, n_shingles, component_id (smallest key reachable over links, its own included), kept.
 
     A document's set has its different shingles of five words (A-Z in lower case); two documents are linked if 100 times
     the common shingles are at least `percent` times all shingles of both. Equal word sequences are one class first. The
     classes are branched in `trees` independent trees: a node picks one or two minwise hashes and sends each class to the
     child named by its value. A node whose classes are one component is done. Nodes of at most node_size classes are compared
-    exhaustively; larger ones are compared within random blocks of that size, which brings most of a group of copies
-    together, and branch again if they stay open; what is still larger after `depth` levels is compared exhaustively in
-    pairs of blocks. Sizes and sketches only rule pairs out; a group of rows gives at most as many links as it has rows, each
+    exhaustively, in pairs of blocks of about block_rows, so that no node is one task; larger ones are compared within the blocks only, which brings most of a group of copies
+    together, and branch again if they stay open; what is still larger after `depth` levels is compared exhaustively. Sizes and sketches only rule pairs out; a group of rows gives at most as many links as it has rows, each
     confirmed on full sets, and pairs that are connected already are not tested. A pair at the threshold meets in a tree with a chance of about 0.87 at the
     first level, so ten trees miss one in 10^8; chances fall with depth, so a pair that stays in crowded nodes to depth 4 is
     missed about 1.5 times in 10^4 (by a reviewer's reckoning, without what pivots catch). The sketch test misses at
@@ -359,7 +359,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", pe
     A null or empty text has no shingles and is linked with nothing. Rows that repeat a key are taken each for itself; a
     null key is never a component's smallest unless there is no other. An empty table gives an empty result.
     """
-    join = Join(docs.select(F.col(key), F.col(text)), text, key, percent, trees, node_size, depth)
+    join = Join(docs.select(F.col(key), F.col(text)), text, key, percent, trees, node_size, depth, block_rows)
     join.run()
     labelled = join.component(join.rows.select(F.col("doc"), "code", "n_shingles"))
     least = labelled.filter("code is not null").groupBy("component").agg(F.min("doc").alias("least"))
@@ -374,7 +374,7 @@ def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id", **limi
     smallest name of its text, then with the smallest other values. Rows are told apart by key and text, so rows that share
     a key, or have none, and are no near-duplicates all stay. limits are those of near_duplicates().
     """
-    defaults = {"percent": 85, "trees": 10, "node_size": 1024, "depth": 4} | limits
+    defaults = {"percent": 85, "trees": 10, "node_size": 16_384, "depth": 4, "block_rows": 1024} | limits
     join = Join(docs.select(F.col(key), F.col(text)), text, key, **defaults)
     join.run()
     labelled = join.component(join.rows.select("doc", "row", "code"))

@@ -140,7 +140,7 @@ def test_near_duplicates(which, request):
 def test_near_duplicates_small_nodes(documents):
     """Tiny nodes, so that trees branch and crowded leaves are compared in blocks."""
     want = brute.near_duplicates({r["doc_id"]: r["text"] for r in documents.collect()})
-    found = neardup.near_duplicates(documents, node_size=2, depth=2, trees=12).collect()
+    found = neardup.near_duplicates(documents, node_size=4, depth=2, trees=12, block_rows=2).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == want
 
 
