@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepweave.llm.common import written
+from prepweave.llm.common import once, small, written
 
 CRLF = "\r\n"
 #: Fixed values of the format.
@@ -19,19 +19,17 @@ VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD_SCHEMA = "record_id string, type string, origin_id string, segment int, total_length long, refers_to string, payload_digest string, page_id long, block binary"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+#: Rows of digests, of some 60 bytes each, that are broadcast at most.
+SHARED = 500_000
 
 
 def base32_sha1(payload: Column) -> Column:
     """The SHA-1 of a binary column in base32, upper case, without a prefix: five bits a character."""
-    digest = F.sha1(payload)
-
-    def char(i):
-        # character i is bits 5i to 5i + 4, which lie in the eight bits of two hexadecimal digits
-        value = F.conv(F.rpad(F.substring(digest, (F.floor(i * 5 / 4) + 1).cast("int"), F.lit(2)), 2, "0"), 16, 10).cast("int")
-        five = F.pmod(F.floor(value / F.pow(F.lit(2), F.lit(3) - (i * 5) % 4)), F.lit(32))
-        return F.substring(F.lit(BASE32), (five + 1).cast("int"), F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), char), "")
+    group = lambda digest, i: F.conv(F.substring(digest, 5 * i + 1, 5), 16, 10).cast("long")
+    char = lambda value, k: F.substring(F.lit(BASE32), (F.shiftright(value, 15 - 5 * k).bitwiseAND(F.lit(31)) + 1).cast("int"), F.lit(1))
+    # each five hexadecimal digits are four characters
+    spell = lambda digest: F.array_join(F.transform(F.array(*[group(digest, i) for i in range(8)]), lambda v: F.concat(*[char(v, k) for k in range(4)])), "")
+    return once(F.sha1(payload), spell)
 
 
 def _bytes(text: Column) -> Column:
@@ -53,13 +51,15 @@ def label(pages: DataFrame, html: str = "html", least_bytes: int = 0) -> DataFra
     """The pages with payload, payload_digest and response_id.
 
     Of pages with equal payloads of at least least_bytes bytes, that with the largest page_id is the response of all;
-    smaller payloads are each their own. The payload is the html in UTF-8, empty for null. The largest id is found by a
-    pre-aggregated group over digests; payloads themselves are not shuffled for it.
+    smaller payloads are each their own. The payload is the html in UTF-8, empty for null. The largest id is found over a
+    written table of ids and digests. Digests that several pages have meet the pages by broadcast while they are at most
+    SHARED rows; beyond that the join shuffles payloads by digest.
     """
-    df = pages.withColumn("payload", _bytes(F.coalesce(F.col(html), F.lit("")))).withColumn("payload_digest", base32_sha1(F.col("payload")))
-    equal = df.filter(F.length("payload") >= least_bytes).groupBy("payload_digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n"))
-    # only digests that more than one page has need the join
-    shared = equal.filter("__n > 1").select(F.col("payload_digest").alias("__digest"), "__last")
+    payload = _bytes(F.coalesce(F.col(html), F.lit("")))
+    digests = written(pages.select("page_id", base32_sha1(payload).alias("__digest"), F.length(payload).alias("__size")), "digests")
+    equal = digests.filter(F.col("__size") >= least_bytes).groupBy("__digest").agg(F.max("page_id").alias("__last"), F.count("*").alias("__n"))
+    shared = small(written(equal.filter("__n > 1").select("__digest", "__last"), "shared"), SHARED)
+    df = pages.withColumn("payload", payload).withColumn("payload_digest", base32_sha1(payload))
     joined = df.join(shared, (F.col("payload_digest") == F.col("__digest")) & (F.length("payload") >= least_bytes), "left")
     return joined.withColumn("response_id", F.coalesce("__last", "page_id")).drop("__digest", "__last")
 
@@ -108,10 +108,11 @@ def records(labelled: DataFrame, url: str = "url", chunk_bytes: int = 8192, segm
     return df.select(F.concat(_bytes(head_lines), part).cast("string").alias("value"))
 
 
-def write_archives(rows: DataFrame, path: str, records_per_file: int = 256) -> None:
+def write_archives(rows: DataFrame, path: str, records_per_file: int = 16_384) -> None:
     """Writes record rows as gzipped WARC files by Spark's own committer, to any store that Spark writes to.
 
-    Record size and records_per_file bound a file's size. Each row is closed by the record's two line ends.
+    Record size (segment_bytes and a header) and records_per_file bound a file's size: 1 GB before compression by the
+    defaults, and about 64 MB of usual pages. Each row is closed by the record's two line ends.
     """
     rows.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
