@@ -65,7 +65,7 @@ def _entity(span: Column) -> Column:
     return F.concat_ws(":", span["kind"], plain)
 
 
-def disclosing_terms(docs: DataFrame, text: str = "text", window: int = 60, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
+def disclosing_terms(docs: DataFrame, found: DataFrame | None = None, text: str = "text", window: int = 60, support: int = 3, generalise: float = 0.7, remove: float = 0.9) -> DataFrame:
     """Terms of the corpus that reveal a protected entity: columns term, entity, disclosure, removed.
 
     Entities are the values that the fixed patterns find. A term t co-occurs with an entity e in a document if it stands
@@ -73,10 +73,11 @@ def disclosing_terms(docs: DataFrame, text: str = "text", window: int = 60, supp
     ln(n(t,e) N / (n(t) n(e))) / ln(N / n(e)): 1 if t is found only beside e, 0 if both are independent. A term is kept
     here if it reaches `generalise`, and is removed from `remove` on. Evidence is counted over different texts in
     different contexts, at least `support` of them, so that copies of one passage do not make each rare word a
-    disclosing one. n(t) is counted
-    over whole texts of all documents.
+    disclosing one. n(t) is counted over whole texts of all documents. `found` is base_spans() of
+    the documents, if there is a table of it.
     """
-    found = base_spans(docs.select(F.col(text)), text).filter(F.size("__base") > 0)
+    found = base_spans(docs, text) if found is None else found
+    found = found.select("__text", "__base").filter(F.size("__base") > 0)
     total = docs.count()
     mentions = found.select("__text", "__base", F.explode("__base").alias("x")).select(
         _entity(F.col("x")).alias("entity"),
@@ -91,14 +92,17 @@ def disclosing_terms(docs: DataFrame, text: str = "text", window: int = 60, supp
     entities = found.select(F.explode(F.array_distinct(F.transform("__base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     each_text = mentions.groupBy("entity", "term", "in_text").agg(F.min("context").alias("context"))
     contexts = each_text.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
-    candidates = written(contexts, "candidates")
-    words = small(candidates.select("term").distinct(), 100_000)
-    # both counts take a document as often as it stands in the corpus; terms are counted before they meet the candidates,
-    # of which common words are the most frequent by far
-    n_term = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term")).join(words, "term", "left_semi")
+    # terms are counted and written before they meet the candidates, of which common words are the most frequent by far
+    counted = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    candidates = contexts.join(entities, "entity").join(written(counted, "term-counts"), "term")
+    # n(t,e) is at most n(e), so a term of more documents than this stays below the least disclosure whatever n(t,e) is
+    every = float(max(total, 1))
+    most = F.lit(every) * F.pow(F.col("n_entity") / F.lit(every), F.lit(float(generalise)))
+    candidates = written(candidates.filter(F.col("n_term") <= most * (1 + 1e-9)).select("entity", "term", "n_entity", "n_term"), "candidates")
+    # both counts take a document as often as it stands in the corpus
     beside = found.select(F.xxhash64("__text").alias("in_text")).groupBy("in_text").agg(F.count("*").alias("copies"))
-    n_both = mentions.join(candidates.select("entity", "term"), ["entity", "term"], "left_semi").select("entity", "term", "in_text").distinct().join(beside, "in_text").groupBy("entity", "term").agg(F.sum("copies").alias("n_both"))
-    joined = n_both.join(entities, "entity").join(n_term, "term")
+    asked = small(candidates, 200_000)
+    joined = mentions.join(asked, ["entity", "term"]).select("entity", "term", "n_entity", "n_term", "in_text").distinct().join(beside, "in_text").groupBy("entity", "term", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"))
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_entity"))
     pmi = F.log(F.col("n_both") * F.lit(float(max(total, 1))) / (F.col("n_term") * F.col("n_entity")))
     scored = joined.select("term", "entity", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure"))
@@ -112,7 +116,9 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -
     empty text has no spans; rows that repeat a key are searched each for itself; an empty table gives an empty result.
     Columns whose names begin with two underscores are the operator's own.
     """
-    marked = written(disclosing_terms(docs, text, **settings).groupBy("term").agg(F.max("removed").alias("removed")), "disclosing")
+    spanned = written(base_spans(docs, text).withColumn("__null", F.col(text).isNull()).drop(text), "spanned")
+    spanned = spanned.withColumn(text, F.when(~F.col("__null"), F.col("__text"))).select(*docs.columns, "__text", "__base")
+    marked = written(disclosing_terms(docs, spanned, text, **settings).groupBy("term").agg(F.max("removed").alias("removed")), "disclosing")
     terms = docs.select(F.col(key).alias("__key"), F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
     per_doc = (
         terms.join(small(marked, 100_000), "term")
@@ -120,7 +126,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -
         .agg(F.sort_array(F.collect_set("term")).alias("__words"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("__gone"))
     )
     per_doc = small(written(per_doc, "terms"), 20_000)
-    df = base_spans(docs, text).join(per_doc, F.col(key).eqNullSafe(F.col("__key")), "left")
+    df = spanned.join(per_doc, F.col(key).eqNullSafe(F.col("__key")), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("__words", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     some = F.col("__words").isNotNull()
     df = df.withColumn("__hits_term", F.when(some, F.regexp_extract_all("__text", pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -157,4 +163,4 @@ def digest(found: DataFrame) -> DataFrame:
     """The contract's columns of find()'s result."""
     kind = lambda k: F.size(F.filter("__base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     every = F.concat_ws(",", F.filter(F.array(span_text(F.col("__base")), span_text(F.col("__terms"))), lambda x: x != ""))
-    return found.select("doc_id", *[kind(k) for k in KINDS], F.sha2(span_text(F.col("__base")), 256).alias("base_sha256"), every.alias("spans"))
+    return found.select("doc_id", *[kind(k) for k in KINDS], F.sha2(span_text(F.col("__base")), 256).alias("base_sha256"), every.alias("spans"), (F.size("__base") + F.size("__terms")).cast("long").alias("n_spans"))
