@@ -12,6 +12,7 @@ import unicodedata
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -192,49 +193,76 @@ class Lexicon:
         return self.ids[self.outputs[number] : self.outputs[number + 1]].tolist() if self.finals[state] else None
 
 
+class Memo(dict):
+    """The ids and the tokens of recent pieces of text, each joined by spaces; fills itself on demand."""
+
+    def __init__(self, coder: Coder):
+        super().__init__()
+        self.coder, self.tokens = coder, {}
+
+    def __missing__(self, piece: bytes) -> str:
+        ids = self.coder.piece(piece)
+        self[piece] = found = " ".join(map(str, ids))
+        self.tokens[piece] = self.coder.decode(ids)
+        return found
+
+
 class Coder:
     """Encodes and decodes texts: recent pieces by memo, frequent words by lexicon, others by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo: dict[bytes, tuple[int, str, str]] = {}
+        self.memo = Memo(self)
 
-    def _piece(self, piece: bytes) -> tuple[int, str, str]:
+    def piece(self, piece: bytes) -> list[int]:
         ids: list[int] = []
         for word in self.vocabulary.words(piece.decode("utf-8", "surrogatepass")):
             found = self.lexicon.find(word.encode("utf-8", "surrogatepass")) if self.lexicon else None
             ids += self.vocabulary.merge(word) if found is None else found
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        entry = len(ids), " ".join(map(str, ids)), self.decode(ids)
-        if len(piece) <= 64:
-            self.memo[piece] = entry
-        return entry
+        return ids
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by spaces."""
         return " ".join([self.vocabulary.tokens[i] for i in ids])
 
+    def _part(self, part: str) -> tuple[str, str]:
+        """Ids and tokens of a text without special tokens. Each is one pass of dictionary look-ups over its pieces."""
+        pieces = part.encode("utf-8", "surrogatepass").split()
+        if len(self.memo) >= MEMO:
+            self.memo = Memo(self)
+        ids = " ".join(map(self.memo.__getitem__, pieces))
+        tokens = " ".join(map(self.memo.tokens.__getitem__, pieces))
+        # no token holds a space, so two in a row, or one at an end, stand for a piece without tokens
+        if "  " in ids or ids[:1] == " " or ids[-1:] == " ":
+            ids, tokens = " ".join(ids.split()), " ".join(x for x in tokens.split(" ") if x)
+        return ids, tokens
+
     def encode(self, text: str) -> tuple[int, str, str]:
         """Number of ids, the ids and the tokens, both joined by spaces.
 
         Special tokens' strings in the text are those tokens. No word of the vocabulary spans white space, so the text
         is coded in pieces that ASCII white space bounds.
         """
-        v, memo, found = self.vocabulary, self.memo, []
-        for i, part in enumerate(v.parts.split(text) if v.parts and "<|" in text else [text]):
-            if i % 2:
-                found.append((1, str(v.special[part]), part))
-            else:
-                found += [memo.get(p) or self._piece(p) for p in part.encode("utf-8", "surrogatepass").split()]
-        return sum([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]), " ".join([x[2] for x in found if x[0]])
+        v = self.vocabulary
+        if v.parts and "<|" in text:
+            found = [(str(v.special[part]), part) if i % 2 else self._part(part) for i, part in enumerate(v.parts.split(text))]
+            ids, tokens = (" ".join(x for x in side if x) for side in zip(*found))
+        else:
+            ids, tokens = self._part(text)
+        return ids.count(" ") + 1 if ids else 0, ids, tokens
+
+
+@lru_cache(1)
+def vocabulary(path: str) -> Vocabulary:
+    """A vocabulary file, read once in each worker process."""
+    return Vocabulary(path)
 
 
 def count_words(docs: DataFrame, vocabulary_path: str, text: str = "text", flush: int = 400_000) -> DataFrame:
     """How often each word stands in all texts: columns word (binary), n. Tasks add up before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = Vocabulary(vocabulary_path)
+        v = vocabulary(vocabulary_path)
         pieces: Counter = Counter()
 
         def out():
@@ -261,7 +289,7 @@ def count_words(docs: DataFrame, vocabulary_path: str, text: str = "text", flush
 def compile_lexicon(spark: SparkSession, counts: DataFrame, vocabulary_path: str, size: int = 100_000) -> str:
     """Builds the lexicon of the `size` most frequent words (a parameter, whatever the corpus) and gives its file to all
     executors; returns the name under which SparkFiles finds it."""
-    v = Vocabulary(vocabulary_path)
+    v = vocabulary(vocabulary_path)
     frequent = counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(size).collect()
     folder = tempfile.mkdtemp()  # the driver serves the file from here
     name = f"lexicon-{os.path.basename(folder)}"
@@ -280,7 +308,7 @@ def code(docs: DataFrame, vocabulary_path: str, lexicon: str | None, text: str =
     kinds = f"{key} {dict(docs.dtypes)[key]}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(Vocabulary(vocabulary_path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
+        coder = Coder(vocabulary(vocabulary_path), Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for batch in batches:
             found = []
