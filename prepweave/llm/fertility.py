@@ -18,6 +18,8 @@ WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 SUB_BATCH = 2_000_000
+#: Words that a worker remembers; the memo starts anew when full.
+MEMO = 400_000
 
 
 @dataclass(frozen=True)
@@ -116,14 +118,22 @@ class Vocabularies:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        model = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
-        covered = {c for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i)) for c in model.id_to_piece(i)} | set(WHITE)
-        #: UTF-8 bytes of each code point that no piece holds, 0 for the others
-        self.fallback = np.array([0, 1, 2, 3, 4], np.uint8)[1 + (np.arange(0x110000) > 0x7F).astype(int) + (np.arange(0x110000) > 0x7FF) + (np.arange(0x110000) > 0xFFFF)]
-        self.fallback[[ord(c) for c in covered]] = 0
-
-    def measure(self, text: str) -> tuple[int, float, float, float, str]:
-        """Tokens, characters per token, byte-fallback share, entropy in bits, script."""
+        self.model = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
+        self.byte_tokens = frozenset(i for i in range(self.model.get_piece_size()) if self.model.is_byte(i))
+        self.memo: dict[bytes, int] = {}
+
+    def fallback_bytes(self, words: list[bytes]) -> int:
+        """How many bytes of the words the piece model spells as byte tokens. Its pieces do not span white space, so words are
+        encoded one by one, and recent ones from a memo."""
+        new = [w for w in set(words) if w not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo, new = {}, list(set(words))
+        for w, ids in zip(new, self.model.encode([w.decode("utf-8", "replace") for w in new])):
+            self.memo[w] = sum(i in self.byte_tokens for i in ids)
+        return sum(map(self.memo.__getitem__, words))
+
+    def measure(self, text: str, words: list[bytes]) -> tuple[int, float, float, float, str]:
+        """Tokens, characters per token, byte-fallback share, entropy in bits, script; words are those of the text."""
         tokens = self.encoding.encode_to_numpy(text, disallowed_special=())
         if not len(tokens):
             return 0, 0.0, 0.0, 0.0, "other"
@@ -131,7 +141,7 @@ class Vocabularies:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         scripts = np.bincount(_script_table()[points], minlength=len(NAMES))
         script = NAMES[1 + int(scripts[1:].argmax())] if scripts[1:].any() else "other"
-        share = float(self.fallback[points].sum(dtype=np.int64)) / max(1, len(text.encode("utf-8", "surrogatepass")))
+        share = self.fallback_bytes(words) / max(1, len(text.encode("utf-8", "surrogatepass")))
         return len(tokens), len(text) / len(tokens), share, float(-(counts * np.log2(counts)).sum()), script
 
 
@@ -196,7 +206,7 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str,
                 for (k, lg, t, words), again in zip(held, repeats):
                     n, again = len(words), int(again)
                     failed = n < 20 or 100 * again > 30 * n
-                    tokens, per, share, entropy, script = tools.measure(t)
+                    tokens, per, share, entropy, script = tools.measure(t, words)
                     band = bands.get(lg) or bands.get(script) or bands["other"]
                     rows.append((k, n, len(t) - sum(t.count(c) for c in WHITE), sum(t.count(c) for c in SYMBOLS), duplicate_lines(t), again, failed, not failed and accepted(band, tokens, per, share, entropy), tokens, per, share, entropy, script, lg, min(OCTAVES, tokens.bit_length())))
                 held.clear()
