@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from prepweave.llm.common import WORD, row_name, word_count, written
+from prepweave.llm.common import WORD, once, row_name, word_count, written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -49,6 +49,16 @@ def permuted(index: Column, n: Column, *key: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), step)
 
 
+def running_total(df: DataFrame, keys: list[str], order: str, value: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds the running total of value up to each row, over rows of the same keys (never null) by `order`, an integer that
+    each key has once. Totals of ranges of `width` are summed first, so no task holds all rows of a key."""
+    df = df.withColumn("__range", F.expr(f"{order} div {width}"))
+    before = W.partitionBy(*keys).orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    bases = df.groupBy(*keys, "__range").agg(F.sum(value).alias("__sum")).withColumn("__base", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    inside = W.partitionBy(*keys, "__range").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+    return df.withColumn("__inside", F.sum(value).over(inside)).join(bases, [*keys, "__range"]).withColumn(name, F.col("__base") + F.col("__inside")).drop("__range", "__base", "__inside")
+
+
 def pack(docs: DataFrame, text: str, block_tokens: int) -> DataFrame:
     """The documents with their size and place in their source's stream of words: adds size, __row (names doc_id, source and text), __offset.
 
@@ -94,12 +104,12 @@ def slots(sources: DataFrame, block_tokens: int, shard_slots: int, seed: int) ->
     spread = F.broadcast(spread) if counted.count() <= 100_000 else spread  # at most a row per source and per cell
     counts = drawn.join(spread, "cell").filter("draw >= low and draw < high").groupBy("shard", "n").agg(F.count("*").alias("slots"))
     counts = written(counts, "draws")
-    running = W.partitionBy("n").orderBy("shard").rowsBetween(W.unboundedPreceding, 0)  # one row per shard and source
-    placed = counts.join(counted.select("n", "quota"), "n").withColumn("upto", F.least(F.sum("slots").over(running), F.col("quota")))
-    placed = placed.withColumn("first", F.least(F.sum("slots").over(running) - F.col("slots"), F.col("quota"))).withColumn("kept", F.col("upto") - F.col("first"))
+    placed = running_total(counts, ["n"], "shard", "slots", "__sum").join(counted.select("n", "quota"), "n")
+    placed = placed.withColumn("upto", F.least("__sum", "quota")).withColumn("first", F.least(F.col("__sum") - F.col("slots"), F.col("quota"))).withColumn("kept", F.col("upto") - F.col("first")).drop("__sum")
+    placed = written(placed, "placed")
     # what was drawn above a quota, in order of shard, meets what other sources lack, in order of source
     spill = placed.groupBy("shard").agg(F.sum(F.col("slots") - F.col("kept")).alias("over")).filter("over > 0")
-    spill = spill.withColumn("s_high", F.sum("over").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, 0))).withColumn("s_low", F.col("s_high") - F.col("over"))
+    spill = running_total(spill, [], "shard", "over", "s_high").withColumn("s_low", F.col("s_high") - F.col("over"))
     lack = counted.select("n", "quota").join(placed.groupBy("n").agg(F.sum("kept").alias("got")), "n", "left").select("n", F.coalesce("got", F.lit(0)).alias("got"), (F.col("quota") - F.coalesce("got", F.lit(0))).alias("lack")).filter("lack > 0")
     lack = lack.withColumn("l_high", F.sum("lack").over(W.orderBy("n").rowsBetween(W.unboundedPreceding, 0))).withColumn("l_low", F.col("l_high") - F.col("lack"))
     step = 4096
@@ -107,7 +117,10 @@ def slots(sources: DataFrame, block_tokens: int, shard_slots: int, seed: int) ->
     refill = spill.select("shard", "s_low", "s_high", cells("s_low", "s_high")).join(lack.select("n", "got", "l_low", "l_high", cells("l_low", "l_high")), "cell")
     refill = refill.filter("s_low < l_high and l_low < s_high").select("shard", "n", F.expr("got + greatest(s_low, l_low) - l_low").alias("first"), F.expr("least(s_high, l_high) - greatest(s_low, l_low)").alias("kept")).distinct()
     runs = placed.filter("kept > 0").select("shard", "n", "first", "kept").unionByName(refill)
-    each = runs.join(counted.select("n", "source", "n_blocks"), "n").select("shard", "source", "n_blocks", F.explode(F.expr("sequence(first, first + kept - 1)")).alias("i"))
+    # a run is at most a shard's slots; runs are dealt out before each becomes a row a slot
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 2_000_000)
+    dealt = runs.join(counted.select("n", "source", "n_blocks"), "n").repartition(tasks, "shard", "n")
+    each = dealt.select("shard", "source", "n_blocks", F.explode(F.expr("sequence(first, first + kept - 1)")).alias("i"))
     each = each.withColumn("pass", F.expr("i div n_blocks"))
     key = F.lit(seed), F.coalesce("source", F.lit("\0null")), F.col("pass")
     return each.select("shard", "source", "pass", permuted(F.expr("i % n_blocks"), F.col("n_blocks"), *key).alias("block"))
@@ -155,6 +168,6 @@ def mixed_texts(docs: DataFrame, pieces: DataFrame, text: str = "text") -> DataF
     order = W.partitionBy("__row").orderBy(F.xxhash64(*others) if others else F.lit(0))
     # the rows of one name, in any order, meet the places that the stream gave them
     joined = docs.withColumn("__row", row_name("doc_id", "source", text)).withColumn("__n", F.row_number().over(order) - 1).join(each, "__row")
-    joined = joined.withColumn("__runs", F.get("__each", F.col("__n"))["runs"]).filter("__runs is not null").withColumn("__words", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
-    taken = F.transform("__runs", lambda r: F.array_join(F.slice("__words", (r["start"] + 1).cast("int"), r["words"].cast("int")), " "))
-    return joined.withColumn(text, F.array_join(taken, " ")).drop("__runs", "__words", "__each", "__n", "__row")
+    joined = joined.withColumn("__runs", F.get("__each", F.col("__n"))["runs"]).filter("__runs is not null")
+    take = lambda words: F.array_join(F.transform("__runs", lambda r: F.array_join(F.slice(words, (r["start"] + 1).cast("int"), r["words"].cast("int")), " ")), " ")
+    return joined.withColumn(text, once(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), take)).drop("__runs", "__each", "__n", "__row")
