@@ -11,7 +11,7 @@ import tempfile
 import unicodedata
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -19,13 +19,16 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from prepweave.llm.common import written
 
 #: Fixed values of the vocabulary's format: white space of its normaliser, its splitting pattern, its end of word.
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+"
 END = "</w>"
-#: Entries of a worker's memo of recent pieces of text; it is emptied when full.
-MEMO = 200_000
+#: Entries of a worker's memos of recent pieces and words, twice at most.
+MEMO = 300_000
 #: Words up to so many symbols are merged by plain search, longer ones with a heap.
 SHORT = 24
 #: The rank of a pair that is not joined.
@@ -194,44 +197,52 @@ class Lexicon:
 
 
 class Memo(dict):
-    """The ids and the tokens of recent pieces of text, each joined by spaces; fills itself on demand."""
+    """Remembers what `make` gives. When `size` entries are full they become the old ones, from which those that are asked
+    for again come back; so frequent keys stay and twice `size` bounds the entries."""
 
-    def __init__(self, coder: Coder):
+    def __init__(self, make: Callable, size: int):
         super().__init__()
-        self.coder, self.tokens = coder, {}
-
-    def __missing__(self, piece: bytes) -> str:
-        ids = self.coder.piece(piece)
-        self[piece] = found = " ".join(map(str, ids))
-        self.tokens[piece] = self.coder.decode(ids)
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = found
         return found
 
 
 class Coder:
-    """Encodes and decodes texts: recent pieces by memo, frequent words by lexicon, others by merging."""
+    """Encodes and decodes texts: recent pieces and words by memo, frequent words by lexicon, others by merging."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.vocabulary, self.lexicon = vocabulary, lexicon
-        self.memo = Memo(self)
+        self.pieces, self.words = Memo(self._piece, MEMO), Memo(self._word, MEMO)
+
+    def _word(self, word: str) -> tuple[str, str]:
+        """The ids and the tokens of a word, each joined by spaces."""
+        ids = self.lexicon.find(word.encode("utf-8", "surrogatepass")) if self.lexicon else None
+        ids = self.vocabulary.merge(word) if ids is None else ids
+        return " ".join(map(str, ids)), self.decode(ids)
 
-    def piece(self, piece: bytes) -> list[int]:
-        ids: list[int] = []
-        for word in self.vocabulary.words(piece.decode("utf-8", "surrogatepass")):
-            found = self.lexicon.find(word.encode("utf-8", "surrogatepass")) if self.lexicon else None
-            ids += self.vocabulary.merge(word) if found is None else found
-        return ids
+    def _piece(self, piece: bytes) -> tuple[str, str]:
+        words = self.vocabulary.words(piece.decode("utf-8", "surrogatepass"))
+        if len(words) == 1:
+            return self.words[words[0]]
+        found = [self.words[w] for w in words]
+        return " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
     def decode(self, ids: list[int]) -> str:
         """The file names no decoder, so tokens are joined by spaces."""
         return " ".join([self.vocabulary.tokens[i] for i in ids])
 
     def _part(self, part: str) -> tuple[str, str]:
-        """Ids and tokens of a text without special tokens. Each is one pass of dictionary look-ups over its pieces."""
-        pieces = part.encode("utf-8", "surrogatepass").split()
-        if len(self.memo) >= MEMO:
-            self.memo = Memo(self)
-        ids = " ".join(map(self.memo.__getitem__, pieces))
-        tokens = " ".join(map(self.memo.tokens.__getitem__, pieces))
+        """Ids and tokens of a text without special tokens."""
+        found = list(map(self.pieces.__getitem__, part.encode("utf-8", "surrogatepass").split()))
+        ids, tokens = " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
         # no token holds a space, so two in a row, or one at an end, stand for a piece without tokens
         if "  " in ids or ids[:1] == " " or ids[-1:] == " ":
             ids, tokens = " ".join(ids.split()), " ".join(x for x in tokens.split(" ") if x)
@@ -287,10 +298,16 @@ def count_words(docs: DataFrame, vocabulary_path: str, text: str = "text", flush
 
 
 def compile_lexicon(spark: SparkSession, counts: DataFrame, vocabulary_path: str, size: int = 100_000) -> str:
-    """Builds the lexicon of the `size` most frequent words (a parameter, whatever the corpus) and gives its file to all
+    """Builds the lexicon of the most frequent words, `size` at most (a parameter, whatever the corpus; words of one count enter
+    together or not at all), and gives its file to all
     executors; returns the name under which SparkFiles finds it."""
     v = vocabulary(vocabulary_path)
-    frequent = counts.filter("n > 1").orderBy(F.desc("n"), "word").limit(size).collect()
+    counts = written(counts.filter("n > 1"), "word-counts")
+    # the least count of which all words fit: found over the different counts, which are few, so that tasks send no words
+    # that do not enter the lexicon
+    upto = F.sum("words").over(W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, 0))
+    least = counts.groupBy("n").agg(F.count("*").alias("words")).withColumn("upto", upto).filter(F.col("upto") <= size).agg(F.min("n")).first()[0]
+    frequent = counts.filter(F.col("n") >= least).select("word").collect() if least is not None else []
     folder = tempfile.mkdtemp()  # the driver serves the file from here
     name = f"lexicon-{os.path.basename(folder)}"
     build([(bytes(r["word"]), v.merge(bytes(r["word"]).decode("utf-8", "surrogatepass"))) for r in frequent], os.path.join(folder, name))
