@@ -306,7 +306,8 @@ _o = {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "text",
 def _value(node, fields=("o_orderkey",)):
     def run(spark, sf_dir):
         o = table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate")).withColumn("st", F.expr("nullif(o_orderstatus, 'P')"))
-        return doubled(o.select("o_orderkey", ex.compile_expression(node, _o, TODAY).value.alias("v")))
+        out, (done,) = ex.evaluated(o, [node], _o, TODAY)
+        return doubled(out.select("o_orderkey", done.value.alias("v")))
 
     return run
 
@@ -315,6 +316,11 @@ _k, _c, _st, _pr = fld("o_orderkey"), fld("o_custkey"), fld("st"), fld("o_orderp
 _flag = fn("equal", fn("extract_month", fld("day")), lit(1, "integer"))
 _d = "CAST(o_orderdate AS DATE)"
 _S = "NULLIF(o_orderstatus, 'P')"
+# calls in calls to the deepest level that is allowed
+_nested, _nested_sql = _k, "o_orderkey"
+for _i in range(31):
+    _nested = (fn("add", _nested, _c), fn("subtract", _nested, lit(700, "integer")), fn("absolute", _nested))[_i % 3]
+    _nested_sql = (f"({_nested_sql} + o_custkey)", f"({_nested_sql} - 700)", f"abs({_nested_sql})")[_i % 3]
 EXPRESSIONS = {
     "add": (fn("add", _k, _c), "o_orderkey + o_custkey"),
     "subtract": (fn("subtract", _k, _c), "o_orderkey - o_custkey"),
@@ -323,6 +329,7 @@ EXPRESSIONS = {
     "percentage": (fn("percentage", _k, lit(8, "integer")), "o_orderkey * 12.5::DOUBLE"),
     "absolute": (fn("absolute", fn("subtract", _c, _k)), "abs(o_custkey - o_orderkey)"),
     "round": (fn("round", fn("divide", _k, lit(8, "integer")), lit(1, "integer")), "CAST(round(CAST(o_orderkey / 8.0 AS DECIMAL(18,6)), 1) AS DOUBLE)"),
+    "nested": (_nested, _nested_sql),
     "minimum": (fn("minimum", _k, _c), "least(o_orderkey, o_custkey)"),
     "maximum": (fn("maximum", _k, _c), "greatest(o_orderkey, o_custkey)"),
     "concatenate": (fn("concatenate", _st, lit("-", "text"), _k, fn("equal", _k, _c)), f"CASE WHEN {_S} IS NOT NULL THEN o_orderstatus || '-' || o_orderkey || CASE WHEN o_orderkey = o_custkey THEN 'True' ELSE 'False' END END"),

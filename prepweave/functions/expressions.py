@@ -1,4 +1,4 @@
-"""The closed expression language: static types, and a compiler to a value column and an error column.
+"""The closed expression language: static types, and a compiler to columns for the values and the errors of all parts.
 
 Evaluation is eager: an error in any argument fails the row, even in a branch that is not taken. Every function but
 today, is_null, is_not_null, coalesce and if gives null as soon as one argument is null.
@@ -215,7 +215,9 @@ def _call(name: str, a: list[Compiled], kind: str, today: dt.date) -> tuple[Colu
     if name == "round":
         x = v[0].cast("decimal(18,6)")
         places = a[1].value if len(a) > 1 else F.lit(0)
-        made = reduce(lambda other, n: F.when(places == n, F.round(x, n).cast(target)).otherwise(other), range(-6, 6), x)
+        # a decimal(18,6) has 12 digits before the point and 6 behind it
+        made = F.when(places < -12, F.lit(0).cast(target)).otherwise(x)
+        made = reduce(lambda other, n: F.when(places == n, F.round(x, n).cast(target)).otherwise(other), range(-12, 6), made)
         return made.try_cast(target), None
     if name in ("minimum", "maximum"):
         return (F.least if name == "minimum" else F.greatest)(*numbers), None
@@ -247,17 +249,55 @@ def _call(name: str, a: list[Compiled], kind: str, today: dt.date) -> tuple[Colu
     return part(v[0]).cast("bigint"), None
 
 
-def compile_expression(node: Node, types: dict[str, str], today: dt.date) -> Compiled:
-    """The expression as columns; types gives the fields' types. today is the plan's date, never the clock's."""
-    kind = infer_type(node, types)
+class Steps:
+    """An expression as steps that each add columns to a table: a call names its arguments' columns, so that a plan grows with
+    the number of calls and not with the number of paths to them. A part that stands in several places is one
+    column."""
+
+    def __init__(self, types: dict[str, str], today: dt.date, prefix: str):
+        self.types, self.today, self.prefix = types, today, prefix
+        self.levels: list[dict[str, Column]] = []
+        self.known: dict[int, tuple[Compiled, int]] = {}
+
+    def add(self, node: Node) -> tuple[Compiled, int]:
+        """The columns of a part, and the step that makes them."""
+        if id(node) not in self.known:
+            below = [self.add(x) for x in node.arguments]
+            level = max([0, *(n + 1 for _, n in below)])
+            made = _compiled(node, [c for c, _ in below], self.types, self.today)
+            names = [f"{self.prefix}{len(self.known)}_{part}" for part in ("value", "error")]
+            self.levels += [{}] * (level + 1 - len(self.levels))
+            self.levels[level] = self.levels[level] | dict(zip(names, (made.value, made.error)))
+            self.known[id(node)] = Compiled(F.col(names[0]), F.col(names[1]), made.data_type), level
+        return self.known[id(node)]
+
+
+def evaluated(df: DataFrame, nodes: list[Node], types: dict[str, str], today: dt.date, prefix: str = "__step") -> tuple[DataFrame, list[Compiled]]:
+    """The table with columns for the expressions and their parts, whose names begin with the prefix, and the expressions'
+    values and errors as columns of it. types gives the fields' types. today is the plan's date, never the clock's."""
+    for node in nodes:
+        infer_type(node, types)
+    steps = Steps(types, today, prefix)
+    done = [steps.add(node)[0] for node in nodes]
+    for columns in steps.levels:
+        df = df.withColumns(columns)
+    return df, done
+
+
+def without_steps(df: DataFrame, prefix: str = "__step") -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(prefix)])
+
+
+def _compiled(node: Node, a: list[Compiled], types: dict[str, str], today: dt.date) -> Compiled:
+    """One node over the columns of its arguments."""
     if node.kind == "field":
         value, error = typed(F.col(f"`{node.name}`"), types[node.name])
-        return Compiled(value, error, kind)
+        return Compiled(value, error, infer_type(node, types))
     if node.kind == "literal":
         raw = None if node.value is None else str(node.value)
         value, error = typed(F.lit(raw), node.data_type)
-        return Compiled(value, error, kind)
-    a = [compile_expression(x, types, today) for x in node.arguments]
+        return Compiled(value, error, infer_type(node, types))
+    kind = result_type(node.name, [x.data_type for x in a])
     failed = F.coalesce(*[x.error for x in a]) if a else F.lit(None).cast("string")
     if node.name == "today":
         return Compiled(F.lit(today), F.lit(None).cast("string"), kind)
@@ -300,8 +340,8 @@ def apply_calculation(df: DataFrame, config: Calculation, types: dict[str, str],
         raise PlanError("CALCULATION_TYPE_MISMATCH", f"{config.calculation_id}: {kind}, not {wanted}")
     if config.error_policy not in ("set_null", "reject_row", "stop"):
         raise PlanError("CALCULATION_POLICY_UNSUPPORTED", config.error_policy)
-    done = compile_expression(config.expression, types, today)
-    out = df.withColumns({"__value": done.value, "__error": done.error})
+    out, (done,) = evaluated(df, [config.expression], types, today)
+    out = without_steps(out.withColumns({"__value": done.value, "__error": done.error}))
     if config.error_policy == "stop" and not out.filter("__error is not null").isEmpty():
         raise PlanError("CALCULATION_STOPPED", config.calculation_id)
     before = F.col(REASONS) if REASONS in df.columns else F.array().cast("array<string>")

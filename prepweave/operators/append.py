@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from prepweave.errors import PlanError
 from prepweave.operators.cleaning import need
@@ -90,18 +89,20 @@ def append_tables(tables: list[DataFrame], config: AppendConfig = AppendConfig()
     first = [f for f in config.output_field_order if f in out.columns]
     names = first + [c for c in out.columns if c not in first and c != "__place"]
     keys = _keys(out.drop("__place"), [] if config.duplicate_policy == "remove_exact" else config.duplicate_key_fields)
-    by = W.partitionBy(*keys)
     duplicates = out.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("duplicate_rows"))
     if config.duplicate_policy == "keep_all":
         return Result(out.select(*names), duplicates=duplicates)
     if config.duplicate_policy in ("reject", "route_review"):
-        counted = out.withColumn("__n", F.count("*").over(by))
+        # repeated keys are counted before they meet the rows, so that a frequent key is not one task's window
+        names_of = {f"__key_{i}": F.col(f"`{k}`") for i, k in enumerate(keys)}
+        repeated = out.groupBy(*[c.alias(n) for n, c in names_of.items()]).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+        same = reduce(lambda a, b: a & b, [c.eqNullSafe(F.col(n)) for n, c in names_of.items()])
         code = "DUPLICATE_ROW_REJECTED" if config.duplicate_policy == "reject" else "DUPLICATE_ROW_REVIEW"
-        aside = counted.filter("__n > 1").select(*names, F.lit(code).alias("__reason_codes"))
-        kept = counted.filter("__n = 1").select(*names)
+        aside = out.join(repeated, same, "left_semi").select(*names, F.lit(code).alias("__reason_codes"))
+        kept = out.join(repeated, same, "left_anti").select(*names)
         return Result(kept, **{"rejected" if config.duplicate_policy == "reject" else "review": aside}, duplicates=duplicates)
     rest = order or sorted(c for c in names if c not in keys)
-    last = config.duplicate_policy == "keep_last"
-    sort = [F.desc(c) if last else F.asc(c) for c in ("__place", *rest)]
-    kept = out.withColumn("__n", F.row_number().over(by.orderBy(*sort))).filter("__n = 1")
-    return Result(kept.select(*names), duplicates=duplicates)
+    best = F.max_by if config.duplicate_policy == "keep_last" else F.min_by
+    # combined before the shuffle, so a frequent key sends a row from each task
+    kept = out.groupBy(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)]).agg(best(F.struct(*[F.col(f"`{c}`") for c in names]), F.struct("__place", *[F.col(f"`{c}`") for c in rest])).alias("__row"))
+    return Result(kept.select(*[F.col("__row")[c].alias(c) for c in names]), duplicates=duplicates)

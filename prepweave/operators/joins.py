@@ -47,11 +47,18 @@ def _key_names(n: int) -> list[str]:
     return [f"__join_key_{i}" for i in range(n)]
 
 
-def keyed(df: DataFrame, keys: list[str], normalisation: list[str]) -> DataFrame:
-    """Adds the normalised keys. A key that nothing normalises and both sides type alike stays as it is."""
-    need(df, keys, "JOIN_KEYS_NOT_FOUND")
-    normal = lambda c: reduce(lambda x, n: NORMALISERS[n](x), normalisation, c)
-    return df.withColumns({k: normal(F.col(f"`{c}`").cast("string")) for k, c in zip(_key_names(len(keys)), keys)})
+def keyed(left: DataFrame, right: DataFrame, config: JoinConfig) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the normalised keys. A key that nothing normalises and that both sides type alike stays as it is, so
+    that buckets and filters on it serve the join; other keys are compared as text."""
+    need(left, config.left_keys, "JOIN_KEYS_NOT_FOUND")
+    need(right, config.right_keys, "JOIN_KEYS_NOT_FOUND")
+    normal = lambda c: reduce(lambda x, n: NORMALISERS[n](x), config.key_normalisation, c)
+    kinds = [dict(df.dtypes) for df in (left, right)]
+    plain = [not config.key_normalisation and kinds[0][a] == kinds[1][b] for a, b in zip(config.left_keys, config.right_keys)]
+    sides = []
+    for df, keys in ((left, config.left_keys), (right, config.right_keys)):
+        sides.append(df.withColumns({k: F.col(f"`{c}`") if as_is else normal(F.col(f"`{c}`").cast("string")) for k, c, as_is in zip(_key_names(len(keys)), keys, plain)}))
+    return sides[0], sides[1]
 
 
 def _any_null(keys: list[str]) -> Column:
@@ -65,8 +72,7 @@ def analyse(left: DataFrame, right: DataFrame, config: JoinConfig) -> DataFrame:
     """
     keys = _key_names(len(config.left_keys))
     nulls = config.null_key_policy == "match_nulls"
-    count = lambda df, fields, name: keyed(df, fields, config.key_normalisation).groupBy(*keys).agg(F.count("*").alias(name))
-    a, b = count(left, config.left_keys, "__l").alias("a"), count(right, config.right_keys, "__r").alias("b")
+    a, b = (df.groupBy(*keys).agg(F.count("*").alias(f"__{name}")).alias(alias) for df, name, alias in zip(keyed(left, right, config), "lr", "ab"))
     on = reduce(lambda x, y: x & y, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) if nulls else F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys])
     null = lambda side: reduce(lambda x, y: x | y, [F.col(f"{side}.{k}").isNull() for k in keys])
     met = a.join(b, on, "full").select(F.col("__l").alias("l"), F.col("__r").alias("r"), null("a").alias("an"), null("b").alias("bn"))
@@ -103,7 +109,7 @@ def join_tables(left: DataFrame, right: DataFrame, config: JoinConfig, order: tu
     order gives the fields that order each side's rows for keep_first and keep_last.
     """
     keys = _key_names(len(config.left_keys))
-    l, r = keyed(left, config.left_keys, config.key_normalisation), keyed(right, config.right_keys, config.key_normalisation)
+    l, r = keyed(left, right, config)
     if config.null_key_policy == "reject" and not (l.filter(_any_null(keys)).isEmpty() and r.filter(_any_null(keys)).isEmpty()):
         raise PlanError("JOIN_NULL_KEYS_REJECTED")
     diagnostics = analyse(left, right, config)

@@ -6,10 +6,10 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from prepweave.errors import PlanError
 from prepweave.operators.cleaning import ROW_ID, slug
+from prepweave.tables import written
 
 TYPES = {"text": "string", "integer": "bigint", "decimal": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp"}
 
@@ -68,20 +68,21 @@ def resolve(mapping: Mapping, target: Field, columns: list[str]) -> str | None:
 def with_row_ids(df: DataFrame, order: list[str]) -> DataFrame:
     """Numbers rows from 1 in the order of the fields, which must be a key for the numbers to be stable.
 
-    Rows are sorted by range over all tasks; only the counts of the ranges meet on the driver.
+    Rows are sorted by range over all tasks and written once with the number of their range and their place in it, as two
+    plans would not cut the same ranges. Only the sizes of the ranges meet on the driver.
     """
     if ROW_ID in df.columns:
         return df
     spark = df.sparkSession
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    inside = placed.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    counts = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}  # one row a range
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    placed = written(placed, "ranges").withColumn("__part", F.shiftright("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row a range
     bases, total = [], 0
     for p in sorted(counts):
         bases.append((p, total))
         total += counts[p]
-    starts = spark.createDataFrame(bases or [(0, 0)], "__part int, __base long")
-    return inside.join(F.broadcast(starts), "__part").withColumn(ROW_ID, (F.col("__base") + F.col("__in")).cast("long")).drop("__part", "__in", "__base")
+    starts = spark.createDataFrame(bases or [(0, 0)], "__part long, __base long")
+    return placed.join(F.broadcast(starts), "__part").withColumn(ROW_ID, F.col("__base") + F.col("__in") + 1).drop("__at", "__part", "__in", "__base")
 
 
 def apply_mapping(df: DataFrame, mapping_set: MappingSet) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from prepweave.errors import PlanError
-from prepweave.functions.expressions import Node, compile_expression, infer_type
+from prepweave.functions.expressions import Node, evaluated, infer_type, without_steps
 
 MODES = ("excel_files", "excel_sheets", "csv_files", "zip_package")
 LARGEST_CHUNK = 1_048_575
@@ -76,7 +76,8 @@ def split_table(df: DataFrame, config: SplitConfig, order: list[str], today=None
         types = canonical_types(df)
         if infer_type(config.condition, types) != "boolean":
             raise PlanError("SPLIT_CONDITION_MUST_BE_BOOLEAN")
-        out = out.filter(compile_expression(config.condition, types, today).value)
+        out, (condition,) = evaluated(out, [config.condition], types, today)
+        out = without_steps(out.filter(condition.value))
     parts = [F.col(f"`{f}`").cast("string") for f in config.fields]
     if config.fields and config.date_part != "none":
         parts[0] = _part(F.col(f"`{config.fields[0]}`"), config.date_part)

@@ -49,8 +49,8 @@ def valid_type(s: Column, data_type: str) -> Column:
     return F.lit(True)
 
 
-def invalid(rule: Rule) -> Column:
-    """Where a row breaks the rule. Missing values pass all rules but `required`."""
+def invalid(rule: Rule, spread: Column | None = None) -> Column:
+    """Where a row breaks the rule. Missing values pass all rules but `required`. spread deals out rows of missing values."""
     c = F.col(f"`{rule.field_id}`")
     s, config = c.cast("string"), rule.config
     missing = text.is_blank(c)
@@ -59,7 +59,8 @@ def invalid(rule: Rule) -> Column:
     if rule.rule_type == "data_type":
         bad = ~valid_type(s, config["data_type"])
     elif rule.rule_type == "unique":
-        bad = F.count(c).over(W.partitionBy(c)) > 1
+        # missing values pass, so they are dealt out and not brought together
+        bad = F.count(c).over(W.partitionBy(c, F.when(missing, F.lit(0) if spread is None else spread))) > 1
     elif rule.rule_type == "allowed_values":
         bad = ~c.isin(list(config["values"]))
     elif rule.rule_type == "min_max":
@@ -90,9 +91,10 @@ def annotate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     if not rules:
         return df.withColumn(FINDINGS, F.array().cast(kind))
     row = F.col(ROW_ID).cast("long") if ROW_ID in df.columns else F.lit(None).cast("long")
+    spread = F.xxhash64(ROW_ID) if ROW_ID in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     parts = [
         F.when(
-            invalid(r),
+            invalid(r, spread),
             F.struct(
                 row.alias("row_id"), F.lit(r.field_id).alias("field_id"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"),
                 F.lit(r.reason_code).alias("reason_code"), F.lit(r.message).alias("message"), F.col(f"`{r.field_id}`").cast("string").alias("original_value"),

@@ -1,10 +1,11 @@
 import datetime as dt
+import time
 from decimal import Decimal
 
 import pytest
 
 from prepweave.errors import PlanError
-from prepweave.functions.expressions import REASONS, Calculation, apply_calculation, compile_expression, fld, fn, infer_type, lit, referenced_fields
+from prepweave.functions.expressions import REASONS, Calculation, apply_calculation, evaluated, fld, fn, infer_type, lit, referenced_fields
 
 TODAY = dt.date(2026, 7, 17)
 T = {"t": "text", "i": "integer", "d": "decimal", "b": "boolean", "day": "date", "n": "text"}
@@ -31,7 +32,7 @@ CASES = [
 
 def test_functions(spark):
     df = spark.createDataFrame(ROW, "t string, i string, d string, b string, day string, n string")
-    done = [compile_expression(node, T, TODAY) for node, _ in CASES]
+    df, done = evaluated(df, [node for node, _ in CASES], T, TODAY)
     row = df.select(*[c.value.alias(f"v{k}") for k, c in enumerate(done)], *[c.error.alias(f"e{k}") for k, c in enumerate(done)]).first()
     for k, (node, want) in enumerate(CASES):
         got = row[f"v{k}"]
@@ -43,14 +44,14 @@ def test_functions(spark):
 def test_errors_are_eager(spark, value):
     df = spark.createDataFrame([(value,)], "v string")
     node = fn("if", fn("equal", i(1), i(1)), i(1), fld("v"))
-    c = compile_expression(node, {"v": "integer"}, TODAY)
+    df, (c,) = evaluated(df, [node], {"v": "integer"}, TODAY)
     assert tuple(df.select(c.value, c.error).first()) == (None, "VALUE_INVALID")
 
 
 @pytest.mark.parametrize("value,ok", [("2026", False), ("2026-7-1", False), ("2026-02-30", False), ("2026-07-01", True)])
 def test_only_iso_dates(spark, value, ok):
-    c = compile_expression(fld("v"), {"v": "date"}, TODAY)
-    row = spark.createDataFrame([(value,)], "v string").select(c.value, c.error).first()
+    df, (c,) = evaluated(spark.createDataFrame([(value,)], "v string"), [fld("v")], {"v": "date"}, TODAY)
+    row = df.select(c.value, c.error).first()
     assert (row[0] is not None) is ok and (row[1] is None) is ok
 
 
@@ -77,3 +78,22 @@ def test_types():
     with pytest.raises(PlanError, match="EXPRESSION_TOO_DEEP"):
         infer_type(deep, {})
     assert referenced_fields(fn("add", fld("a"), fn("length", fld("b")))) == {"a", "b"}
+
+
+def test_deep_expressions(spark):
+    """A plan grows with the number of calls, not with that of the paths to them."""
+    node = fld("v")
+    for k in range(31):
+        node = fn("subtract", node, i(1)) if k % 2 else fn("maximum", node, node)
+    df, (c,) = evaluated(spark.createDataFrame([("40",), ("x",)], "v string"), [node], {"v": "integer"}, TODAY)
+    out = df.select(c.value.alias("v"), c.error.alias("e"))
+    began = time.perf_counter()
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert time.perf_counter() - began < 5 and len(plan) < 200_000
+    assert [tuple(r) for r in out.collect()] == [(25, None), (None, "VALUE_INVALID")]
+
+
+@pytest.mark.parametrize("places,want", [(-7, "120000000"), (-6, "123000000"), (-8, "100000000"), (-9, "0"), (-40, "0"), (0, "123456789"), (9, "123456789.123456")])
+def test_round_to_any_place(spark, places, want):
+    df, (c,) = evaluated(spark.range(1), [fn("round", lit("123456789.123456", "decimal"), i(places))], {}, TODAY)
+    assert df.select(c.value).first()[0] == D(want)
