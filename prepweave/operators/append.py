@@ -34,6 +34,8 @@ class Result:
     right_unmatched: DataFrame | None = None
     duplicates: DataFrame | None = None
     diagnostics: DataFrame | None = None
+    #: How many rows a keep policy drops, counted over the keys.
+    surplus: DataFrame | None = None
 
 
 def supertype(a: T.DataType, b: T.DataType) -> T.DataType:
@@ -89,7 +91,8 @@ def append_tables(tables: list[DataFrame], config: AppendConfig = AppendConfig()
     first = [f for f in config.output_field_order if f in out.columns]
     names = first + [c for c in out.columns if c not in first and c != "__place"]
     keys = _keys(out.drop("__place"), [] if config.duplicate_policy == "remove_exact" else config.duplicate_key_fields)
-    duplicates = out.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("duplicate_rows"))
+    many = out.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1")
+    duplicates = many.agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("duplicate_rows"))
     if config.duplicate_policy == "keep_all":
         return Result(out.select(*names), duplicates=duplicates)
     if config.duplicate_policy in ("reject", "route_review"):
@@ -105,4 +108,4 @@ def append_tables(tables: list[DataFrame], config: AppendConfig = AppendConfig()
     best = F.max_by if config.duplicate_policy == "keep_last" else F.min_by
     # combined before the shuffle, so a frequent key sends a row from each task
     kept = out.groupBy(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)]).agg(best(F.struct(*[F.col(f"`{c}`") for c in names]), F.struct("__place", *[F.col(f"`{c}`") for c in rest])).alias("__row"))
-    return Result(kept.select(*[F.col("__row")[c].alias(c) for c in names]), duplicates=duplicates)
+    return Result(kept.select(*[F.col("__row")[c].alias(c) for c in names]), duplicates=duplicates, surplus=many.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("surplus_rows")))

@@ -68,20 +68,23 @@ def _reorder(df: DataFrame, config: dict) -> DataFrame:
     return df.select(*first, *[c for c in df.columns if c not in first])
 
 
-def _remove_blank(df: DataFrame, config: dict) -> DataFrame:
+def _filled(df: DataFrame, config: dict) -> Column:
     fields = config.get("field_ids") or [c for c in df.columns if not c.startswith("__")]
     need(df, fields, "OPERATION_FIELD_NOT_FOUND")
-    return df.filter(reduce(lambda a, b: a | b, [F.col(f).isNotNull() & (F.col(f).cast("string") != "") for f in fields], F.lit(False)))
+    return reduce(lambda a, b: a | b, [F.col(f).isNotNull() & (F.col(f).cast("string") != "") for f in fields], F.lit(False))
 
 
-def _remove_repeated_headers(df: DataFrame, config: dict) -> DataFrame:
+def _no_header(df: DataFrame, config: dict) -> Column:
     """A null never equals a header, so such a row stays."""
     values: dict[str, str] = config.get("header_values") or {}
-    if not values:
-        return df
     need(df, list(values), "OPERATION_FIELD_NOT_FOUND")
-    same = reduce(lambda a, b: a & b, [F.lower(F.col(f).cast("string")) == v.lower() for f, v in values.items()])
-    return df.filter(~F.coalesce(same, F.lit(False)))
+    same = reduce(lambda a, b: a & b, [F.lower(F.col(f).cast("string")) == v.lower() for f, v in values.items()], F.lit(bool(values)))
+    return ~F.coalesce(same, F.lit(False))
+
+
+#: Operations that remove rows: which rows they keep.
+KEEPS: dict[str, Callable[[DataFrame, dict], Column]] = {"row.remove_blank": _filled, "row.remove_repeated_headers": _no_header}
+GROUPS = "group.aggregate"
 
 
 def _aggregate(df: DataFrame, config: dict) -> DataFrame:
@@ -119,9 +122,8 @@ OPERATIONS: dict[str, Callable[[DataFrame, dict], DataFrame]] = {
     "field.rename": _rename,
     "field.select": _select,
     "field.reorder": _reorder,
-    "row.remove_blank": _remove_blank,
-    "row.remove_repeated_headers": _remove_repeated_headers,
-    "group.aggregate": _aggregate,
+    **{name: lambda df, config, keep=keep: df.filter(keep(df, config)) for name, keep in KEEPS.items()},
+    GROUPS: _aggregate,
 }
 
 
@@ -145,10 +147,12 @@ def apply_operation(df: DataFrame, operation: Operation) -> DataFrame:
     return OPERATIONS[operation.operation_id](df, operation.config)
 
 
-def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Counts the rows that pass, in whatever job reads them, without a pass of its own."""
-    seen = Observation(name)
-    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+def observed(df: DataFrame, dropped: Column | None = None) -> tuple[DataFrame, Observation]:
+    """Counts the rows that pass, and those of them for which dropped holds, in whatever job reads them first, without a pass
+    of its own."""
+    seen = Observation()
+    gone = F.lit(0).cast("long") if dropped is None else F.count_if(dropped)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), (gone if dropped is not None else F.max(gone)).alias("dropped")), seen
 
 
 def affected_rows(before: DataFrame, operation: Operation) -> DataFrame:

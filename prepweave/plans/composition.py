@@ -104,8 +104,8 @@ def run_composition(spark: SparkSession, tables: dict[str, DataFrame], plan: Com
         run.counts = {k: spark.read.parquet(f"{output}/{k}").count() for k, df in parts.items() if df is not None}
         if plan.operation in ("append", "union"):
             run.counts["read"] = sum(t.count() for t in ready.values())
-            run.counts["dropped_duplicates"] = run.counts["read"] - sum(run.counts.get(k, 0) for k in ("processed", "rejected", "review"))
-            if run.counts["dropped_duplicates"] < 0:
+            run.counts["dropped_duplicates"] = result.surplus.first()[0] if result.surplus is not None else 0
+            if run.counts["read"] != sum(run.counts.get(k, 0) for k in ("processed", "rejected", "review", "dropped_duplicates")):
                 raise PlanError("ROW_RECONCILIATION_FAILED", str(run.counts))
         if plan.split:
             written = spark.read.parquet(f"{output}/processed")

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from prepweave.errors import PlanError
 from prepweave.functions.expressions import REASONS, Calculation, apply_calculation
 from prepweave.operators import validation
-from prepweave.operators.cleaning import ROW_ID, Operation, apply_operation
+from prepweave.operators.cleaning import GROUPS, KEEPS, ROW_ID, Operation, apply_operation, observed
 from prepweave.operators.mapping import MappingSet, apply_mapping
 
 SCHEMA_VERSIONS = ("1.0", "1.1", "1.2")
@@ -72,6 +73,10 @@ class WorkflowResult:
     findings: DataFrame
     annotated: DataFrame
     rows_in: DataFrame
+    #: Rows seen on the way: after the mapping, before each operation that removes rows, before and after each grouping.
+    seen: list[tuple[str, Observation]] = field(default_factory=list)
+    #: The same plan anew, for counts where a job that read a part of the rows was the first.
+    again: Callable[[], WorkflowResult] | None = None
 
     def release(self) -> None:
         self.annotated.unpersist()
@@ -90,9 +95,18 @@ def compile_workflow(table: DataFrame, plan: WorkflowPlan, today: dt.date, limit
     """The plan over a table that has __row_id. A limit applies before the operations, so in a preview uniqueness and
     groups are those of the first rows."""
     source = table.orderBy(ROW_ID).limit(limit) if limit else table
-    out = apply_mapping(source, plan.mapping)
+    out, mapped = observed(apply_mapping(source, plan.mapping))
+    seen = [("mapping", mapped)]
     for o in plan.operations:
+        changes = o.enabled and (o.operation_id in KEEPS or o.operation_id == GROUPS)
+        if changes:
+            keep = KEEPS[o.operation_id](out, o.config) if o.operation_id in KEEPS else None
+            out, before = observed(out, None if keep is None else ~keep)
+            seen.append((o.operation_id, before))
         out = apply_operation(out, o)
+        if changes and o.operation_id == GROUPS:
+            out, after = observed(out)
+            seen.append(("grouped", after))
     types = {f.id: f.data_type for f in plan.mapping.fields}
     for o in plan.operations:
         if o.enabled and o.operation_id == "field.rename":
@@ -102,20 +116,40 @@ def compile_workflow(table: DataFrame, plan: WorkflowPlan, today: dt.date, limit
     for c in plan.calculations:
         out = apply_calculation(out, c, types, today)
         types[c.output_canonical_field] = c.output_type
-    annotated = validation.annotate(out, list(plan.rules)).persist()
+    annotated, left = observed(validation.annotate(out, list(plan.rules)))
+    annotated = annotated.persist()
+    seen.append(("the end", left))
     reasons = REASONS if REASONS in annotated.columns else None
     accepted, rejected = validation.split(annotated, reasons)
-    return WorkflowResult(accepted, rejected, validation.findings(annotated), annotated, source)
+    return WorkflowResult(accepted, rejected, validation.findings(annotated), annotated, source, seen, lambda: compile_workflow(table, plan, today, limit))
 
 
 def reconcile(result: WorkflowResult) -> dict[str, int]:
-    """Rows read are rows accepted, rejected, filtered or merged into groups, or the run fails."""
+    """Rows read are rows accepted, rejected, filtered or merged into groups, or the run fails.
+
+    Each part is counted on its own: what the source has, what passes each place that may change the number of rows, how many
+    rows there the filter's condition drops, and what is left. A row that is lost or repeated anywhere else breaks the sum.
+    """
     reasons = REASONS if REASONS in result.annotated.columns else None
     bad = validation.rejecting() | (F.size(reasons) > 0 if reasons else F.lit(False))
     facts = result.annotated.agg(F.count("*").alias("left"), F.count_if(bad).alias("rejected"), F.coalesce(F.sum(F.size(F.filter(validation.FINDINGS, lambda f: f["severity"] == "blocking"))), F.lit(0)).alias("blocking"), F.coalesce(F.sum(F.size(validation.FINDINGS)), F.lit(0)).alias("findings")).first()
-    read = result.rows_in.count()
-    counts = {"read": read, "accepted": facts["left"] - facts["rejected"], "rejected": facts["rejected"], "filtered_or_grouped": read - facts["left"], "findings": facts["findings"], "blocking": facts["blocking"]}
-    if counts["filtered_or_grouped"] < 0:
+    if result.again and result.seen and result.seen[-1][1].get["rows"] != facts["left"]:
+        fresh = result.again()
+        fresh.again = None
+        counts = reconcile(fresh)
+        fresh.release()
+        return counts
+    read = expected = result.rows_in.count()
+    filtered = grouped = 0
+    for name, seen in result.seen:
+        rows, dropped = seen.get["rows"], seen.get["dropped"] or 0
+        if name == "grouped":
+            grouped, expected = grouped + expected - rows, rows
+        elif rows != expected:
+            raise PlanError("ROW_RECONCILIATION_FAILED", f"{expected} rows before {name}, {rows} there")
+        filtered, expected = filtered + dropped, expected - dropped
+    counts = {"read": read, "accepted": facts["left"] - facts["rejected"], "rejected": facts["rejected"], "filtered": filtered, "grouped": grouped, "findings": facts["findings"], "blocking": facts["blocking"]}
+    if facts["left"] != expected or grouped < 0:
         raise PlanError("ROW_RECONCILIATION_FAILED", str(counts))
     return counts
 

@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 
 from prepweave.errors import PlanError
@@ -7,6 +9,7 @@ from prepweave.operators.joins import JoinConfig, analyse, join_tables
 from prepweave.operators.mapping import AlignedSource, AlignmentPlan, Field, Mapping, MappingSet, with_row_ids
 from prepweave.operators.reshape import PivotConfig, UnpivotConfig, pivot_table, unpivot_table
 from prepweave.operators.split import SplitConfig, safe_name, split_table
+from prepweave.plans import composition
 from prepweave.plans.composition import CompositionPlan, run_composition
 from prepweave.plans.evidence import read_manifest
 
@@ -96,7 +99,7 @@ def test_row_ids(spark):
     assert [tuple(r) for r in with_row_ids(df, ["k"]).select("k", "__row_id").orderBy("k").collect()] == [(i, i + 1) for i in range(1000)]
 
 
-def test_run_composition(spark, tmp_path):
+def test_run_composition(spark, tmp_path, monkeypatch):
     fields = (Field("k", data_type="text", required=True), Field("v", data_type="decimal"))
     source = lambda s, col: AlignedSource(s, MappingSet(fields, (Mapping("k", col), Mapping("v", "v"))))
     a = spark.createDataFrame([(1, "x", "1"), (2, "y", "2")], "__row_id long, k string, v string")
@@ -105,6 +108,18 @@ def test_run_composition(spark, tmp_path):
     run = run_composition(spark, {"a": a, "b": b}, plan, str(tmp_path / "out"), "2026-07-17")
     assert run.status == "succeeded" and run.counts["processed"] == 1 and run.counts["rejected"] == 2 and run.counts["dropped_duplicates"] == 0
     assert [e["name"] for e in run.outputs] == ["y"]
+    first = run_composition(spark, {"a": a, "b": b}, replace(plan, append=AppendConfig(duplicate_policy="keep_first", duplicate_key_fields=["k"])), str(tmp_path / "first"), "2026-07-17")
+    assert (first.counts["processed"], first.counts["dropped_duplicates"]) == (2, 1)
+    compose = composition.compose
+
+    def loses(ready, plan):
+        result = compose(ready, plan)
+        result.rejected = result.rejected.limit(1)
+        return result
+
+    monkeypatch.setattr(composition, "compose", loses)
+    with pytest.raises(PlanError, match="ROW_RECONCILIATION_FAILED"):
+        run_composition(spark, {"a": a, "b": b}, plan, str(tmp_path / "lost"), "2026-07-17")
     assert read_manifest(spark, str(tmp_path / "out"))["run_id"] == run.run_id
     with pytest.raises(PlanError, match="COMPOSITION_SOURCES_INVALID"):
         CompositionPlan("p", ("a", "a"), plan.alignment, "append")
