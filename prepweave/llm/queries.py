@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, secrets, site_quality, warc
@@ -15,8 +14,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def vocabulary(name: str) -> str:
-    """The path of a public vocabulary file; VOCABULARIES may name another folder."""
-    return os.path.join(os.environ.get("VOCABULARIES", "/opt/tokenizers"), name)
+    """The path of a public vocabulary file."""
+    return public_tokenizers.path(name)
 
 
 #: The rank file's splitting pattern, a fixed value that comes with it.

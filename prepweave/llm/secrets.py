@@ -53,13 +53,13 @@ def labelled_samples(docs: DataFrame, text: str = "text", rows: int = 2_000, ran
     """Strings with a label: secret (random) or not.
 
     Secrets are the values of the fixed patterns and strings drawn uniformly in hexadecimal and base64; ordinary ones
-    are the identifiers that stand outside them. At most about `rows` documents are used, chosen by a hash of the text
+    are the identifiers that stand outside them. At most about `rows` different texts are used, chosen by a hash of the text
     (the documented bound of this classifier's labelled sample).
     """
     total = docs.count()
     share = min(1.0, rows / max(1, total))
     picked = docs.filter(F.pmod(F.xxhash64(F.lit("secrets"), F.col(text)), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
-    found = base_spans(picked.select(text), text)
+    found = base_spans(picked.select(text).distinct(), text)
     secrets = found.select(F.explode("__base").alias("x")).select(
         F.when(F.col("x.kind") == "assign", F.regexp_extract("x.hit", ASSIGN_VALUE, 1)).otherwise(F.col("x.hit")).alias("value"), F.lit(True).alias("secret")
     )

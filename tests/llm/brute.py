@@ -109,3 +109,79 @@ def near_duplicates(texts: dict[int, str | None]) -> dict[int, tuple]:
 
 def held_out(key) -> bool:
     return zlib.crc32(str(key).encode()) % 4 == 2
+
+
+def rank_profile(counts: Counter, size: int) -> dict[str, int]:
+    """N-grams by falling count, ties in the order of their code points with a missing character first."""
+    return {g: i for i, (g, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:size])}
+
+
+def ngrams(text: str) -> Counter:
+    """Of 1 to 3 characters over lower-case words of letters, one space between and around them."""
+    low = "".join((c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in text)
+    line = f" {' '.join(low.split(' '))} ".replace("\t", " ")
+    while "  " in line:
+        line = line.replace("  ", " ")
+    found = Counter(c for c in line if c != " ")
+    found.update(line[i : i + 2] for i in range(len(line) - 1))
+    found.update(line[i : i + 3] for i in range(len(line) - 2) if line[i + 1] != " ")
+    return found if any(c != " " for c in line) else Counter()
+
+
+def out_of_place(text: str | None, profiles: dict[str, dict[str, int]], size: int) -> tuple[str, float]:
+    own = rank_profile(ngrams(text or ""), size)
+    if not own or not profiles:
+        return "und", 0.0
+    likeness = {}
+    for lang in sorted(profiles):
+        away = sum(min(abs(profiles[lang][g] - i), size) if g in profiles[lang] else size for g, i in own.items())
+        likeness[lang] = 1 - away / (size * len(own))
+    best = max(sorted(likeness), key=likeness.get)
+    total = sum(likeness.values())
+    return best, likeness[best] / total if total > 0 else 0.0
+
+
+def terms(text: str) -> list[str]:
+    import regex
+
+    return regex.findall(r"[\p{L}\p{N}]{3,}+", text.lower())
+
+
+def disclosing(texts: list[str | None], window: int, support: int, generalise: float) -> dict[tuple[str, str], float]:
+    """PMI over information content of each term beside each entity, counted document by document."""
+    import math
+    import regex
+
+    word = r"[\p{L}\p{N}]+"
+    n_term, n_entity, n_both = Counter(), Counter(), Counter()
+    contexts: dict[tuple[str, str], dict[str, tuple]] = {}
+    for text in texts:
+        text = text or ""
+        n_term.update(set(terms(text)))
+        beside: dict[str, set] = {}
+        for kind, a, b in spans(text, PERSONAL, False):
+            hit = text[a:b]
+            entity = f"{kind}:" + (re.sub("[^0-9]", "", hit) if kind in ("card", "phone") else hit.lower())
+            before, after = text[max(0, a - window) : a], text[b : b + window]
+            near = regex.sub("^" + word, "", before) + " " + regex.sub(word + "$", "", after)
+            beside.setdefault(entity, set())
+            for t in set(terms(near)):
+                beside[entity].add(t)
+                contexts.setdefault((entity, t), {}).setdefault(text, set()).add((before, after))
+        for entity, near in beside.items():
+            n_entity[entity] += 1
+            n_both.update((entity, t) for t in near)
+    total, out = len(texts), {}
+    for (entity, t), by_text in contexts.items():
+        # a text counts once, and texts of the same contexts count as one; the operator picks one context of each text
+        if all(len(c) == 1 for c in by_text.values()):
+            if len({next(iter(c)) for c in by_text.values()}) < support:
+                continue
+        elif len(by_text) < support:
+            continue
+        ic = math.log(total / n_entity[entity])
+        pmi = math.log(n_both[entity, t] * total / (n_term[t] * n_entity[entity]))
+        value = pmi / ic if ic > 0 else 0.0
+        if value >= generalise:
+            out[entity, t] = value
+    return out

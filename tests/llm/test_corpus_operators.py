@@ -1,5 +1,7 @@
 """The operators over whole tables against plain versions."""
 
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -70,6 +72,18 @@ def _pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
 
 
+def test_values_are_computed_once(spark):
+    """Neither payload hashes nor splits of texts stand in a lambda, where they would be computed for each element."""
+    lambdas = lambda df: re.findall(r"lambdafunction\(.*", df._jdf.queryExecution().optimizedPlan().toString())
+    plan = spark.range(1).select(warc.base32_sha1(F.col("id").cast("string").cast("binary")).alias("d"))
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("sha1(") == 1 and text.index("sha1(") < text.index("lambdafunction(")
+    docs = spark.createDataFrame([(1, "a b c", "s")], "doc_id long, text string, source string")
+    pieces = spark.createDataFrame([(b"x", 0, 0, 0, 2)], "row binary, offset long, pass long, start long, words long")
+    text = mixing.mixed_texts(docs, pieces)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("regexp_extract_all(") == 1 and lambdas(plan)
+
+
 def test_warc_round_trip(spark):
     long = "<p>été</p>" * 30_000
     rows = [(1, "http://a/", "x", ""), (2, None, "x", ""), (3, "http://b/\r\nX: y", None, ""), (4, "u", "", ""), (5, "u", long, ""), (6, "u", long, ""), (7, "u", "WARC/1.1\r\n\r\n\r\n", ""), (8, "u", "﻿\0\r\n" * 5000, "")]

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain versions, each on what the one before kept."""
 
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -67,3 +68,14 @@ def test_null_and_repeated_doc_ids(spark, sf):
     assert sum(len(r["text"].split()) for r in mixed) == pieces.agg({"words": "sum"}).first()[0]
     assert len({r["text"].split()[0].split("x")[0] for r in mixed if r["doc_id"] is None}) == 2 and len(took) >= 6
     assert all(len({w.split("x")[0] for w in r["text"].split()} - {"other"}) == 1 for r in mixed)
+
+
+def test_stages_on_odd_rows(spark, odd, documents, sf):
+    """Nulls, empty and very long texts, repeated rows and columns of clashing names, through each stage."""
+    docs = odd.unionByName(odd.limit(9)).unionByName(documents, allowMissingColumns=True)
+    docs = docs.withColumns({c: F.lit("clash") for c in ("__text", "__key", "row", "component", "grp", "planes")})
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = written(stage(spark, docs, sf), name)
+        assert 0 < docs.count() <= before
+    assert set(docs.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}

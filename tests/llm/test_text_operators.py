@@ -1,8 +1,12 @@
 """The operators on single documents against plain versions."""
 
 import hashlib
+import math
 import os
+import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,15 +31,54 @@ def test_fertility_base(which, request):
         assert not (r["kept"] and r["base_failed"])
 
 
-def test_fertility_measures(documents):
-    import tiktoken
+def _measures(text, tool, model):
+    """The measures from whole texts: white space aside, the piece model's byte tokens are those of the whole text."""
+    ids = tool.encode_ordinary(text)
+    if not ids:
+        return 0, 0.0, 0.0, 0.0
+    counts = Counter(ids)
+    bits = -sum(n / len(ids) * math.log2(n / len(ids)) for n in counts.values())
+    white = {f"<0x{ord(c):02X}>" for c in fertility.WHITE}
+    spelled = sum(model.is_byte(i) and model.id_to_piece(i) not in white for i in model.encode(text))
+    return len(ids), len(text) / len(ids), spelled / max(1, len(text.encode())), bits
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_fertility_measures_and_verdict(which, request):
     import base64
 
+    import sentencepiece
+    import tiktoken
+
+    docs = request.getfixturevalue(which)
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(FILES[0], "rb"))}
     tool = tiktoken.Encoding("own", pat_str=FILES[2], mergeable_ranks=ranks, special_tokens={})
-    texts = texts_of(documents)
-    for r in fertility.judge(documents, FILES).collect():
-        assert r["n_tokens"] == len(tool.encode_ordinary(texts[r["doc_id"]]))
+    model = sentencepiece.SentencePieceProcessor(model_file=FILES[1])
+    rows = {r["doc_id"]: r for r in docs.select("doc_id", "text", "lang").collect()}
+    found = fertility.judge(docs, FILES, lang="lang", least_rows=5).collect()
+    passed, by = {}, {}
+    for r in found:
+        n, chars, share, bits = _measures(rows[r["doc_id"]]["text"] or "", tool, model)
+        assert (r["n_tokens"], r["chars_per_token"]) == (n, pytest.approx(chars)), r["doc_id"]
+        assert (r["fallback_share"], r["token_entropy"]) == (pytest.approx(share), pytest.approx(bits)), r["doc_id"]
+        lang, octave = rows[r["doc_id"]]["lang"], min(fertility.OCTAVES, n.bit_length())
+        band = fertility.BANDS.get(lang) or fertility.BANDS[r["script"]]
+        passed[r["doc_id"]] = not r["base_failed"] and n > 0 and band.least_chars <= chars <= band.most_chars and share <= band.most_fallback and bits >= min(band.least_entropy, 0.5 * math.log2(n))
+        if passed[r["doc_id"]]:
+            for name in (f"lang:{lang}",) * (lang is not None) + (f"script:{r['script']}",):
+                by.setdefault((name, octave), set()).add((n, round(chars, 3), round(bits, 3)))
+    for r in found:
+        octave, lang = min(fertility.OCTAVES, r["n_tokens"].bit_length()), rows[r["doc_id"]]["lang"]
+        group = next((g for name in (f"lang:{lang}", f"script:{r['script']}") if len(g := by.get((name, octave), ())) >= 5), None)
+        want = passed[r["doc_id"]]
+        if want and group:
+            (a, m, c), (d, _, e) = (np.percentile([x[i] for x in group], [25, 50, 75]) for i in (1, 2))
+            reach, low = 2 * max(c - a, 0.02 * m), 2 * max(e - d, 0.1)
+            edge = min(abs(r["chars_per_token"] - (a - reach)), abs(r["chars_per_token"] - (c + reach)), abs(r["token_entropy"] - (d - low)))
+            if edge < 1e-6:
+                continue
+            want = a - reach <= r["chars_per_token"] <= c + reach and r["token_entropy"] >= d - low
+        assert r["kept"] == want, r["doc_id"]
 
 
 def test_fertility_bands_reject_noise(spark):
@@ -90,6 +133,17 @@ def test_disclosing_terms_are_replaced(spark):
     assert abs(terms["zorblatt"]["disclosure"] - 1) < 1e-9 and terms["zorblatt"]["removed"] and "report" not in terms
 
 
+def test_disclosure_by_counting(spark, documents):
+    names = ["kestrel", "plover", "heron", "dunlin"]
+    rows = [f"note {i} from {names[i % 4]} at {names[i % 4]}@x.org about thing{i % 7} and more thing{i % 5}" for i in range(60)]
+    rows += [f"the {names[i % 4]} of day {i}" for i in range(12)] + rows[:9] + [None, "", "call +1 202 555 0100 kestrel or plover@x.org heron"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string").unionByName(documents.select("doc_id", "text"))
+    want = brute.disclosing([r["text"] for r in docs.collect()], 60, 3, 0.4)
+    found = {(r["entity"], r["term"]): r["disclosure"] for r in pii.disclosing_terms(docs, generalise=0.4).collect()}
+    assert set(found) == set(want) and len(found) > 4
+    assert all(abs(found[k] - want[k]) < 1e-9 for k in want)
+
+
 @pytest.mark.parametrize("which", ["documents", "odd", "none"])
 def test_secrets_base(which, request):
     docs = request.getfixturevalue(which)
@@ -110,6 +164,48 @@ def test_markov_tells_random_from_ordinary(spark, documents):
     assert found[1].startswith("markov:0:25") and found[2] == found[3] == ""
 
 
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_markov_spans_by_plain_scoring(which, request, documents):
+    docs = request.getfixturevalue(which)
+    model = secrets.train(secrets.labelled_samples(documents))
+    n, texts = len(secrets.ALPHABET), texts_of(docs)
+    token = re.compile("(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+    for r in secrets.digest(secrets.scan(docs, model)).collect():
+        text = texts[r["doc_id"]] or ""
+        base = brute.spans(text, brute.SECRET, by_start=True)
+        more = []
+        for m in token.finditer(text):
+            at = [secrets.ALPHABET.index(c) for c in m[0]]
+            ratio = sum(round(model[a * n + b], 6) for a, b in zip(at, at[1:]))
+            clear = not any(a < m.end() and m.start() < b for _, a, b in base)
+            if clear and re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and ratio >= max(12.0, 0.7 * len(m[0])):
+                more.append(("markov", m.start(), m.end()))
+        assert {f"{k}:{a}:{b}" for k, a, b in base + more} == set(filter(None, r["spans"].split(","))), r["doc_id"]
+
+
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_language_by_plain_distances(which, request, documents):
+    docs, known = request.getfixturevalue(which), {}
+    for r in documents.collect():
+        if r["lang"] is not None and r["text"] is not None and not brute.held_out(r["doc_id"]):
+            known.setdefault(r["lang"], Counter()).update(brute.ngrams(r["text"]))
+    profiles = {lang: brute.rank_profile(counts, 400) for lang, counts in known.items()}
+    learned = language.learn(documents)
+    decode = lambda code: "".join(chr(x) for x in (code >> 42, code >> 21 & 0x1FFFFF, code & 0x1FFFFF) if x)
+    assert {lang: [decode(g) for g in found] for lang, found in learned.items()} == {lang: list(p) for lang, p in profiles.items()}
+    texts = texts_of(docs)
+    for r in language.predict(docs, learned).collect():
+        want = brute.out_of_place(texts[r["doc_id"]], profiles, 400)
+        assert r["lang_pred"] == want[0] and r["score"] == pytest.approx(want[1]), r["doc_id"]
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "abc abd"), (1, "abc abd"), (None, "abc"), (None, "7")], "doc_id long, text string")
+    one = [int(g) for g in language.grams("abc")[0]]
+    found = [(r["doc_id"], r["lang_pred"]) for r in language.predict(docs, {"zz": one, "aa": one}).collect()]
+    assert found == [(1, "aa"), (1, "aa"), (None, "aa"), (None, "und")]
+
+
 def test_language(documents, none, odd):
     found = language.predict(documents, language.learn(documents)).join(documents.select("doc_id", "lang", "text"), "doc_id").collect()
     held = [r for r in found if r["held_out"] and r["lang_pred"] != "und" and len(r["text"]) > 60]
