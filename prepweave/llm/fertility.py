@@ -20,6 +20,8 @@ WINDOW = 8
 SUB_BATCH = 2_000_000
 #: Words that a worker remembers; the memo starts anew when full.
 MEMO = 400_000
+#: Characters that the usual normal forms change: decomposed, a ligature, in a circle, of full width.
+CHANGEABLE = "e\u0301\ufb01\u2460\uff21"
 
 
 @dataclass(frozen=True)
@@ -119,12 +121,22 @@ class Vocabularies:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.model = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
-        self.byte_tokens = frozenset(i for i in range(self.model.get_piece_size()) if self.model.is_byte(i))
+        pieces = range(self.model.get_piece_size())
+        self.byte_tokens = frozenset(i for i in pieces if self.model.is_byte(i))
+        #: Code points that are pieces of their own. The encoder joins characters to pieces and spells in bytes what is none
+        #: in the end, so words of such characters need no byte tokens, if the model's normaliser leaves them as they are.
+        self.own = np.zeros(0x110000, bool)
+        if self.model.normalize(CHANGEABLE).lstrip("\u2581") == CHANGEABLE:
+            single = [self.model.id_to_piece(i) for i in pieces if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i))]
+            self.own[[ord(c) for c in (*single, *WHITE) if len(c) == 1]] = True
         self.memo: dict[bytes, int] = {}
 
-    def fallback_bytes(self, words: list[bytes]) -> int:
-        """How many bytes of the words the piece model spells as byte tokens. Its pieces do not span white space, so words are
-        encoded one by one, and recent ones from a memo."""
+    def fallback_bytes(self, points: np.ndarray, words: list[bytes]) -> int:
+        """How many bytes of the words of a text of these code points the piece model spells as byte tokens. Its pieces do not
+        span white space, so words are encoded one by one, recent ones taken from a memo; texts whose characters all are
+        pieces have none."""
+        if self.own[points].all():
+            return 0
         new = [w for w in set(words) if w not in self.memo]
         if len(self.memo) + len(new) > MEMO:
             self.memo, new = {}, list(set(words))
@@ -141,10 +153,16 @@ class Vocabularies:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         scripts = np.bincount(_script_table()[points], minlength=len(NAMES))
         script = NAMES[1 + int(scripts[1:].argmax())] if scripts[1:].any() else "other"
-        share = self.fallback_bytes(words) / max(1, len(text.encode("utf-8", "surrogatepass")))
+        share = self.fallback_bytes(points, words) / max(1, len(text.encode("utf-8", "surrogatepass")))
         return len(tokens), len(text) / len(tokens), share, float(-(counts * np.log2(counts)).sum()), script
 
 
+@lru_cache(1)
+def opened(*files: str) -> Vocabularies:
+    """The vocabularies, opened once in each worker process."""
+    return Vocabularies(*files)
+
+
 def accepted(band: Band, tokens: int, chars: float, fallback: float, entropy: float) -> bool:
     bits = min(band.least_entropy, 0.5 * math.log2(tokens)) if tokens else 0.0
     return bool(tokens and band.least_chars <= chars <= band.most_chars and fallback <= band.most_fallback and entropy >= bits)
@@ -196,7 +214,7 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str,
     schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string()}[c.split()[1]]) for c in out.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Vocabularies(*vocabularies)
+        tools = opened(*vocabularies)
         for batch in batches:
             keys, langs, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1)
             rows, held, chars = [], [], 0
