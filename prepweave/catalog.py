@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prepweave.errors import PlanError
 from prepweave.functions import expressions as ex
 from prepweave.functions.expressions import fld, fn, lit
 from prepweave.operators import mapping, split, validation
@@ -16,6 +17,12 @@ from prepweave.operators.append import AppendConfig, append_tables
 from prepweave.operators.cleaning import Operation, apply_operation
 from prepweave.operators.joins import JoinConfig, analyse, join_tables
 from prepweave.operators.reshape import PivotConfig, UnpivotConfig, pivot_table, unpivot_table
+from prepweave.plans.drift import Expected, Observed, analyse_drift
+from prepweave.plans.evidence import write_split
+from prepweave.plans.workflow import WorkflowPlan, compile_workflow, reconcile
+from prepweave.sources import discovery
+from prepweave.sources.grid import read_source
+from prepweave.tables import fresh_path
 
 FLAGSHIP = "customer_segment_report"
 TODAY = dt.date(2026, 7, 17)
@@ -424,3 +431,113 @@ def align_orders(spark, sf_dir):
 @register("SELECT row_number() OVER (ORDER BY event_id) AS __row_id, event_id FROM events")
 def stable_row_ids(spark, sf_dir):
     return mapping.with_row_ids(table(spark, sf_dir, "events").select("event_id"), ["event_id"]).select("__row_id", "event_id")
+
+
+# --- sources and discovery: the tables as delimited files
+
+
+def _file(spark: SparkSession, df: DataFrame, name: str) -> str:
+    """The rows as delimited files with a header, in order, below spark.checkpoint.dir."""
+    path = fresh_path(spark, name)
+    df.coalesce(1).write.option("header", True).csv(path)
+    return path
+
+
+@register("SELECT row_number() OVER (ORDER BY n_nationkey) + 1 AS __rn, CAST(n_nationkey AS VARCHAR) AS _c0, n_name AS _c1, CAST(n_regionkey AS VARCHAR) AS _c2 FROM nation UNION ALL SELECT 1, 'n_nationkey', 'n_name', 'n_regionkey'")
+def source_delimited(spark, sf_dir):
+    """A delimited file as a grid: all cells as text, rows numbered in file order."""
+    return read_source(spark, _file(spark, table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey"), "nation") + "/*.csv")
+
+
+@register("SELECT row_number() OVER (ORDER BY s_suppkey) AS __row_id, CAST(s_suppkey AS VARCHAR) AS supplier_id, s_name AS supplier_name, CAST(s_nationkey AS VARCHAR) AS nation FROM supplier")
+def discovered_table(spark, sf_dir):
+    """The table that discovery finds in a file: its header names the columns, rows below it are data."""
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("supplier_id"), F.col("s_name").alias("supplier_name"), F.col("s_nationkey").alias("nation")).orderBy("supplier_id")
+    grid = read_source(spark, _file(spark, rows, "supplier") + "/*.csv").persist()
+    return discovery.read_table(grid, discovery.choose(discovery.discover(grid)))
+
+
+def _profiled(c: str, kind: str, where: str = "") -> str:
+    v = f"nullif(trim(CAST({c} AS VARCHAR)), '')"
+    return f"SELECT '{c}' AS \"column\", '{kind}' AS data_type, count(*) AS rows, CAST(count(*) FILTER ({v} IS NULL) AS DOUBLE) / count(*) * 100 AS null_percentage, count(DISTINCT {v}) AS unique_count, count({v}) - count(DISTINCT {v}) AS duplicate_count, count({v}) = count(DISTINCT {v}) AS key_candidate FROM c"
+
+
+@register(
+    "WITH c AS (SELECT c_custkey, c_name, c_acctbal, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_mktsegment END AS segment, '0' || c_nationkey AS padded FROM customer) "
+    + " UNION ALL ".join(_profiled(c, k) for c, k in (("c_custkey", "integer"), ("c_name", "text"), ("segment", "text"), ("padded", "text")))
+)
+def profile_columns(spark, sf_dir):
+    """Types, nulls and different values of columns; numbers with a leading zero are text."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_name", "case when c_custkey % 5 = 0 then '' else c_mktsegment end as segment", "concat('0', c_nationkey) as padded")
+    return discovery.profile(c).select("column", "data_type", "rows", "null_percentage", "unique_count", "duplicate_count", "key_candidate")
+
+
+@register(
+    """SELECT o_orderkey AS __row_id, CASE o_orderkey % 8 WHEN 0 THEN 'repeated_header' WHEN 1 THEN 'grand_total' WHEN 2 THEN 'subtotal' WHEN 3 THEN 'generated_footer' WHEN 4 THEN 'signature' WHEN 5 THEN 'note' ELSE 'data' END AS kind FROM orders"""
+)
+def classified_rows(spark, sf_dir):
+    """Rows of a table by kind: headers that come again, totals, footers, signatures, notes, data."""
+    marks = "array('Status', 'Grand Total', 'Sub total of F', 'printed by the clerk', 'approved by the clerk', 'Note: late', 'noted', 'total')"
+    o = table(spark, sf_dir, "orders").selectExpr("o_orderkey as __row_id", f"{marks}[cast(o_orderkey % 8 as int)] as status", "case when o_orderkey % 8 = 0 then 'Key' else cast(o_custkey as string) end as key")
+    return discovery.classify(o, ("Status", "Key")).select("__row_id", F.col("__row_class").alias("kind"))
+
+
+@register("SELECT * FROM (VALUES ('a', 'key', 'mapped'), ('a', 'price', 'mapped'), ('a', 'note', 'defaulted'), ('b', 'key', 'mapped'), ('b', 'price', 'missing_optional'), ('b', 'note', 'defaulted')) t(source_id, field_id, status)")
+def alignment_cells(spark, sf_dir):
+    """What each source has for each canonical field."""
+    fields = (mapping.Field("key", data_type="integer", required=True), mapping.Field("price", data_type="decimal"), mapping.Field("note"))
+    maps = lambda key, price: mapping.MappingSet(fields, (mapping.Mapping("key", key), mapping.Mapping("price", price), mapping.Mapping("note", default_value="-")))
+    sources = (mapping.AlignedSource("a", maps("o_orderkey", "o_totalprice"), "t"), mapping.AlignedSource("b", maps("l_orderkey", "gone"), "t"))
+    kinds = {"a": {"o_orderkey": "integer", "o_totalprice": "decimal"}, "b": {"l_orderkey": "integer"}}
+    cells = mapping.alignment_matrix(kinds, mapping.AlignmentPlan(fields, sources))
+    return spark.createDataFrame([(c["source_id"], c["field_id"], c["status"]) for c in cells], "source_id string, field_id string, status string")
+
+
+@register("SELECT * FROM (VALUES ('column_renamed', 'customer', false), ('data_type_changed', 'total', true), ('column_added', NULL, false)) t(category, field_id, blocking)")
+def drift_findings(spark, sf_dir):
+    """How the columns of orders, as a changed file has them, differ from a saved mapping."""
+    fields = (mapping.Field("key", "o_orderkey", "integer", True), mapping.Field("customer", "Customer", "integer", aliases=("o_custkey",)), mapping.Field("total", "o_totalprice", "decimal", True))
+    maps = mapping.MappingSet(fields, (mapping.Mapping("key", "o_orderkey"), mapping.Mapping("customer", "cust"), mapping.Mapping("total", "o_totalprice")))
+    changed = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_custkey", "concat(o_totalprice, ' EUR') as o_totalprice", "o_orderpriority as zzz")
+    kinds = {r["column"]: r["data_type"] for r in discovery.profile(changed).collect()}  # a row a column
+    drift = analyse_drift(Expected(maps), Observed(tuple((c, kinds[c]) for c in changed.columns)))
+    return spark.createDataFrame([(f.category, f.field_id, f.blocking) for f in drift.findings], "category string, field_id string, blocking boolean")
+
+
+@register("SELECT code, gate FROM (SELECT CASE WHEN (SELECT max(n) FROM (SELECT count(*) n FROM customer GROUP BY c_nationkey)) > 1 AND (SELECT max(n) FROM (SELECT count(*) n FROM supplier GROUP BY s_nationkey)) > 1 THEN 'JOIN_MANY_TO_MANY_APPROVAL_REQUIRED' END AS code, 'join' AS gate UNION ALL SELECT CASE WHEN (SELECT count(DISTINCT o_orderdate) FROM orders) > 250 THEN 'PIVOT_GENERATED_COLUMN_LIMIT' END, 'pivot')")
+def plan_gates(spark, sf_dir):
+    """The gates that stop a join of many rows to many, and a pivot with too many columns."""
+    found = []
+    for gate, run in (
+        ("join", lambda: join_tables(table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier"), JoinConfig("inner", ["c_nationkey"], ["s_nationkey"]))),
+        ("pivot", lambda: pivot_table(table(spark, sf_dir, "orders"), PivotConfig(["o_orderstatus"], ["o_orderdate"], "o_custkey", "count"))),
+    ):
+        try:
+            run()
+            found.append((None, gate))
+        except PlanError as e:
+            found.append((e.code, gate))
+    return spark.createDataFrame(found, "code string, gate string")
+
+
+@register("SELECT n_name AS name, count(*) AS rows FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def split_files(spark, sf_dir):
+    """Rows of each output that a split by nation writes, read again from its files."""
+    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_custkey", "c_name")
+    path = fresh_path(spark, "split")
+    entries = write_split(split.split_table(rows, split.SplitConfig(["n_name"], mode="csv_files"), ["c_custkey"]), split.SplitConfig(["n_name"], mode="csv_files"), path, TODAY.isoformat())
+    counts = spark.read.option("header", True).csv(path).groupBy("n_name").agg(F.count("*").alias("rows"))
+    assert sum(e["rows"] for e in entries) == rows.count()
+    return counts.select(F.col("n_name").alias("name"), "rows")
+
+
+@register("SELECT count(*) AS read, count(*) FILTER (c_custkey % 11 <> 0) AS accepted, count(*) FILTER (c_custkey % 11 = 0 AND c_custkey % 7 <> 0) AS rejected, count(*) FILTER (c_custkey % 11 = 0 AND c_custkey % 7 = 0) AS filtered FROM customer")
+def reconciled_workflow(spark, sf_dir):
+    """Rows read by a workflow are accepted, rejected or filtered, each counted on its own."""
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey as __row_id", "case when c_custkey % 11 = 0 then '' else c_name end as name", "case when c_custkey % 77 = 0 then '' else c_mktsegment end as segment")
+    fields = (mapping.Field("name"), mapping.Field("segment"))
+    plan = WorkflowPlan("p", mapping.MappingSet(fields, (mapping.Mapping("name", "name"), mapping.Mapping("segment", "segment"))), (Operation("row.remove_blank"), Operation("text.trim", {"field_id": "name"})), rules=(validation.Rule("r", "required", "name", "NAME_MISSING"),))
+    result = compile_workflow(c, plan, TODAY)
+    counts = reconcile(result)
+    result.release()
+    return spark.createDataFrame([tuple(counts[k] for k in ("read", "accepted", "rejected", "filtered"))], "read long, accepted long, rejected long, filtered long")

@@ -87,15 +87,19 @@ class BatchRecord:
     error_code: str | None = None
 
 
-def run_composition(spark: SparkSession, tables: dict[str, DataFrame], plan: CompositionPlan, output: str, run_date: str, order: list[str] | None = None) -> BatchRecord:
+def run_composition(spark: SparkSession, tables: dict[str, DataFrame], plan: CompositionPlan, output: str, run_date: str, order: list[str] | None = None, sources: dict[str, tuple[str, str]] | None = None) -> BatchRecord:
     """Aligns, composes, splits and writes everything below output with a manifest; a failure writes one too.
 
-    For append and union the rows in must be the rows out, rejected, in review or dropped as duplicates.
+    For append and union the rows in must be the rows out, rejected, in review or dropped as duplicates. sources gives the path
+    and the fingerprint of the file behind each table; one that has changed since ends the run before and after it is read.
     """
+    from prepweave.sources.catalog import assert_unchanged
     from prepweave.plans.evidence import write_evidence, write_manifest, write_split
 
     run = BatchRecord(f"batch-{uuid.uuid4().hex[:12]}", plan.project_id, "running")
     try:
+        for place in (sources or {}).values():
+            assert_unchanged(spark, *place)
         ready, cells = aligned(tables, plan)
         run.excluded_sources = [s for s in plan.source_ids if s not in ready]
         result = compose(ready, plan)
@@ -107,6 +111,8 @@ def run_composition(spark: SparkSession, tables: dict[str, DataFrame], plan: Com
             run.counts["dropped_duplicates"] = result.surplus.first()[0] if result.surplus is not None else 0
             if run.counts["read"] != sum(run.counts.get(k, 0) for k in ("processed", "rejected", "review", "dropped_duplicates")):
                 raise PlanError("ROW_RECONCILIATION_FAILED", str(run.counts))
+        for place in (sources or {}).values():
+            assert_unchanged(spark, *place)
         if plan.split:
             written = spark.read.parquet(f"{output}/processed")
             split = split_table(written, plan.split, order or [c for c in written.columns])

@@ -154,15 +154,26 @@ def reconcile(result: WorkflowResult) -> dict[str, int]:
     return counts
 
 
-def run_workflow(spark: SparkSession, table: DataFrame, plan: WorkflowPlan, output: str, today: dt.date) -> RunRecord:
-    """Runs a plan and writes accepted, rejected and findings below output, with a manifest; a failure writes one too."""
-    from prepweave.plans.evidence import write_evidence, write_manifest
+def run_workflow(spark: SparkSession, table: DataFrame, plan: WorkflowPlan, output: str, today: dt.date, source: tuple[str, str] | None = None, workbook: bool = False) -> RunRecord:
+    """Runs a plan and writes accepted, rejected and findings below output, with a manifest; a failure writes one too.
+
+    source is the path and the fingerprint of the file behind the table: a file that has changed since ends the run before and
+    after its rows are read. workbook adds a spreadsheet of the run, for small results.
+    """
+    from prepweave.plans.evidence import workflow_workbook, write_evidence, write_manifest
+    from prepweave.sources.catalog import assert_unchanged
 
     run = RunRecord(f"run-{uuid.uuid4().hex[:12]}", plan.project_id, "running")
     try:
+        if source:
+            assert_unchanged(spark, *source)
         result = compile_workflow(table, plan, today)
         run.counts = reconcile(result)
+        if source:
+            assert_unchanged(spark, *source)
         write_evidence({"accepted": result.accepted, "rejected": result.rejected, "findings": result.findings}, output)
+        if workbook:
+            workflow_workbook(spark, result, plan, run, source, f"{output}/{plan.project_id}-{run.run_id}.xlsx")
         result.release()
         run.status = "partial" if run.counts["blocking"] else "succeeded"
     except PlanError as e:

@@ -5,7 +5,7 @@ Regions and profiles are computed by Spark over all rows; headers are scored on
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,11 +21,11 @@ REGION_LIMIT = 10_000
 #: Weights of the header score, words that mark rows.
 WEIGHTS = {"density": 0.35, "unique": 0.30, "text": 0.25, "next": 0.10}
 LEAST_SINGLE, LEAST_LEVELS = 0.35, 0.5
-TOTALS = r"^(grand|overall|report)\s+total\b|^total$"
-SUBTOTALS = r"\bsub\s*-?\s*total\b"
-FOOTERS = r"^(generated|printed|exported|created)\s+(by|on|at)\b"
-SIGNATURES = r"^(approved|authorised|authorized|signed|prepared|checked|verified)\s+by\b|\bsignature\b"
-NOTES = r"^(note|notes|remark|remarks|disclaimer|source)\b\s*:?"
+TOTALS = r"\bgrand\s+total\b"
+SUBTOTALS = r"\bsub\s*total\b"
+FOOTERS = r"\b(generated|prepared|printed)\s+by\b"
+SIGNATURES = r"\b(signature|approved by|authorised by)\b"
+NOTES = r"^notes?:"
 
 
 @dataclass(frozen=True)
@@ -136,17 +136,15 @@ def header_score(row: list[str], following: list[str] | None) -> float:
 
 
 def flatten(levels: list[list[str]], separator: str = ".") -> tuple[str, ...]:
-    """Labels of several header rows: parents carry on to the right, equal neighbours in a path count once, repeated
+    """Labels of header rows: labels of each level carry on to the right, equal neighbours in a path count once, repeated
     labels get numbers, empty ones a name by place."""
     rows = []
-    for depth, level in enumerate(levels):
-        cellsx = [(c or "").strip() for c in level]
-        if depth < len(levels) - 1:
-            last = ""
-            for i, c in enumerate(cellsx):
-                last = c or last
-                cellsx[i] = last
-        rows.append(cellsx)
+    for level in levels:
+        last, carried = "", []
+        for c in level:
+            last = (c or "").strip() or last
+            carried.append(last)
+        rows.append(carried)
     seen: dict[str, int] = {}
     out = []
     for i, path in enumerate(zip(*rows), 1):
@@ -161,25 +159,27 @@ def flatten(levels: list[list[str]], separator: str = ".") -> tuple[str, ...]:
 
 
 def header_candidates(top: list[tuple[int, list[str]]], overrides: Overrides) -> list[Header]:
-    """The best header rows among a region's first rows. Several levels count only if an upper one groups columns."""
+    """The best header rows among a region's first rows. Several levels count only if the upper one groups columns: two labels
+    at least, some columns blank or a label repeated. Their score is the mean of the levels' scores, and more for depth and
+    for labels that differ."""
     found = []
     rows = top[: overrides.header_search_depth]
     for i, (number, row) in enumerate(rows):
-        score = header_score(row, top[i + 1][1] if i + 1 < len(top) else None)
+        score = header_score(row, rows[i + 1][1] if i + 1 < len(rows) else None)
         if score >= LEAST_SINGLE:
-            found.append(Header((number,), flatten([row]), score))
-        for levels in range(2, overrides.max_header_levels + 1):
-            block = top[i : i + levels]
-            if len(block) < levels or i + levels > len(rows) + levels - 1:
+            found.append(Header((number,), flatten([row]), round(score, 3)))
+        parents = _filled(row)
+        grouping = len(parents) >= 2 and (len(parents) < len(row) or len({c.casefold() for c in parents}) < len(parents))
+        for levels in range(2, overrides.max_header_levels + 1 if grouping else 2):
+            block = rows[i : i + levels]
+            if len(block) < levels:
                 break
-            parents = [_filled(r) for _, r in block[:-1]]
-            grouping = all(p for p in parents) and any(len(p) < len(r) or len({c.casefold() for c in p}) < len(p) for p, (_, r) in zip(parents, block))
-            base = block[-1][1]
-            own = header_score(base, top[i + levels][1] if i + levels < len(top) else None)
+            scores = [header_score(r, block[k + 1][1] if k + 1 < levels else None) for k, (_, r) in enumerate(block)]
             labels = flatten([r for _, r in block], overrides.header_flattening_separator)
             unique = len({x.casefold() for x in labels}) / max(1, len(labels))
-            if grouping and own >= LEAST_LEVELS:
-                found.append(Header(tuple(n for n, _ in block), labels, min(1.0, own + 0.08 * (levels - 1) + 0.08 * unique)))
+            confidence = min(1.0, sum(scores) / levels + 0.08 * (levels - 1) + 0.08 * unique)
+            if confidence >= LEAST_LEVELS:
+                found.append(Header(tuple(n for n, _ in block), labels, round(confidence, 3)))
     return sorted(found, key=lambda h: (-h.confidence, h.rows[0], len(h.rows)))[:12]
 
 
@@ -239,12 +239,14 @@ def read_table(grid: DataFrame, table: Table) -> DataFrame:
     return picked.select((F.col(ROW) - start).cast("long").alias("__row_id"), *columns)
 
 
-def classify(table: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """Adds __row_class and __row_confidence: repeated headers, totals, footers, signatures, notes, else data."""
+def classify(table: DataFrame, labels: tuple[str, ...], leaf: tuple[str, ...] | None = None) -> DataFrame:
+    """Adds __row_class and __row_confidence: repeated headers (of all levels or the last one, `leaf`), totals, footers,
+    signatures, notes, else data; the first that holds."""
     names = [c for c in table.columns if not c.startswith("__")]
-    words = F.lower(text.normalise_spaces(F.concat_ws(" ", *[F.col(f"`{c}`") for c in names])))
-    repeated = reduce(lambda a, b: a & b, [F.lower(F.col(f"`{c}`")) == label.lower() for c, label in zip(names, labels)], F.lit(True))
-    kinds = [("repeated_header", 1.0, repeated), ("grand_total", 0.98, words.rlike(TOTALS) & ~words.rlike(SUBTOTALS)), ("subtotal", 0.95, words.rlike(SUBTOTALS)), ("generated_footer", 0.94, words.rlike(FOOTERS)), ("signature", 0.9, words.rlike(SIGNATURES)), ("note", 0.9, words.rlike(NOTES))]
+    words = F.lower(F.concat_ws(" ", F.filter(F.array(*[text.trim(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in names]), lambda x: x != "")))
+    same = lambda row: reduce(lambda a, b: a & b, [F.lower(F.coalesce(F.col(f"`{c}`"), F.lit(""))) == label.lower() for c, label in zip(names, row)], F.lit(True))
+    repeated = same(labels) | same(flatten([list(leaf)])) if leaf else same(labels)
+    kinds = [("repeated_header", 1.0, repeated), ("grand_total", 0.98, words.rlike(TOTALS)), ("subtotal", 0.95, words.rlike(SUBTOTALS)), ("generated_footer", 0.94, words.rlike(FOOTERS)), ("signature", 0.9, words.rlike(SIGNATURES)), ("note", 0.9, words.rlike(NOTES))]
     kind, confidence = F.lit("data"), F.lit(1.0)
     for name, sure, test in reversed(kinds):
         kind, confidence = F.when(test, name).otherwise(kind), F.when(test, sure).otherwise(confidence)
@@ -269,42 +271,36 @@ def profile(table: DataFrame) -> DataFrame:
     counted = long.groupBy("position", "column", "value").agg(F.count("*").alias("n"))
     facts = counted.withColumns({
         "none": none,
-        "whole": ~none & is_(r"^[+-]?(0|[1-9]\d*)$"),
+        "whole": ~none & is_(r"^[+-]?\d+$"),
         "zeros": ~none & is_(r"^[+-]?0\d+$"),
-        "number": ~none & is_(r"^[+-]?(\d+|\d{1,3}(,\d{3})+)(\.\d+)?$"),
-        "day": ~none & is_(r"^\d{4}-\d{2}-\d{2}$"),
-        "slashed": ~none & is_(r"^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}$"),
+        "number": ~none & is_(r"^[+-]?(\d+(\.\d+)?|\d{1,3}(,\d{3})+(\.\d+)?)$"),
+        "day": ~none & is_(r"^\d{4}-\d{1,2}-\d{1,2}$"),
+        "slashed": ~none & is_(r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$"),
+        "percent": ~none & is_(r"^[+-]?\d+(\.\d+)?%$"),
         "flag": ~none & F.lower(v).isin("true", "false", "yes", "no"),
     })
     n = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0))
-    out = facts.groupBy("position", "column").agg(F.sum("n").alias("rows"), n("none").alias("nulls"), F.count_if(~F.col("none")).alias("unique_count"), F.sum(F.when(~F.col("none"), F.col("n") - 1)).alias("repeats"), *[n(c).alias(c) for c in ("whole", "zeros", "number", "day", "slashed", "flag")])
+    out = facts.groupBy("position", "column").agg(F.sum("n").alias("rows"), n("none").alias("nulls"), F.count_if(~F.col("none")).alias("unique_count"), F.sum(F.when(~F.col("none"), F.col("n") - 1)).alias("repeats"), *[n(c).alias(c) for c in ("whole", "zeros", "number", "day", "slashed", "flag", "percent")])
     full = F.col("rows") - F.col("nulls")
-    kind = F.when((full == 0) | (F.col("zeros") > 0), "text").when(F.col("whole") == full, "integer").when(F.col("number") == full, "decimal").when(F.col("day") == full, "date").when(F.col("flag") == full, "boolean").otherwise("text")
-    mixed = (kind == "text") & (F.col("zeros") == 0) & (F.col("number") > 0) & (F.col("number") < full)
-    warnings = F.array_compact(F.array(F.when(F.col("slashed") > 0, "AMBIGUOUS_DATES"), F.when(mixed, "MIXED_TYPES")))
-    return out.select("position", "column", kind.alias("data_type"), "rows", (F.col("nulls") / F.col("rows") * 100).alias("null_percentage"), "unique_count", F.coalesce("repeats", F.lit(0)).alias("duplicate_count"), ((F.col("unique_count") == full) & (full > 0)).alias("key_candidate"), warnings.alias("warnings"))
+    kind = F.when(full == 0, "text").when(F.col("whole") == full, F.when(F.col("zeros") > 0, "text").otherwise("integer")).when(F.col("number") == full, "decimal").when(F.col("day") == full, "date").when(F.col("flag") == full, "boolean").otherwise("text")
+    mixed = (kind == "text") & (F.col("number") > 0) & (F.col("number") < full)
+    kept = (F.col("zeros") > 0) & (F.col("whole") == full)
+    warnings = F.array_compact(F.array(F.when(F.col("slashed") > 0, "AMBIGUOUS_DATES"), F.when(kept, "LEADING_ZEROS"), F.when(mixed, "MIXED_TYPES")))
+    return out.select("position", "column", kind.alias("data_type"), "rows", (F.col("nulls") / F.col("rows") * 100).alias("null_percentage"), "unique_count", F.coalesce("repeats", F.lit(0)).alias("duplicate_count"), ((F.col("unique_count") == full) & (full > 0)).alias("key_candidate"), warnings.alias("warnings"), (F.col("percent") > 0).alias("percentages"))
 
 
 #: Parts of labels that tell a column's role.
-ROLES = {"identifier": ("id", "code", "number", "no", "key"), "name": ("name", "description", "title"), "date": ("date", "day", "month", "year", "period"), "amount": ("amount", "price", "value", "total", "cost", "revenue"), "quantity": ("quantity", "qty", "hours", "count", "units"), "status": ("status", "state", "flag"), "percentage": ("percent", "rate", "%")}
+ROLES = {"identifier": ("id", "code", "number", "no", "ref"), "date": ("date",), "amount": ("amount", "value", "price", "total"), "percentage": ("percent", "pct"), "category": ("status", "category", "type")}
 
 
-def roles(label: str, data_type: str) -> list[str]:
-    """Roles by parts of the label and by type."""
+def roles(label: str, data_type: str, percentages: bool = False) -> list[str]:
+    """Roles by parts of the label wherever they stand, by type, and by whether values are percentages."""
     low = label.casefold()
-    found = [role for role, parts in ROLES.items() if any(p in low for p in parts)]
-    if data_type == "date" and "date" not in found:
-        found.append("date")
-    if data_type == "decimal" and not {"amount", "quantity", "percentage"} & set(found):
-        found.append("measure")
-    return found
+    more = {"date": data_type in ("date", "datetime"), "amount": data_type == "decimal", "percentage": percentages}
+    return [role for role, parts in ROLES.items() if more.get(role) or any(p in low for p in parts)]
 
 
 def memory_risk(file_bytes: int, rows: int, columns: int, available: int) -> str:
     """low, warning or block, by an estimate of a single machine's memory; advice only, as Spark spills."""
     share = max(3 * file_bytes, 24 * rows * columns) / max(1, available)
     return "block" if share > 0.8 else "warning" if share > 0.4 else "low"
-
-
-def with_sheet(overrides: Overrides, sheet: str) -> Overrides:
-    return replace(overrides, sheet_name=sheet)

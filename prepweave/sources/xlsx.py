@@ -5,6 +5,7 @@ A workbook is one archive, so it is one input partition; big data should come as
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import zipfile
@@ -24,6 +25,8 @@ MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELS = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 PACKAGE = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 SHEET_ROWS, SHEET_NAME = 1_048_576, 31
+#: Numbers of built-in formats for dates and times.
+BUILT_IN_TIMES = {*range(14, 23), *range(45, 48)}
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,32 @@ def sheets_of(data: bytes) -> list[Sheet]:
     return out
 
 
+def _times(code: str) -> bool:
+    """Whether a number format shows dates or times: letters for them stand outside quotes, escapes and brackets."""
+    return bool(re.search(r"[ymdhs]", re.sub(r'"[^"]*"|\\.|_.|\[[^\]]*\]', "", code.lower()).replace("general", "")))
+
+
+def _dated(z: zipfile.ZipFile) -> tuple[set[int], dt.datetime]:
+    """The styles of cells that hold dates or times, and the day that they count from."""
+    book = ET.fromstring(z.read("xl/workbook.xml"))
+    options = book.find(f"{MAIN}workbookPr")
+    later = options is not None and options.get("date1904") in ("1", "true")
+    start = dt.datetime(1904, 1, 1) if later else dt.datetime(1899, 12, 30)
+    if "xl/styles.xml" not in z.namelist():
+        return set(), start
+    styles = ET.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")): f.get("formatCode", "") for f in styles.iter(f"{MAIN}numFmt")}
+    formats = styles.find(f"{MAIN}cellXfs")
+    ids = [int(x.get("numFmtId", 0)) for x in formats] if formats is not None else []
+    return {i for i, n in enumerate(ids) if n in BUILT_IN_TIMES or _times(own.get(n, ""))}, start
+
+
+def _moment(serial: float, start: dt.datetime) -> str:
+    """A day with its time, or a time alone where the number counts no day."""
+    at = start + dt.timedelta(milliseconds=round(serial * 86_400_000))
+    return str(at.time() if 0 <= serial < 1 else at)
+
+
 def rows_of(data: bytes, part: str) -> Iterator[tuple[int, list[str | None]]]:
     """The rows of a sheet, values only: (row number from 1, cells)."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
@@ -63,6 +92,7 @@ def rows_of(data: bytes, part: str) -> Iterator[tuple[int, list[str | None]]]:
                 if item.tag == f"{MAIN}si":
                     shared.append("".join(t.text or "" for t in item.iter(f"{MAIN}t")))
                     item.clear()
+        dated, start = _dated(z)
         place = 0
         for _, row in ET.iterparse(z.open(part)):
             if row.tag != f"{MAIN}row":
@@ -77,6 +107,9 @@ def rows_of(data: bytes, part: str) -> Iterator[tuple[int, list[str | None]]]:
                     cells[at] = "".join(t.text or "" for t in c.iter(f"{MAIN}t"))
                 elif value is not None and value.text is not None:
                     text = value.text
+                    if kind in (None, "n") and int(c.get("s", 0)) in dated:
+                        cells[at] = _moment(float(text), start)
+                        continue
                     cells[at] = shared[int(text)] if kind == "s" else ("true" if text == "1" else "false") if kind == "b" else re.sub(r"\.0$", "", text)
             yield place, cells
             row.clear()
@@ -153,7 +186,7 @@ def _letters(i: int) -> str:
     return out
 
 
-def write_workbook(tables: dict[str, DataFrame], path: str) -> dict[str, str]:
+def write_workbook(tables: dict[str, DataFrame], path: str | io.BytesIO) -> dict[str, str]:
     """Bounded tables as sheets with a styled, frozen and filtered header; returns each table's sheet name.
 
     Rows stream through the driver; a table beyond a sheet's rows is an error. Text that could be a formula is guarded.

@@ -1,3 +1,6 @@
+import hashlib
+import json
+import zipfile
 from dataclasses import replace
 
 import pytest
@@ -11,7 +14,8 @@ from prepweave.operators.reshape import PivotConfig, UnpivotConfig, pivot_table,
 from prepweave.operators.split import SplitConfig, safe_name, split_table
 from prepweave.plans import composition
 from prepweave.plans.composition import CompositionPlan, run_composition
-from prepweave.plans.evidence import read_manifest
+from prepweave.plans.evidence import package, read_manifest, write_split
+from prepweave.sources.xlsx import signature
 
 
 def rows(df):
@@ -123,3 +127,36 @@ def test_run_composition(spark, tmp_path, monkeypatch):
     assert read_manifest(spark, str(tmp_path / "out"))["run_id"] == run.run_id
     with pytest.raises(PlanError, match="COMPOSITION_SOURCES_INVALID"):
         CompositionPlan("p", ("a", "a"), plan.alignment, "append")
+
+
+@pytest.mark.parametrize("mode,names", [("csv_files", ["a", "b"]), ("excel_files", ["a.xlsx", "b.xlsx"]), ("excel_sheets", ["p_2026-07-17.xlsx"]), ("zip_package", ["a.csv", "b.csv", "p_2026-07-17.zip"])])
+def test_split_modes(spark, tmp_path, mode, names):
+    df = spark.createDataFrame([("a", 1, "=x"), ("a", 2, "y"), ("b", 3, "é")], "k string, v int, t string")
+    config = SplitConfig(["k"], mode=mode, project_label="p")
+    split = split_table(df, config, ["v"])
+    out = str(tmp_path / "out")
+    entries = write_split(split, config, out, "2026-07-17")
+    assert [e.get("file", e["name"]) for e in entries] == names and all(len(e["sha256"]) == 64 for e in entries)
+    for e in entries:
+        if "file" in e:
+            data = (tmp_path / "out" / e["file"]).read_bytes()
+            assert hashlib.sha256(data).hexdigest() == e["sha256"] and len(data) == e["bytes"]
+    if mode == "csv_files":
+        assert sorted(map(tuple, spark.read.option("header", True).csv(out).select("k", "v", "t").collect())) == [("a", "1", "'=x"), ("a", "2", "y"), ("b", "3", "é")]
+        return
+    if mode == "excel_sheets":
+        assert [s[:3] for s in signature((tmp_path / "out" / names[0]).read_bytes())] == [("a", "visible", 3), ("b", "visible", 2)]
+    if mode == "zip_package":
+        with zipfile.ZipFile(tmp_path / "out" / names[-1]) as z:
+            assert z.namelist() == ["a.csv", "b.csv", "output-manifest.json"] and z.read("b.csv").decode("utf-8-sig").split() == ["k,v,t", "b,3,é"]
+            assert [e["rows"] for e in json.loads(z.read("output-manifest.json"))] == [2, 1]
+    with pytest.raises(PlanError, match="OUTPUT_COLLISION"):
+        write_split(split, config, out, "2026-07-17")
+
+
+def test_package(spark, tmp_path):
+    tables = {"t": spark.createDataFrame([(1, "x")], "a int, b string"), "none": spark.createDataFrame([], "a int")}
+    one, two = (package(spark, tables, str(tmp_path / f"{i}.zip")) for i in range(2))
+    assert one == two == hashlib.sha256((tmp_path / "0.zip").read_bytes()).hexdigest()
+    with pytest.raises(PlanError, match="PACKAGE_TOO_LARGE"):
+        package(spark, {"t": spark.range(3)}, str(tmp_path / "large.zip"), rows=2)

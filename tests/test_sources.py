@@ -1,8 +1,10 @@
+import zipfile
+
 import pytest
 
 from prepweave.errors import PlanError
 from prepweave.sources.catalog import FolderConfig, assert_unchanged, classify_batch, fingerprint, scan_folder
-from prepweave.sources.discovery import Overrides, choose, classify, discover, flatten, memory_risk, profile, read_table, roles
+from prepweave.sources.discovery import Overrides, choose, classify, discover, flatten, header_candidates, memory_risk, profile, read_table, roles
 from prepweave.sources.grid import read_grid, read_source, sniff
 from prepweave.sources.xlsx import list_sheets, read_sheet, signature, write_workbook
 from prepweave.streaming.incremental import ingest_new_files
@@ -144,3 +146,42 @@ def test_scan_folder_filters_before_its_limit(spark, tmp_path):
     assert names(include=["want*"], exclude=["*[[]*", "want[!0-9]?.csv"]) == ["want1.csv", "want2.csv"]
     with pytest.raises(PlanError, match="FOLDER_TOO_MANY_FILES"):
         names(include=["want*"], exclude=["*[[]*"])
+
+
+def test_header_levels_and_row_classes(spark):
+    assert flatten([["Q1", "", "Q2", ""], ["a", "b", "", "d"]]) == ("Q1.a", "Q1.b", "Q2.b", "Q2.d")
+    top = [(1, ["Q1", "", "Q2", ""]), (2, ["a", "b", "a", "b"]), (3, ["1", "2", "3", "4"])]
+    best = header_candidates(top, Overrides(max_header_levels=2))[0]
+    assert best.rows == (1, 2) and best.labels == ("Q1.a", "Q1.b", "Q2.a", "Q2.b")
+    # one label alone does not group columns
+    assert all(len(h.rows) == 1 for h in header_candidates([(1, ["Title", "", ""]), (2, ["a", "b", "c"]), (3, ["1", "2", "3"])], Overrides()))
+    rows = [("Q1.a", "Q1.b"), ("a", "b"), ("the grand  total", "7"), ("Sub total", "1"), ("report prepared by", "me"), ("x", "approved by me"), ("Note: x", ""), ("note", ""), ("total", "9"), ("", "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "__row_id long, x string, y string")
+    kinds = [r["__row_class"] for r in classify(df, ("Q1.a", "Q1.b"), ("a", "b")).orderBy("__row_id").collect()]
+    assert kinds == ["repeated_header", "repeated_header", "grand_total", "subtotal", "generated_footer", "signature", "note", "data", "data", "data"]
+
+
+def test_types_and_roles_of_columns(spark):
+    rows = [("007", "2026-7-1", "5%", "007", "1/2/26", "x"), ("8", "2026-10-31", "7.5%", "1.5", "b", "3")]
+    facts = {r["column"]: r for r in profile(spark.createDataFrame(rows, "zeros string, day string, share string, mixed string, odd string, both string")).collect()}
+    assert {c: r["data_type"] for c, r in facts.items()} == {"zeros": "text", "day": "date", "share": "text", "mixed": "decimal", "odd": "text", "both": "text"}
+    assert {c: r["warnings"] for c, r in facts.items() if r["warnings"]} == {"zeros": ["LEADING_ZEROS"], "odd": ["AMBIGUOUS_DATES"], "both": ["MIXED_TYPES"]}
+    assert facts["share"]["percentages"] and roles("Share", "text", True) == ["percentage"]
+    assert roles("Ref Note", "text") == ["identifier"] and roles("paid", "decimal") == ["identifier", "amount"] and roles("Order type", "date") == ["date", "category"]
+
+
+def test_workbook_dates(spark, tmp_path):
+    head = '<?xml version="1.0"?>'
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    parts = {
+        "xl/workbook.xml": f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>',
+        "xl/styles.xml": f'<styleSheet {main}><numFmts count="2"><numFmt numFmtId="164" formatCode="[Red]yyyy\\-mm\\-dd"/><numFmt numFmtId="165" formatCode="0.00&quot;days&quot;"/></numFmts><cellXfs count="4"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/></cellXfs></styleSheet>',
+        "xl/worksheets/sheet1.xml": f'<worksheet {main}><sheetData><row r="1"><c r="A1" s="1"><v>46220</v></c><c r="B1" s="2"><v>46220.75</v></c><c r="C1" s="3"><v>46220.5</v></c><c r="D1" s="1"><v>0.25</v></c><c r="E1"><v>7</v></c></row></sheetData></worksheet>',
+    }
+    with zipfile.ZipFile(tmp_path / "d.xlsx", "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, head + text)
+    row = read_source(spark, str(tmp_path / "d.xlsx")).first()
+    assert row[1:] == ("2026-07-17 00:00:00", "2026-07-17 18:00:00", "46220.5", "06:00:00", "7")

@@ -11,10 +11,13 @@ from prepweave.operators import cleaning
 from prepweave.operators.cleaning import Operation, affected_rows, apply_operation, slug
 from prepweave.operators.mapping import AlignedSource, AlignmentPlan, Field, Mapping, MappingSet, align_table, alignment_matrix, eligible_sources, with_row_ids
 from prepweave.operators.validation import Rule, annotate, findings
-from prepweave.plans.drift import Decision, Expected, Observed, analyse_drift, repair_mapping
+from prepweave.plans.drift import MODES, Decision, Expected, Observed, Policy, analyse_drift, repair_mapping
+from prepweave.plans.evidence import SHEETS
 from prepweave.plans.jobs import JobRunner, recover
 from prepweave.plans.plugins import Registry
 from prepweave.plans.workflow import WorkflowPlan, assert_no_secrets, compile_workflow, reconcile, run_workflow, upgrade
+from prepweave.sources.catalog import fingerprint
+from prepweave.sources.xlsx import signature
 
 TODAY = dt.date(2026, 7, 17)
 
@@ -83,6 +86,18 @@ def test_workflow(spark, tmp_path):
     run = run_workflow(spark, df, _plan(), str(tmp_path / "o"), TODAY)
     assert run.status == "succeeded" and spark.read.option("header", True).csv(str(tmp_path / "o/accepted")).count() == 1
     assert compile_workflow(df, _plan(), TODAY, limit=2).accepted.count() == 2
+    # a source that has changed ends a run; the workbook has seven sheets
+    path = str(tmp_path / "source.csv")
+    with open(path, "w") as f:
+        f.write("a")
+    digest = fingerprint(spark, path)
+    run = run_workflow(spark, df, _plan(), str(tmp_path / "w"), TODAY, (path, digest), workbook=True)
+    book = signature((tmp_path / f"w/p-{run.run_id}.xlsx").read_bytes())
+    assert [s[0] for s in book] == list(SHEETS) and {s[0]: s[2] for s in book}["Rejected Rows"] == 4
+    with open(path, "a") as f:
+        f.write("b")
+    with pytest.raises(PlanError, match="SOURCE_CHANGED"):
+        run_workflow(spark, df, _plan(), str(tmp_path / "v"), TODAY, (path, digest))
 
 
 def test_reconciliation(spark, monkeypatch):
@@ -149,13 +164,27 @@ def test_alignment(spark):
 
 
 def test_drift_and_repair():
-    fields = (Field("employee_code", "Employee Code", required=True), Field("hours", "Hours", "decimal"))
-    maps = MappingSet(fields, (Mapping("employee_code", "Employee Code"), Mapping("hours", "Hours")))
-    same = analyse_drift(Expected(maps, ("Employee Code", "Hours")), Observed((("Hours", "decimal"), ("Employee Code", "text"))))
-    assert [f.category for f in same.findings] == ["column_reordered"] and same.decision == "continue"
-    moved = analyse_drift(Expected(maps), Observed((("Staff ID", "text"), ("Hours", "text"), ("New", "text"))))
-    assert {f.category for f in moved.findings} >= {"type_changed", "column_added"} and moved.decision == "stop"
-    assert moved.candidates["employee_code"][0].column == "Staff ID"
+    fields = (Field("employee_code", "Employee Code", required=True), Field("hours", "Hours", "decimal", nullable=False), Field("state", aliases=("Status",)))
+    maps = MappingSet(fields, (Mapping("employee_code", "Employee Code"), Mapping("hours", "Hours"), Mapping("state", "STATUS")))
+    columns = (("Employee Code", "text"), ("Hours", "decimal"), ("Status", "text"))
+    kinds = lambda drift: [f.category for f in drift.findings]
+    assert kinds(analyse_drift(Expected(MappingSet(fields, maps.mappings[:2])), Observed(columns))) == []
+    assert kinds(analyse_drift(Expected(maps), Observed(columns))) == ["column_renamed"]  # an alias, whatever its case
+    same = analyse_drift(Expected(MappingSet(fields, maps.mappings[:2])), Observed(columns[::-1]))
+    assert kinds(same) == ["column_reordered"] and same.decision == "review"
+    assert [analyse_drift(Expected(maps), Observed(columns[::-1]), Policy(m)).decision for m in MODES] == ["continue", "continue", "review", "stop"]
+    moved = analyse_drift(Expected(maps, sheet_name="a", start_row=2), Observed((("Zone", "text"), ("Hours", "text"), ("New", "text"), ("new_2", "text")), "b", (1, 2)))
+    assert set(kinds(moved)) == {"sheet_renamed", "header_level_changed", "selected_table_moved", "required_column_removed", "data_type_changed", "optional_column_removed", "column_added", "duplicate_column_introduced"}
+    assert moved.decision == "stop"
+    known = Expected(maps, approved_synonyms={"employee_code": ("Staff ID",)}, allowed_values={"state": ("open",)})
+    found = analyse_drift(known, Observed((("staff id", "text"), ("Hours", "decimal"), ("Status", "text")), null_percentages={"Hours": 5.0}, samples={"Status": ("Open", "lost")}), Policy("auto_accept_safe"))
+    assert kinds(found) == ["column_renamed", "nullability_changed", "column_renamed", "new_unexpected_values"]
+    assert (found.candidates["employee_code"][0].confidence, found.candidates["employee_code"][0].reason) == (0.92, "approved_synonym")
+    assert found.accepted == {"hours": "Hours", "state": "Status"} and found.decision == "continue"  # 0.92 is below the safe threshold
+    two = analyse_drift(Expected(maps), Observed((("Employee Code 1", "text"), ("Employee Code 2", "text"), *columns[1:])))
+    assert "ambiguous_mapping" in kinds(two) and two.blocked
+    with pytest.raises(PlanError, match="DRIFT_MODE_UNSUPPORTED"):
+        Policy("report")
     fixed, audit = repair_mapping(maps, [Decision("employee_code", "accept", "Staff ID")])
     assert fixed.version == 2 and fixed.mappings[0].source_column == "Staff ID" and audit[0]["before"] == "Employee Code"
     with pytest.raises(PlanError):
