@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from prepweave.errors import PlanError
+from prepweave.operators.cleaning import ROW_ID
+from prepweave.operators.mapping import with_row_ids
+from prepweave.tables import running_total, written
 
 FUNCTIONS = ("sum", "count", "unique_count", "average", "minimum", "maximum", "median", "first", "last")
 
@@ -60,8 +62,9 @@ def measure(function: str, c: Column, order: list[str]) -> Column:
 def aggregate_table(df: DataFrame, config: AggregateConfig, order: list[str] | None = None) -> DataFrame:
     """Groups and measures, then share of total, sort, dense rank, running total and top n, in this order.
 
-    order names the fields that order the input's rows, for first and last. The stages after grouping run on the
-    aggregated rows: a window over all of them is one task, of as many rows as there are groups.
+    order names the fields that order the input's rows, for first and last. The stages after grouping run on the aggregated
+    rows in all tasks: ranks number the different values by range, a running total adds the totals of the ranges before. For
+    these two the aggregated rows are written first.
     """
     fields = [*config.group_fields, *[m.field_id for m in config.measures]]
     if not config.group_fields or not config.measures or any(f not in df.columns for f in fields):
@@ -86,7 +89,8 @@ def aggregate_table(df: DataFrame, config: AggregateConfig, order: list[str] | N
     names = out.columns
     for f in config.percentage_of_total_fields:
         _known(f, names)
-        out = out.withColumn(f"{f}_percentage_of_total", F.expr(f"try_divide(cast(`{f}` as double), cast(sum(`{f}`) over () as double))") * 100)
+        total = out.agg(F.sum(f"`{f}`").cast("double")).scalar()
+        out = out.withColumn(f"{f}_percentage_of_total", F.try_divide(F.col(f"`{f}`").cast("double"), total) * 100)
     for f in config.sort_fields:
         _known(f, names)
     way = (lambda c: F.col(c).desc_nulls_first()) if config.descending else (lambda c: F.col(c).asc_nulls_first())
@@ -94,13 +98,15 @@ def aggregate_table(df: DataFrame, config: AggregateConfig, order: list[str] | N
     if config.rank_field:
         _known(config.rank_field, names)
         c = F.col(config.rank_field)
-        by = W.orderBy(c.desc_nulls_last() if config.descending else c.asc_nulls_last())
-        out = out.withColumn(config.rank_output_field, F.when(c.isNotNull(), F.dense_rank().over(by)).cast("long"))
+        out = written(out, "ranked")
+        values = out.filter(c.isNotNull()).select(c.alias("__value")).distinct()
+        places = with_row_ids(values, [F.desc("__value") if config.descending else F.asc("__value")])
+        out = out.join(places, c == F.col("__value"), "left").select(*out.columns, F.col(ROW_ID).alias(config.rank_output_field))
     if config.running_total_field:
         _known(config.running_total_field, names)
         c = F.col(config.running_total_field)
-        total = F.sum(c).over(W.orderBy(*sort).rowsBetween(W.unboundedPreceding, 0))
-        out = out.withColumn(config.running_total_output_field, F.when(c.isNotNull(), total))
+        name = config.running_total_output_field
+        out = running_total(out, c, name, sort).withColumn(name, F.when(c.isNotNull(), F.col(name)))
     out = out.orderBy(*sort)
     return out.limit(config.top_n) if config.top_n else out
 

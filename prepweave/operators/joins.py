@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from prepweave.errors import PlanError
 from prepweave.functions import text
@@ -117,16 +116,24 @@ def join_tables(left: DataFrame, right: DataFrame, config: JoinConfig, order: tu
         raise PlanError("JOIN_MANY_TO_MANY_APPROVAL_REQUIRED")
     review = None
     if config.duplicate_key_policy == "review" or config.approve_many_to_many:
-        repeated = lambda df, side: df.withColumn("__n", F.count("*").over(W.partitionBy(*keys))).filter("__n > 1").drop("__n", *keys).withColumns({"__join_side": F.lit(side), "__reason_codes": F.lit("DUPLICATE_JOIN_KEY")})
+
+        def repeated(df: DataFrame, side: str) -> DataFrame:
+            # keys are counted before they meet the rows, so that a frequent key is not one task's window
+            many = df.groupBy(*[F.col(k).alias(f"{k}_n") for k in keys]).agg(F.count("*").alias("__n")).filter("__n > 1")
+            again = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_n")) for k in keys])
+            return df.join(many, again, "left_semi").drop(*keys).withColumns({"__join_side": F.lit(side), "__reason_codes": F.lit("DUPLICATE_JOIN_KEY")})
+
         from prepweave.operators.append import union_by_name
 
         review = union_by_name([repeated(l, "left"), repeated(r, "right")])
     if config.duplicate_key_policy in ("keep_first", "keep_last"):
-        last = config.duplicate_key_policy == "keep_last"
+        best = F.max_by if config.duplicate_key_policy == "keep_last" else F.min_by
 
         def one(df: DataFrame, fields: list[str]) -> DataFrame:
-            by = W.partitionBy(*keys).orderBy(*[F.desc(c) if last else F.asc(c) for c in fields])
-            return df.withColumn("__n", F.row_number().over(by)).filter("__n = 1").drop("__n")
+            # combined before the shuffle, so a frequent key sends a row from each task
+            row = F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys])
+            kept = df.groupBy(*keys).agg(best(row, F.struct(*[F.col(f"`{c}`") for c in fields])).alias("__row"))
+            return kept.select("__row.*", *keys)
 
         orders = order or (sorted(left.columns), sorted(right.columns))
         l, r = one(l, orders[0]), one(r, orders[1])

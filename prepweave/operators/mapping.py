@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from prepweave.errors import PlanError
 from prepweave.operators.cleaning import ROW_ID, slug
-from prepweave.tables import written
+from prepweave.tables import in_ranges
 
 TYPES = {"text": "string", "integer": "bigint", "decimal": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp"}
 
@@ -65,17 +65,15 @@ def resolve(mapping: Mapping, target: Field, columns: list[str]) -> str | None:
     return next((c for c in [*names, *[n for n in (target.label, *target.aliases) if n and mapping.constant_value is None]] if c in columns), None)
 
 
-def with_row_ids(df: DataFrame, order: list[str]) -> DataFrame:
+def with_row_ids(df: DataFrame, order: list) -> DataFrame:
     """Numbers rows from 1 in the order of the fields, which must be a key for the numbers to be stable.
 
-    Rows are sorted by range over all tasks and written once with the number of their range and their place in it, as two
-    plans would not cut the same ranges. Only the sizes of the ranges meet on the driver.
+    Rows are sorted by range over all tasks and numbered from the sizes of the ranges, which alone meet on the driver.
     """
     if ROW_ID in df.columns:
         return df
     spark = df.sparkSession
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
-    placed = written(placed, "ranges").withColumn("__part", F.shiftright("__at", 33)).withColumn("__in", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = in_ranges(df, *order).withColumn("__in", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
     counts = {r["__part"]: r["n"] for r in placed.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one row a range
     bases, total = [], 0
     for p in sorted(counts):

@@ -8,10 +8,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from prepweave.errors import PlanError
 from prepweave.functions.expressions import Node, evaluated, infer_type, without_steps
+from prepweave.tables import running_total
 
 MODES = ("excel_files", "excel_sheets", "csv_files", "zip_package")
 LARGEST_CHUNK = 1_048_575
@@ -67,7 +67,7 @@ def split_table(df: DataFrame, config: SplitConfig, order: list[str], today=None
 
     Rows are grouped by the fields themselves, so keys of the same name stay apart: __split_group tells them apart.
     A condition keeps the rows for which it is true. Groups below the least size go. With a largest size a group is cut
-    in the order of `order`; otherwise no window is needed for chunks.
+    in the order of `order`, which is written by range first, so that a large group is many tasks.
     """
     if missing := [f for f in config.fields if f not in df.columns]:
         raise PlanError("SPLIT_FIELDS_NOT_FOUND", ", ".join(missing))
@@ -86,13 +86,12 @@ def split_table(df: DataFrame, config: SplitConfig, order: list[str], today=None
     name = F.array_join(F.array(*[F.coalesce(F.col(k), F.lit("null")) for k in keys]), "__") if keys else F.lit("all")
     group = F.to_json(F.struct(*keys)) if keys else F.lit("{}")
     out = out.withColumn("__split_key", name).withColumn("__split_group", group)
-    by = W.partitionBy("__split_group")
     if config.minimum_group_size > 1:
         sizes = out.groupBy("__split_group").agg(F.count("*").alias("__n")).filter(F.col("__n") >= config.minimum_group_size)
         out = out.join(sizes.select("__split_group"), "__split_group", "left_semi")
     if config.maximum_rows_per_file:
-        place = F.row_number().over(by.orderBy(*order))
-        out = out.withColumn("__chunk", F.ceil(place / config.maximum_rows_per_file).cast("long"))
+        out = running_total(out, F.lit(1), "__placed", order, "__split_group")
+        out = out.withColumn("__chunk", F.ceil(F.col("__placed") / config.maximum_rows_per_file).cast("long"))
     else:
         out = out.withColumn("__chunk", F.lit(1).cast("long"))
     return out.select(*df.columns, "__split_key", "__split_group", "__chunk")

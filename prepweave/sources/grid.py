@@ -1,4 +1,4 @@
-"""Delimited files as numbered grids of text: encoding and delimiter from the head, width and quoting from one pass."""
+"""Delimited files as numbered grids of text: the delimiter from the head, encoding, width and quoting from one pass."""
 
 from __future__ import annotations
 
@@ -30,17 +30,17 @@ def _split_count(line: str, delimiter: str) -> int:
 
 
 def sniff(spark: SparkSession, path: str) -> Dialect:
-    """The dialect of a file. The head tells encoding (UTF-8, else Windows-1252) and delimiter (that which stands equally
-    often in most lines, a comma if none does); a pass over the lines tells width and whether quotes span lines."""
+    """The dialect of a file. The head tells the delimiter (that which stands equally often in most lines, a comma if none
+    does); a pass over the lines tells encoding (UTF-8 if all lines are, else Windows-1252), width and whether quotes span
+    lines."""
     lines = spark.read.text(path)
     head = [bytes(r[0]) for r in lines.limit(HEAD_LINES).select(F.col("value").cast("binary")).collect()]
     if not head:
         return Dialect()
     try:
         texts = [h.decode("utf-8") for h in head]
-        encoding = "UTF-8"
     except UnicodeDecodeError:
-        texts, encoding = [h.decode("cp1252", "replace") for h in head], "windows-1252"
+        texts = [h.decode("cp1252", "replace") for h in head]
 
     def steady(d: str) -> tuple[float, int]:
         counts = [_split_count(t, d) for t in texts if t.strip()]
@@ -52,8 +52,8 @@ def sniff(spark: SparkSession, path: str) -> Dialect:
     delimiter = max(DELIMITERS, key=lambda d: (*steady(d), -DELIMITERS.index(d)))
     delimiter = delimiter if steady(delimiter)[1] else ","
     quote = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    facts = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit("")))).alias("most"), F.max(F.when(quote % 2 == 1, 1).otherwise(0)).alias("odd")).first()
-    return Dialect(delimiter, encoding, (facts["most"] or 0) + 1, bool(facts["odd"]))
+    facts = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(delimiter), F.lit("")))).alias("most"), F.max(F.when(quote % 2 == 1, 1).otherwise(0)).alias("odd"), F.bool_and(F.is_valid_utf8("value")).alias("utf8")).first()
+    return Dialect(delimiter, "UTF-8" if facts["utf8"] else "windows-1252", (facts["most"] or 0) + 1, bool(facts["odd"]))
 
 
 def read_grid(spark: SparkSession, path: str, dialect: Dialect | None = None, limit: int | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from prepweave.errors import PlanError
 from prepweave.sources.grid import ROW
+from prepweave.tables import written
 
 #: The format's namespaces and limits.
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -120,14 +121,30 @@ def _content(spark: SparkSession, path: str) -> DataFrame:
 
 
 def list_sheets(spark: SparkSession, path: str) -> list[Sheet]:
-    row = _content(spark, path).first()
-    if row is None:
+    """The sheets of a workbook, which an executor opens: only their names reach the driver."""
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for content in frame["content"]:
+                try:
+                    found = [(s.name, s.state, s.part, None) for s in sheets_of(content)]
+                except PlanError as e:
+                    found = [(None, None, None, e.detail)]
+                yield pd.DataFrame(found, columns=["name", "state", "part", "fault"])
+
+    rows = _content(spark, path).mapInPandas(run, "name string, state string, part string, fault string").collect()  # a row a sheet
+    if not rows:
         raise PlanError("SOURCE_NOT_FOUND", path)
-    return sheets_of(bytes(row[0]))
+    if rows[0]["fault"] is not None:
+        raise PlanError("SOURCE_CORRUPT", rows[0]["fault"])
+    return [Sheet(r["name"], r["state"], r["part"]) for r in rows]
 
 
 def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """The grid of one sheet, the first visible one if none is named. The workbook is read on an executor."""
+    """The grid of one sheet, the first visible one if none is named. The workbook is read once, on an
+    executor, and its rows are written."""
     found = list_sheets(spark, path)
     chosen = next((s for s in found if s.name == sheet), None) if sheet else next((s for s in found if s.state == "visible"), None)
     if chosen is None:
@@ -147,7 +164,7 @@ def read_sheet(spark: SparkSession, path: str, sheet: str | None = None) -> Data
                         held = []
                 yield pd.DataFrame(held, columns=[ROW, "cells"])
 
-    long = _content(spark, path).mapInPandas(run, f"{ROW} long, cells array<string>")
+    long = written(_content(spark, path).mapInPandas(run, f"{ROW} long, cells array<string>"), "sheet")
     width = long.agg(F.max(F.size("cells"))).first()[0] or 1
     return long.select(ROW, *[F.get("cells", F.lit(i)).alias(f"_c{i}") for i in range(width)])
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -19,3 +21,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows sorted by range over all tasks and written once, with the number of their range (__part) and a number that
+    grows with the order (__at), as two plans would not cut the same ranges."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    return written(placed, "ranges").withColumn("__part", F.shiftright("__at", 33))
+
+
+def running_total(df: DataFrame, value: Column, name: str, order: list, by: str | None = None) -> DataFrame:
+    """Adds the inclusive running total of value in an order, within each value of the column `by` (never null) if given.
+
+    Each range is summed on its own and starts from the sum of those before it, so neither a frequent group nor the whole
+    table is one task. Nulls add nothing.
+    """
+    groups = [by] if by else []
+    rows = in_ranges(df, *groups, *order)
+    sums = rows.groupBy("__part", *groups).agg(F.sum(value).alias("__sum"))
+    kind = sums.schema["__sum"].dataType
+    earlier = F.sum("__sum").over(W.partitionBy(*groups).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))  # a row a range
+    bases = sums.select("__part", *groups, F.coalesce(earlier.cast(kind), F.lit(0).cast(kind)).alias("__base"))
+    inside = F.sum(value).over(W.partitionBy("__part", *groups).orderBy("__at").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("__inside", inside).join(bases, ["__part", *groups]).withColumn(name, (F.col("__base") + F.col("__inside")).cast(kind)).drop("__part", "__at", "__inside", "__base")

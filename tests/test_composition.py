@@ -98,6 +98,52 @@ def test_split(spark):
     assert [safe_name("{split_value}", {"split_value": v}, taken) for v in ("Finance/North", "Finance\\North", "../x*?", "con", "{y}")] == ["Finance_North", "Finance_North_2", "x", "con_", "{y}"]
 
 
+def many_ranges(spark, rows: int):
+    """Rows whose group 0 holds half of them, and settings under which they are many ranges."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    return spark.range(rows).selectExpr("id", "cast(if(id % 2 = 0, 0, id % 7) as int) g", "if(id % 5 = 0, null, id % 11) v")
+
+
+def test_stages_over_many_ranges(spark):
+    try:
+        df = many_ranges(spark, 4_000)
+        config = AggregateConfig(["id"], [Measure("v", "maximum", "m")], ["m"], True, None, ["m"], "m", "rank", "m")
+        found = aggregate_table(df, config).collect()
+        values = {i: None if i % 5 == 0 else i % 11 for i in range(4_000)}
+        places = {v: n for n, v in enumerate(sorted({v for v in values.values() if v is not None}, reverse=True), 1)}
+        order = sorted(values, key=lambda i: (values[i] is not None, -(values[i] or 0), i))
+        total, whole = 0, sum(v or 0 for v in values.values())
+        assert [r["id"] for r in found] == order
+        for r in found:
+            v = values[r["id"]]
+            total += v or 0
+            assert (r["rank"], r["running_total"]) == ((None, None) if v is None else (places[v], total))
+            assert r["m_percentage_of_total"] is None if v is None else abs(r["m_percentage_of_total"] - 100 * v / whole) < 1e-9
+        chunks = {r["id"]: r["__chunk"] for r in split_table(df, SplitConfig(["g"], maximum_rows_per_file=100), ["id"]).collect()}
+        seen: dict[int, int] = {}
+        for i in range(4_000):
+            g = 0 if i % 2 == 0 else i % 7
+            seen[g] = seen.get(g, 0) + 1
+            assert chunks[i] == -(-seen[g] // 100)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    empty = aggregate_table(df.limit(0), config)
+    assert empty.count() == 0 and empty.columns == ["id", "m", "m_percentage_of_total", "rank", "running_total"]
+    assert split_table(df.limit(0), SplitConfig(["g"], maximum_rows_per_file=100), ["id"]).count() == 0
+
+
+def test_join_duplicate_policies(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 2), (None, 3), (None, 4), ("b", 5)], "k string, x int")
+    right = spark.createDataFrame([("a", 7), ("a", 8), ("b", 9)], "k string, x int")
+    join = lambda policy, kind="inner": join_tables(left, right, JoinConfig(kind, ["k"], ["k"], duplicate_key_policy=policy), (["x"], ["x"]))
+    pairs = lambda r: sorted((x["x"], x["x_right"]) for x in r.table.collect())
+    assert pairs(join("keep_first")) == [(1, 7), (5, 9)] and pairs(join("keep_last")) == [(2, 8), (5, 9)]
+    assert sorted(x["x"] for x in join("keep_last", "anti").table.collect()) == [4]
+    found = join("review").review
+    assert sorted((x["__join_side"], x["x"]) for x in found.collect()) == [("left", 1), ("left", 2), ("left", 3), ("left", 4), ("right", 7), ("right", 8)]
+    assert "__join_key_0" not in found.columns
+
+
 def test_row_ids(spark):
     df = spark.range(0, 1000, 1, 7).withColumnRenamed("id", "k")
     assert [tuple(r) for r in with_row_ids(df, ["k"]).select("k", "__row_id").orderBy("k").collect()] == [(i, i + 1) for i in range(1000)]

@@ -23,6 +23,8 @@ def test_grid(spark, tmp_path):
     assert rows[0][:3] == (1, "a", "b") and rows[1][:3] == (2, "1", "x;y") and rows[2][:3] == (3, "2", None) and rows[3][:4] == (4, "3", "q", "r")
     p = put(tmp_path / "b.csv", "é€,1\nb,2\n", "cp1252")
     assert sniff(spark, p).encoding == "windows-1252" and read_grid(spark, p).first()["_c0"] == "é€"
+    p = put(tmp_path / "late.csv", "a,1\n" * 500 + "é€,2\n", "cp1252")
+    assert sniff(spark, p).encoding == "windows-1252" and read_grid(spark, p).filter("__rn = 501").first()["_c0"] == "é€"
     p = put(tmp_path / "c.csv", 'a,b\n"x\ny",2\n')
     assert read_grid(spark, p).count() == 2
     p = put(tmp_path / "d.csv", "")
