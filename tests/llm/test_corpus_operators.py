@@ -187,9 +187,25 @@ def test_knn(spark):
     found = sorted(map(tuple, knn.top_k(df).collect()))
     assert found == sorted(_knn(rows))
     assert sorted(map(tuple, knn.top_k(df, block_rows=64, pivots=5).collect())) == found
+    assert sorted(map(tuple, knn.top_k(df, block_rows=7, query_rows=2, most_pivots=40, most_groups=3).collect())) == found
     assert knn.top_k(spark.createDataFrame([], kinds)).count() == 0
 
 
+def test_knn_of_clusters(spark):
+    """Far clusters: each query reaches few blocks, and the rows are still those of brute force."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(12, 6)) * 40
+    rows = [(i, (middles[i % 12] + rng.normal(size=6)).tolist()) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    for limits in ({}, {"block_rows": 20, "query_rows": 3, "groups": 4}):
+        assert sorted(map(tuple, knn.top_k(df, every=10, **limits).collect())) == sorted(_knn(rows, every=10))
+    parts = knn.Blocks(np.array([4, 1, 7]), np.array([10, 95, 10]), np.zeros(3), np.full(3, 2.0), 40, 7, 3)
+    assert parts.parts == 3 and parts.of_cell == {4: (0, 1), 1: (1, 3), 7: (4, 1)}
+    away = np.zeros((2, 8))
+    away[1, [4, 7]] = 9.0
+    assert [list(map(int, x)) for x in parts.reached(away, np.array([1.0, 1.0]))] == [[0, 0, 0, 0, 0, 1, 1, 1], [0, 1, 2, 3, 4, 1, 2, 3]]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(name, spark, sf):
     con = duckdb.connect()
