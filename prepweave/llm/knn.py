@@ -130,7 +130,7 @@ def _scores(q: np.ndarray, s: np.ndarray) -> np.ndarray:
 
 def top_k(
     vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedding", key: str = "vec_id",
-    pivots: int = 64, most_pivots: int = 4096, groups: int = 8, most_groups: int = 256, block_rows: int = 4096, query_rows: int = 4096,
+    pivots: int = 64, most_pivots: int = 4096, groups: int = 1, most_groups: int = 256, block_rows: int = 4096, query_rows: int = 4096,
 ) -> DataFrame:
     """Per query its k highest scores: query_id, rank (from 1), vec_id, score; ties to the smaller vec_id.
 
