@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, secrets, site_quality, warc
+from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, resample, secrets, site_quality, warc
 from prepweave.llm.common import shared_dir
 
 
@@ -99,8 +99,12 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op13_ngram_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("text"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op3_site_quality, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op3_site_quality, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe, op13_ngram_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
