@@ -57,6 +57,13 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def drawn(share: Column | float, *key: Column | str) -> Column:
+    """Whether a row belongs to a sample of so large a share, told from 63 bits of the key's hash, so that small shares of
+    very many rows are told apart too."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.xxhash64(F.lit("sample"), *key).bitwiseAND(2**63 - 1).cast("double") <= share * F.lit(2.0**63)
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("long")
 

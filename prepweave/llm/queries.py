@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, resample, secrets, site_quality, warc
-from prepweave.llm.common import shared_dir
+from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, prefix_trie, resample, secrets, site_quality, warc
+from prepweave.llm.common import shared_dir, written
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -99,13 +99,43 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    convs = written(prefix_trie.strings(_read(spark, sf_dir, "conversations")), "convs")
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(convs))
+
+
+#: crc32 in SQL: the table of 256 remainders, and the fold over a list of bytes.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, _: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t"
+CRC = "xor(list_reduce({bytes}, lambda c, b: xor(c // 256, t[1 + xor(c % 256, b)]), 4294967295), 4294967295)"
+
+OP12 = f"""
+WITH z AS ({CRC_TABLE}),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+e AS (SELECT conv_id, turn, substr(sha256(length(r) || ':' || r || x), 1, 32) AS e, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS w FROM t),
+o AS (SELECT conv_id, list(e ORDER BY turn NULLS FIRST, e) AS s FROM e GROUP BY 1),
+h AS (SELECT conv_id, s, {CRC.format(bytes="list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))")} % 4 AS h FROM o, z),
+b AS (SELECT h.conv_id, list_concat(coalesce(p.s[:h], []), h.s[h + 1:]) AS s FROM h LEFT JOIN o p ON p.conv_id = h.conv_id - h.conv_id % 20),
+m AS (SELECT conv_id, s[:d] AS k, d, len(s) = d AS whole FROM (SELECT conv_id, s, unnest(range(len(s) + 1)) AS d FROM b)),
+n AS (
+  SELECT k, d, min(conv_id) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE whole), '')) AS ends
+  FROM m GROUP BY 1, 2
+),
+c AS (SELECT k[:d - 1] AS k, count(*) AS children FROM n WHERE d > 0 GROUP BY 1),
+f AS (SELECT n.*, coalesce(children, 0) AS children, (n - 1) * coalesce(w, 0) AS saved FROM n LEFT JOIN c USING (k) LEFT JOIN (SELECT DISTINCT e, w FROM e) l ON l.e = n.k[d]),
+u AS (SELECT k[:a] AS k, sum(saved) AS saved, sum(CASE WHEN children = 0 THEN 1 ELSE 0 END) AS leaves FROM (SELECT *, unnest(range(d + 1)) AS a FROM f) GROUP BY 1)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, CAST(f.n AS BIGINT) AS n_convs, CAST(f.children AS BIGINT) AS n_children,
+  CAST(u.leaves AS BIGINT) AS n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, f.ends AS ends_sha256
+FROM f JOIN u USING (k) LEFT JOIN n p ON f.d > 0 AND p.k = f.k[:f.d - 1]
+"""
+
+
 def op13_ngram_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("text"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op3_site_quality, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe, op13_ngram_importance)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op3_site_quality, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe, op12_prefix_trie, op13_ngram_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_segmented_warc": OP4, "op8_voronoi_knn": OP8}
+    return {"op4_segmented_warc": OP4, "op8_voronoi_knn": OP8, "op12_prefix_trie": OP12}
