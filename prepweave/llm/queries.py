@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, prefix_trie, resample, secrets, site_quality, warc
+from prepweave.llm import fertility, knn, language, lexicon_bpe, mixing, neardup, pii, prefix_trie, resample, secrets, site_quality, toxicity, warc
 from prepweave.llm.common import shared_dir, written
 
 
@@ -99,6 +99,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 """
 
 
+def op11_convolution_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return toxicity.score(docs, toxicity.learn(docs, _read(spark, sf_dir, "labels")))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     convs = written(prefix_trie.strings(_read(spark, sf_dir, "conversations")), "convs")
     return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(convs))
@@ -134,7 +139,7 @@ def op13_ngram_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op3_site_quality, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe, op12_prefix_trie, op13_ngram_importance)}
+    return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op3_site_quality, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe, op11_convolution_toxicity, op12_prefix_trie, op13_ngram_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
