@@ -138,9 +138,39 @@ def op13_ngram_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark").select("text"))
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BYTES = "list_transform(range(octet_length(encode(f))), lambda i: CAST('0x' || substr(hex(encode(f)), CAST(1 + 2 * i AS INT), 2) AS BIGINT))"
+OP13 = f"""
+WITH z AS ({CRC_TABLE}),
+words AS (
+  SELECT doc_id, true AS doc, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+  UNION ALL SELECT NULL, false, regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark
+),
+runs AS (
+  SELECT doc_id, doc, unnest(list_concat(w, list_transform(w[2:], lambda x, i: w[i] || ' ' || x), list_transform(w[3:], lambda x, i: w[i] || ' ' || w[i + 1] || ' ' || x))) AS f FROM words
+),
+counted AS (SELECT doc_id, doc, f, count(*) AS n FROM runs GROUP BY ALL),
+names AS (SELECT f, {CRC.format(bytes=_BYTES)} % 10000 AS b FROM (SELECT DISTINCT f FROM counted), z),
+bucketed AS (SELECT doc_id, doc, b, sum(n) AS n FROM counted JOIN names USING (f) GROUP BY ALL),
+sums AS (SELECT b, sum(n) FILTER (WHERE doc) AS s, sum(n) FILTER (WHERE NOT doc) AS t FROM bucketed GROUP BY 1),
+gain AS (
+  SELECT b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (sum(s) OVER () + 10000) / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce(sum(t) OVER (), 0) + 10000)))) AS gain FROM sums
+),
+weighed AS (SELECT doc_id, sum(n) AS n, sum(n * gain) AS weight FROM bucketed JOIN gain USING (b) WHERE doc GROUP BY 1),
+scored AS (
+  SELECT d.doc_id, len(w) AS words, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS score
+  FROM words d LEFT JOIN weighed USING (doc_id) WHERE d.doc
+),
+ranked AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS docs FROM scored WHERE words >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN r <= docs * 5 // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_tokeniser_fertility, op2_information_pii, op3_site_quality, op4_segmented_warc, op5_block_mixing, op6_markov_secrets, op7_chosen_path_near_duplicates, op8_voronoi_knn, op9_rank_order_language, op10_lexicon_bpe, op11_convolution_toxicity, op12_prefix_trie, op13_ngram_importance)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_segmented_warc": OP4, "op8_voronoi_knn": OP8, "op12_prefix_trie": OP12}
+    return {"op4_segmented_warc": OP4, "op8_voronoi_knn": OP8, "op12_prefix_trie": OP12, "op13_ngram_importance": OP13}
