@@ -209,7 +209,7 @@ def test_knn_of_clusters(spark):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_against_sql(name, spark, sf):
     con = duckdb.connect()
-    for t in ("pages", "embeddings", "documents"):
+    for t in ("pages", "embeddings", "documents", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     want = con.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in want.description]

