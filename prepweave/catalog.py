@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prepweave import catalog_ordered  # noqa: F401  registers its queries
 from prepweave.errors import PlanError
 from prepweave.functions import expressions as ex
 from prepweave.functions.expressions import fld, fn, lit
@@ -20,42 +20,13 @@ from prepweave.operators.reshape import PivotConfig, UnpivotConfig, pivot_table,
 from prepweave.plans.drift import Expected, Observed, analyse_drift
 from prepweave.plans.evidence import write_split
 from prepweave.plans.workflow import WorkflowPlan, compile_workflow, reconcile
+from prepweave.registry import add, oracle_sql, queries, register, table  # noqa: F401
 from prepweave.sources import discovery
 from prepweave.sources.grid import read_source
 from prepweave.tables import fresh_path
 
 FLAGSHIP = "customer_segment_report"
 TODAY = dt.date(2026, 7, 17)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def register(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
-def add(name: str, f: Callable[[SparkSession, str], DataFrame], sql: str | None) -> None:
-    QUERIES[name] = f
-    if sql:
-        ORACLES[name] = sql
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def money(c: str) -> Column:
