@@ -24,8 +24,3 @@ def ingest_new_files(spark: SparkSession, folder: str, schema: StructType | str,
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return sum(done)
-
-
-def new_by_content(scanned: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Files whose content no earlier manifest (column sha256) holds."""
-    return scanned.join(manifest.select("sha256").distinct(), "sha256", "left_anti")
