@@ -7,12 +7,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window as W
 
 from prepweave.errors import PlanError
 from prepweave.operators.cleaning import ROW_ID
 from prepweave.operators.mapping import with_row_ids
-from prepweave.tables import running_total, written
+from prepweave.operators.quantiles import exact_percentiles
+from prepweave.tables import fits_task, running_total, written
 
+#: Grouped rows that one task sorts and adds up; checked by a count.
+FEW = 100_000
 FUNCTIONS = ("sum", "count", "unique_count", "average", "minimum", "maximum", "median", "first", "last")
 
 
@@ -63,8 +67,8 @@ def aggregate_table(df: DataFrame, config: AggregateConfig, order: list[str] | N
     """Groups and measures, then share of total, sort, dense rank, running total and top n, in this order.
 
     order names the fields that order the input's rows, for first and last. The stages after grouping run on the aggregated
-    rows in all tasks: ranks number the different values by range, a running total adds the totals of the ranges before. For
-    these two the aggregated rows are written first.
+    rows, which shares, ranks and totals read from one written result: up to FEW rows in one task, more in all tasks (ranks
+    number the different values by range, a running total adds the totals of the ranges before).
     """
     fields = [*config.group_fields, *[m.field_id for m in config.measures]]
     if not config.group_fields or not config.measures or any(f not in df.columns for f in fields):
@@ -85,32 +89,58 @@ def aggregate_table(df: DataFrame, config: AggregateConfig, order: list[str] | N
         measures.append(measure(m.function, c, order or []).alias(m.output_field_id))
     if checks and (row := df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in checks]).first()) and any(row):
         raise PlanError("AGGREGATION_NULL_VALUES", ", ".join(c for c in checks if row[c]))
-    out = df.groupBy(*config.group_fields).agg(*measures)
+    out = _grouped(df, config, measures)
     names = out.columns
+    for f in (*config.percentage_of_total_fields, *config.sort_fields, *[x for x in (config.rank_field, config.running_total_field) if x]):
+        _known(f, names + [f"{c}_percentage_of_total" for c in config.percentage_of_total_fields])
+    few = False
+    if config.percentage_of_total_fields or config.rank_field or config.running_total_field:
+        out = written(out, "grouped")
+        few = out.count() <= FEW  # so many rows are sorted and added up in one task; more of them by ranges
     for f in config.percentage_of_total_fields:
-        _known(f, names)
         total = out.agg(F.sum(f"`{f}`").cast("double")).scalar()
         out = out.withColumn(f"{f}_percentage_of_total", F.try_divide(F.col(f"`{f}`").cast("double"), total) * 100)
-    for f in config.sort_fields:
-        _known(f, names)
     way = (lambda c: F.col(c).desc_nulls_first()) if config.descending else (lambda c: F.col(c).asc_nulls_first())
     sort = [way(c) for c in (config.sort_fields or config.group_fields)] + [F.col(c).asc_nulls_first() for c in config.group_fields]
     if config.rank_field:
-        _known(config.rank_field, names)
-        c = F.col(config.rank_field)
-        out = written(out, "ranked")
-        values = out.filter(c.isNotNull()).select(c.alias("__value")).distinct()
-        places = with_row_ids(values, [F.desc("__value") if config.descending else F.asc("__value")])
-        out = out.join(places, c == F.col("__value"), "left").select(*out.columns, F.col(ROW_ID).alias(config.rank_output_field))
+        c, name = F.col(config.rank_field), config.rank_output_field
+        if few:
+            place = F.dense_rank().over(W.orderBy(c.desc_nulls_last() if config.descending else c.asc_nulls_last())).cast("long")
+            out = out.withColumn(name, F.when(c.isNotNull(), place))
+        else:
+            values = out.filter(c.isNotNull()).select(c.alias("__value")).distinct()
+            places = with_row_ids(values, [F.desc("__value") if config.descending else F.asc("__value")])
+            out = out.join(places, c == F.col("__value"), "left").select(*out.columns, F.col(ROW_ID).alias(name))
     if config.running_total_field:
-        _known(config.running_total_field, names)
-        c = F.col(config.running_total_field)
-        name = config.running_total_output_field
-        out = running_total(out, c, name, sort).withColumn(name, F.when(c.isNotNull(), F.col(name)))
+        c, name = F.col(config.running_total_field), config.running_total_output_field
+        if few:
+            out = out.withColumn(name, F.sum(c).over(W.orderBy(*sort).rowsBetween(W.unboundedPreceding, 0)))
+            out = out.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
+        else:
+            out = running_total(out, c, name, sort)
+        out = out.withColumn(name, F.when(c.isNotNull(), F.col(name)))
     out = out.orderBy(*sort)
     return out.limit(config.top_n) if config.top_n else out
 
 
+def _grouped(df: DataFrame, config: AggregateConfig, measures: list[Column]) -> DataFrame:
+    """The groups with their measures. Medians are aggregated with the rest where the whole input fits a task; else groups
+    are counted first, and large ones get theirs by selection."""
+    medians = [(i, m) for i, m in enumerate(config.measures) if m.function == "median"]
+    if not medians or fits_task(df):
+        return df.groupBy(*config.group_fields).agg(*measures)
+    filled = lambda m: F.coalesce(F.col(f"`{m.field_id}`"), F.lit(0)) if m.null_handling == "zero" else F.col(f"`{m.field_id}`")
+    rest = [c for c, m in zip(measures, config.measures) if m.function != "median"]
+    out = written(df.groupBy(*config.group_fields).agg(*rest, *[F.count(filled(m)).alias(f"__n{i}") for i, m in medians]), "grouped")
+    for i, m in medians:
+        values = df.withColumn("__value", filled(m))
+        found = exact_percentiles(values, config.group_fields, "__value", [0.5], counts=out.select(*config.group_fields, F.col(f"__n{i}").alias("n")))
+        found = found.select(*[F.col(f"`{g}`").alias(f"__g{k}") for k, g in enumerate(config.group_fields)], F.col("p0").alias(m.output_field_id))
+        same = [F.col(f"`{g}`").eqNullSafe(F.col(f"__g{k}")) for k, g in enumerate(config.group_fields)]
+        out = out.join(found, same, "left").drop(*[f"__g{k}" for k in range(len(same))])
+    return out.select(*config.group_fields, *[F.col(f"`{m.output_field_id}`") for m in config.measures])
+
+
 def _known(name: str, names: list[str]) -> None:
     if name not in names:
         raise PlanError("AGGREGATION_FIELDS_NOT_FOUND", name)

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from prepweave.errors import PlanError
 from prepweave.functions.expressions import Node, evaluated, infer_type, without_steps
-from prepweave.tables import running_total
+from prepweave.tables import numbered_within
 
 MODES = ("excel_files", "excel_sheets", "csv_files", "zip_package")
 LARGEST_CHUNK = 1_048_575
@@ -90,7 +90,7 @@ def split_table(df: DataFrame, config: SplitConfig, order: list[str], today=None
         sizes = out.groupBy("__split_group").agg(F.count("*").alias("__n")).filter(F.col("__n") >= config.minimum_group_size)
         out = out.join(sizes.select("__split_group"), "__split_group", "left_semi")
     if config.maximum_rows_per_file:
-        out = running_total(out, F.lit(1), "__placed", order, "__split_group")
+        out = numbered_within(out, "__placed", order, "__split_group")
         out = out.withColumn("__chunk", F.ceil(F.col("__placed") / config.maximum_rows_per_file).cast("long"))
     else:
         out = out.withColumn("__chunk", F.lit(1).cast("long"))

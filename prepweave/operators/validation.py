@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from prepweave.errors import PlanError
 from prepweave.functions import text
@@ -49,8 +48,9 @@ def valid_type(s: Column, data_type: str) -> Column:
     return F.lit(True)
 
 
-def invalid(rule: Rule, spread: Column | None = None) -> Column:
-    """Where a row breaks the rule. Missing values pass all rules but `required`. spread deals out rows of missing values."""
+def invalid(rule: Rule, repeated: Column | None = None) -> Column:
+    """Where a row breaks the rule. Missing values pass all rules but `required`. repeated tells where a value that must be
+    unique is not (see annotate())."""
     c = F.col(f"`{rule.field_id}`")
     s, config = c.cast("string"), rule.config
     missing = text.is_blank(c)
@@ -59,8 +59,7 @@ def invalid(rule: Rule, spread: Column | None = None) -> Column:
     if rule.rule_type == "data_type":
         bad = ~valid_type(s, config["data_type"])
     elif rule.rule_type == "unique":
-        # missing values pass, so they are dealt out and not brought together
-        bad = F.count(c).over(W.partitionBy(c, F.when(missing, F.lit(0) if spread is None else spread))) > 1
+        bad = F.lit(False) if repeated is None else repeated
     elif rule.rule_type == "allowed_values":
         bad = ~c.isin(list(config["values"]))
     elif rule.rule_type == "min_max":
@@ -81,7 +80,11 @@ def invalid(rule: Rule, spread: Column | None = None) -> Column:
 
 
 def annotate(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Adds the array of a row's findings, in the order of the rules. A unique rule adds a window over its field."""
+    """Adds the array of a row's findings, in the order of the rules.
+
+    For a unique rule values are counted first, in each task before they meet, and those that come more than once are
+    joined back: a value that half of the rows have is one row on that side, and its rows are split like any skewed join's.
+    """
     for r in rules:
         if r.field_id not in df.columns:
             raise PlanError("VALIDATION_FIELD_NOT_FOUND", r.field_id)
@@ -91,10 +94,15 @@ def annotate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     if not rules:
         return df.withColumn(FINDINGS, F.array().cast(kind))
     row = F.col(ROW_ID).cast("long") if ROW_ID in df.columns else F.lit(None).cast("long")
-    spread = F.xxhash64(ROW_ID) if ROW_ID in df.columns else F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    rest = df.columns
+    for i, f in enumerate(fields := list(dict.fromkeys(r.field_id for r in rules if r.rule_type == "unique"))):
+        c = F.col(f"`{f}`")
+        many = df.filter(~text.is_blank(c)).groupBy(c.alias(f"__u{i}")).agg(F.count("*").alias("__times")).filter("__times > 1").select(f"__u{i}", F.lit(True).alias(f"__many{i}"))
+        df = df.join(many, c == F.col(f"__u{i}"), "left")
+    repeated = lambda r: F.coalesce(F.col(f"__many{fields.index(r.field_id)}"), F.lit(False)) if r.rule_type == "unique" else None
     parts = [
         F.when(
-            invalid(r, spread),
+            invalid(r, repeated(r)),
             F.struct(
                 row.alias("row_id"), F.lit(r.field_id).alias("field_id"), F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"),
                 F.lit(r.reason_code).alias("reason_code"), F.lit(r.message).alias("message"), F.col(f"`{r.field_id}`").cast("string").alias("original_value"),
@@ -102,7 +110,7 @@ def annotate(df: DataFrame, rules: list[Rule]) -> DataFrame:
         )
         for r in rules
     ]
-    return df.withColumn(FINDINGS, F.array_compact(F.array(*parts)).cast(kind))
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.array_compact(F.array(*parts)).cast(kind).alias(FINDINGS))
 
 
 def findings(annotated: DataFrame) -> DataFrame:

@@ -30,6 +30,30 @@ def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     return written(placed, "ranges").withColumn("__part", F.shiftright("__at", 33))
 
 
+def fits_task(df: DataFrame, most: int = 32 << 20) -> bool:
+    """Whether Spark's own estimate says that a table is so small that one task may sort all of it. Joins are estimated by
+    the product of their sides, and plans that make rows out of rows are not trusted."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    return not any(x in text for x in ("Generate", "Expand", "MapIn", "Python", "LogicalRDD", "Range (")) and int(str(plan.stats().sizeInBytes())) <= most
+
+
+def numbered_within(df: DataFrame, name: str, order: list, by: str) -> DataFrame:
+    """Adds each row's number from 1 in an order within each value of the column `by` (never null).
+
+    Rows are sorted by range and written; a row's number is its place in the whole order less that of its value's first
+    row, so that a frequent value is as many tasks as it has ranges, and no window is needed.
+    """
+    if fits_task(df):
+        return df.withColumn(name, F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("long"))
+    rows = in_ranges(df, by, *order)
+    sizes = rows.groupBy("__part").agg(F.count("*").alias("__n"))
+    bases = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # a row a range
+    rows = rows.join(F.broadcast(bases), "__part").withColumn("__place", F.col("__base") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+    begins = rows.groupBy(by).agg(F.min("__place").alias("__begin"))
+    return rows.join(begins, by).withColumn(name, F.col("__place") - F.col("__begin") + 1).drop("__part", "__at", "__base", "__place", "__begin")
+
+
 def running_total(df: DataFrame, value: Column, name: str, order: list, by: str | None = None) -> DataFrame:
     """Adds the inclusive running total of value in an order, within each value of the column `by` (never null) if given.
 
