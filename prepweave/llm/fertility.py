@@ -179,34 +179,43 @@ SCHEMA = (
 OCTAVES = 12
 #: A fence is never nearer to its quartile than reach times these: a share of the median, bits.
 LEAST_CHARS_SPREAD, LEAST_ENTROPY_SPREAD = 0.02, 0.1
+LIMITS = ["rows", "low_chars", "high_chars", "low_entropy"]
 
 
-def fences(measured: DataFrame, reach: float) -> DataFrame:
+def fences(measured: DataFrame, reach: float, weight: int) -> DataFrame:
     """Limits from the documents themselves: name, octave, rows, low_chars, high_chars, low_entropy.
 
-    Grouped by language, and by script for documents without one or of a rare one, and by octave of the number of tokens.
-    A limit lies `reach` times the distance of the quartiles beyond the quartile, so it cuts no fixed share, and holds while
-    fewer than a quarter of a group is noise. Equal measures (copies) count once. Measures are rounded to thousandths, so
-    that the exact percentiles combine before the shuffle and hold few values a group.
+    Grouped by language, by script, and for all documents, each by octave of the number of tokens. A limit lies `reach` times
+    the distance of the quartiles beyond the quartile, so it cuts no fixed share, and holds while fewer than a quarter of a
+    group is noise; the fence of all documents is wider by weight / rows. Equal measures (copies) count once. Measures are
+    rounded to thousandths, so that the exact percentiles combine before the shuffle and hold few values a group.
     """
-    names = F.array_compact(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script")))
+    names = F.array_compact(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"), F.lit("all")))
     one = measured.filter("kept").select(F.explode(names).alias("name"), "octave", "n_tokens", F.round("chars_per_token", 3).alias("chars"), F.round("token_entropy", 3).alias("bits")).distinct()
     quarters = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c)
     found = one.groupBy("name", "octave").agg(F.count("*").alias("rows"), quarters("chars"), quarters("bits"))
-    far = lambda c, least: reach * F.greatest(F.col(c)[2] - F.col(c)[0], least)
+    wider = F.when(F.col("name") == "all", 1 + weight / F.col("rows")).otherwise(1.0)
+    far = lambda c, least: reach * wider * F.greatest(F.col(c)[2] - F.col(c)[0], least)
     chars, bits = far("chars", LEAST_CHARS_SPREAD * F.col("chars")[1]), far("bits", F.lit(LEAST_ENTROPY_SPREAD))
     return found.select("name", "octave", "rows", (F.col("chars")[0] - chars).alias("low_chars"), (F.col("chars")[2] + chars).alias("high_chars"), (F.col("bits")[0] - bits).alias("low_entropy"))
 
 
-def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str, Band] = BANDS, text: str = "text", key: str = "doc_id", lang: str | None = None, reach: float = 2.0, least_rows: int = 100) -> DataFrame:
+def _shrunk(own: Column, above: Column, weight: int) -> Column:
+    """A fence drawn to the one above it, which counts as `weight` documents; that one where there is none."""
+    mixed = lambda c: ((own["rows"] * own[c] + weight * above[c]) / (own["rows"] + weight)).alias(c)
+    limits = [c for c in LIMITS if c != "rows"]
+    return F.when(own.isNull(), F.struct(*[above[c].alias(c) for c in limits])).otherwise(F.struct(*map(mixed, limits)))
+
+
+def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str, Band] = BANDS, text: str = "text", key: str = "doc_id", lang: str | None = None, reach: float = 2.0, weight: int = 100) -> DataFrame:
     """Per document the base counts, the fertility measures and the verdict; SCHEMA's columns.
 
     vocabularies: paths of the rank file and of the piece file, and the rank file's splitting pattern; they must lie at
     the same place on all machines. A document is kept if it passes the base limits (20 words, at most 30 in 100 words
     in repeated windows), the band of its language (column `lang`, if bands has it) or else of its script, and the fences()
-    of its language and length, or of its script and length where fewer than least_rows different documents of the language
-    passed the others; where the script has not as many either, the band decides alone. A null or empty text has no words
-    and is not kept; repeated rows are judged each for itself; an empty table gives an empty result; columns other than
+    of its language and length. A language's fence is drawn to its script's, and a script's to that of all documents, each
+    of which weighs `weight` documents; so fences of few documents count little, and none is switched on or off. A null or
+    empty text has no words and is not kept; repeated rows are judged each for itself; an empty table gives an empty result; columns other than
     those named are not read. Texts are read once and not shuffled, and a task holds a batch of them at a time; the measures
     are written below spark.checkpoint.dir.
     """
@@ -242,10 +251,12 @@ def judge(docs: DataFrame, vocabularies: tuple[str, str, str], bands: dict[str,
 
     picked = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang"))
     measured = written(picked.mapInArrow(run, out), "measured")
-    limits = written(fences(measured, reach).filter(F.col("rows") >= least_rows), "fences")
-    own, other = (small(limits.select(F.col("name").alias(f"__{p}"), F.col("octave").alias(f"__{p}o"), F.struct("low_chars", "high_chars", "low_entropy").alias(f"__{p}f")), 100_000) for p in ("l", "s"))
-    df = measured.join(own, (F.concat(F.lit("lang:"), "lang") == F.col("__l")) & (F.col("octave") == F.col("__lo")), "left")
-    df = df.join(other, (F.concat(F.lit("script:"), "script") == F.col("__s")) & (F.col("octave") == F.col("__so")), "left")
-    fence = F.coalesce("__lf", "__sf")
-    inside = F.col("chars_per_token").between(fence["low_chars"], fence["high_chars"]) & (F.col("token_entropy") >= fence["low_entropy"])
+    limits = written(fences(measured, reach, weight), "fences")
+    df = measured
+    for name, mark in ((F.concat(F.lit("lang:"), "lang"), "l"), (F.concat(F.lit("script:"), "script"), "s"), (F.lit("all"), "a")):
+        of = small(limits.select(F.col("name").alias(f"__{mark}"), F.col("octave").alias(f"__{mark}o"), F.struct(*LIMITS).alias(f"__{mark}f")), 100_000)
+        df = df.join(of, (name == F.col(f"__{mark}")) & (F.col("octave") == F.col(f"__{mark}o")), "left")
+    df = df.withColumn("__fence", _shrunk(F.col("__lf"), _shrunk(F.col("__sf"), F.col("__af"), weight), weight))
+    # a document that its band keeps is one of all that the fences come from, so that it has a fence
+    inside = F.col("chars_per_token").between(F.col("__fence.low_chars"), F.col("__fence.high_chars")) & (F.col("token_entropy") >= F.col("__fence.low_entropy"))
     return df.withColumn("kept", F.col("kept") & F.coalesce(inside, F.lit(True))).select(*[c.split()[0] for c in SCHEMA.split(", ")])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from prepweave.llm.common import written
+from prepweave.llm.common import drawn, written
 
 SPACE = 0x20
 #: Documents whose crc32 of the key, as text, leaves this remainder by FOLDS are held out from learning.
@@ -64,7 +64,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     known = docs.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     shares = known.groupBy("lang").agg((F.lit(float(rows_per_lang)) / F.count("*")).alias("share"))
     shares = written(shares, "shares")
-    picked = known.join(F.broadcast(shares) if shares.count() <= 10_000 else shares, "lang").filter(F.pmod(F.xxhash64(F.lit("sample"), "key"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    picked = known.join(F.broadcast(shares) if shares.count() <= 10_000 else shares, "lang").filter(drawn(F.col("share"), "key"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,6 +27,24 @@ from prepweave.llm.common import written
 SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACES}\p{{L}}\p{{N}}]+"
 END = "</w>"
+#: Code points that became letters or numbers after Unicode 16, which the library's pattern takes for neither
+#: and the pattern package, whose tables are newer, for one.
+LATER = """0x558-0x558 0x58b-0x58c 0x88f-0x88f 0xc5c-0xc5c 0xcdc-0xcdc 0x208f-0x208f 0x209d-0x209f 0xa7ce-0xa7cf 0xa7d2-0xa7d2
+0xa7d4-0xa7d4 0xa7dd-0xa7dd 0xa7e2-0xa7e2 0xa7f1-0xa7f1 0xab6c-0xab6d 0x107bb-0x107bf 0x10940-0x10959 0x10ec5-0x10ec7
+0x10ed9-0x10eee 0x11b0a-0x11b0a 0x11db0-0x11ddb 0x11de0-0x11de9 0x11df1-0x11df1 0x1246f-0x1246f 0x12475-0x1247f
+0x12550-0x12686 0x16ea0-0x16eb8 0x16ebb-0x16ed3 0x16ff2-0x16ff6 0x187f8-0x187ff 0x18cd6-0x18cda 0x18d09-0x18d20
+0x18d80-0x18df2 0x18e00-0x19191 0x191a0-0x191d2 0x1b123-0x1b128 0x1b168-0x1b168 0x1d6a6-0x1d6a6 0x1df1f-0x1df24
+0x1df2b-0x1df81 0x1df90-0x1df96 0x1dfcd-0x1dfff 0x1e6c0-0x1e6de 0x1e6e0-0x1e6e2 0x1e6e4-0x1e6e5 0x1e6e7-0x1e6ed
+0x1e6f0-0x1e6f4 0x1e6fe-0x1e6ff 0x2b73a-0x2b73f 0x2b81e-0x2b81e 0x2cea2-0x2cead 0x323b0-0x33479 0x3d000-0x3fc3f"""
+LATER = "".join(f"{chr(int(a, 16))}-{chr(int(b, 16))}" for a, b in (x.split("-") for x in LATER.split()))
+#: Capital letters of Unicode 16 and 17 and what they are in lower case, which this Python does not know.
+CAPITALS = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+CAPITALS |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: SPLIT for texts that hold such code points.
+SPLIT_LATER = rf"'s|'t|'re|'ve|'m|'ll|'d|(?:(?![{LATER}])\p{{L}})+|(?![{LATER}])\p{{N}}|(?:[^{SPACES}\p{{L}}\p{{N}}]|[{LATER}])+"
+#: The settings of a file that this coder understands.
+NORMALISERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+FILE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Entries of a worker's memos of recent pieces and words, twice at most.
 MEMO = 300_000
 #: Words up to so many symbols are merged by plain search, longer ones with a heap.
@@ -42,12 +60,24 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def refused(file: dict, path: str) -> None:
+    """Raises an error for a file whose normaliser, pattern or model is another than the one that is coded here."""
+    steps = (file.get("normalizer") or {}).get("normalizers")
+    splits = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    model = file["model"]
+    if steps != NORMALISERS or splits[0].get("pattern") != {"Regex": FILE_SPLIT} or not splits[0].get("invert") or [s.get("type") for s in splits] != ["Split", "ByteLevel"]:
+        raise ValueError(f"{path}: another normaliser or splitting pattern")
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != END or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        raise ValueError(f"{path}: another model than BPE with word ends")
+
+
 class Vocabulary:
     """A BPE vocabulary file with word ends; splits, merges and spells as the file says."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
+        refused(file, path)
         self.ids: dict[str, int] = file["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
         self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
@@ -55,7 +85,8 @@ class Vocabulary:
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
         self.chars = byte_characters()
         self.table = str.maketrans({i: c for i, c in self.chars.items()})
-        self.pattern = regex.compile(SPLIT)
+        self.pattern, self.pattern_later = regex.compile(SPLIT), regex.compile(SPLIT_LATER)
+        self.high, self.later = regex.compile("[\u0558-\U0010ffff]"), regex.compile(f"[{LATER}{''.join(map(chr, CAPITALS))}]")
         self.blank = regex.compile(f"[{SPACES}]+")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -66,7 +97,10 @@ class Vocabulary:
             return [low] if low.isalpha() else self.pattern.findall(low)
         text = self.blank.sub(" ", unicodedata.normalize("NFC", piece))
         # lower case is taken character by character, without the final form of sigma
-        return self.pattern.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        if self.high.search(text) and self.later.search(text):
+            return self.pattern_later.findall(text.translate(CAPITALS))
+        return self.pattern.findall(text)
 
     def merge(self, word: str) -> list[int]:
         """The ids of one word: of all adjacent pairs the one of least rank is joined, leftmost first, until none has one."""
@@ -151,7 +185,7 @@ def build(entries: list[tuple[bytes, list[int]]], path: str) -> None:
             skip += sizes[target]
         starts.append(len(labels))
     finals = bytes(int(f) for f, _ in done)
-    outputs, at = array("I", [0]), array("H")
+    outputs, at = array("I", [0]), array("I")
     for _, ids in entries:
         at.extend(ids)
         outputs.append(len(at))
@@ -180,7 +214,7 @@ class Lexicon:
             return found
 
         self.starts, self.targets, self.skips = part("I", states + 1, 4), part("I", moves, 4), part("I", moves, 4)
-        self.outputs, self.ids = part("I", words + 1, 4), part("H", ids, 2)
+        self.outputs, self.ids = part("I", words + 1, 4), part("I", ids, 4)
         self.finals = part("B", states, 1)
         self.labels, self.root = at, states - 1
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepweave.llm.common import cut_out, hits_and_gaps, small, span_text, spans, with_steps, without, written
+from prepweave.llm.common import cut_out, hits_and_gaps, row_name, small, span_text, spans, with_steps, without, written
 
 #: Fixed patterns; a match that fails its test is dropped and not retried. Possessive repeats match as greedy ones do
 #: here. The look-behind (or the end of the last match, \G) skips starts inside a run that has already failed.
@@ -84,9 +84,13 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None, text: str
         F.substring("__text", (F.greatest(F.col("x.start") - window, F.lit(0)) + 1).cast("int"), F.least(F.col("x.start"), F.lit(window)).cast("int")).alias("before"),
         F.substring("__text", (F.col("x.end") + 1).cast("int"), F.lit(window)).alias("after"),
         F.xxhash64("__text").alias("in_text"),
+        (F.col("x.start") > window).alias("cut_before"),
+        (F.col("x.end") + window < F.length("__text")).alias("cut_after"),
     )
-    # a word that the window's edge may have cut is no evidence
-    whole = F.concat_ws(" ", F.regexp_replace("before", r"^[\p{L}\p{N}]+", ""), F.regexp_replace("after", r"[\p{L}\p{N}]+$", ""))
+    # a word that the window's edge may have cut is no evidence; the text's own begin and end cut none
+    before = F.when(F.col("cut_before"), F.regexp_replace("before", r"^[\p{L}\p{N}]+", "")).otherwise(F.col("before"))
+    after = F.when(F.col("cut_after"), F.regexp_replace("after", r"[\p{L}\p{N}]+$", "")).otherwise(F.col("after"))
+    whole = F.concat_ws(" ", before, after)
     mentions = mentions.select("entity", "in_text", F.explode(F.array_distinct(_terms(whole))).alias("term"), F.xxhash64("before", "after").alias("context"))
     mentions = written(mentions, "mentions")
     entities = found.select(F.explode(F.array_distinct(F.transform("__base", _entity))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
@@ -116,17 +120,18 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -
     empty text has no spans; rows that repeat a key are searched each for itself; an empty table gives an empty result.
     Columns whose names begin with two underscores are the operator's own.
     """
-    spanned = written(base_spans(docs, text).withColumn("__null", F.col(text).isNull()).drop(text), "spanned")
-    spanned = spanned.withColumn(text, F.when(~F.col("__null"), F.col("__text"))).select(*docs.columns, "__text", "__base")
+    spanned = written(base_spans(docs, text).withColumn("__row", row_name(key, text)).withColumn("__null", F.col(text).isNull()).drop(text), "spanned")
+    spanned = spanned.withColumn(text, F.when(~F.col("__null"), F.col("__text"))).select(*docs.columns, "__text", "__base", "__row")
     marked = written(disclosing_terms(docs, spanned, text, **settings).groupBy("term").agg(F.max("removed").alias("removed")), "disclosing")
-    terms = docs.select(F.col(key).alias("__key"), F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    # rows are named by key and text, so that many rows with one key, or none, are not one group
+    terms = docs.select(row_name(key, text).alias("__named"), F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
     per_doc = (
         terms.join(small(marked, 100_000), "term")
-        .groupBy("__key")
+        .groupBy("__named")
         .agg(F.sort_array(F.collect_set("term")).alias("__words"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("__gone"))
     )
     per_doc = small(written(per_doc, "terms"), 20_000)
-    df = spanned.join(per_doc, F.col(key).eqNullSafe(F.col("__key")), "left")
+    df = spanned.join(per_doc, F.col("__row") == F.col("__named"), "left")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])(?:"), F.array_join("__words", "|"), F.lit(r")(?![\p{L}\p{N}])"))
     some = F.col("__words").isNotNull()
     df = df.withColumn("__hits_term", F.when(some, F.regexp_extract_all("__text", pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
@@ -134,7 +139,7 @@ def find(docs: DataFrame, text: str = "text", key: str = "doc_id", **settings) -
     df = with_steps(df, ["term"])
     df = df.withColumn("__terms", F.filter(spans("term"), lambda x: ~F.exists("__base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))))
     rename = lambda x: F.struct(F.when(F.array_contains("__gone", F.lower(x["hit"])), "term").otherwise("generalised").alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["hit"].alias("hit"))
-    return without(df, ["term"]).withColumn("__terms", F.transform("__terms", rename)).drop("__words", "__gone", "__key")
+    return without(df, ["term"]).withColumn("__terms", F.transform("__terms", rename)).drop("__words", "__gone", "__named", "__row")
 
 
 def sanitise(found: DataFrame, text: str = "text") -> DataFrame:

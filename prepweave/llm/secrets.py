@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepweave.llm.common import hits_and_gaps, span_text, spans, without
+from prepweave.llm.common import drawn, hits_and_gaps, span_text, spans, without
 
 #: Fixed patterns; a match that fails its test is dropped and not retried. Possessive repeats give the same
 #: matches as greedy ones here, since no repeated class can also match what follows it, and never backtrack.
@@ -58,7 +58,7 @@ def labelled_samples(docs: DataFrame, text: str = "text", rows: int = 2_000, ran
     """
     total = docs.count()
     share = min(1.0, rows / max(1, total))
-    picked = docs.filter(F.pmod(F.xxhash64(F.lit("secrets"), F.col(text)), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    picked = docs.filter(drawn(share, text))
     found = base_spans(picked.select(text).distinct(), text)
     secrets = found.select(F.explode("__base").alias("x")).select(
         F.when(F.col("x.kind") == "assign", F.regexp_extract("x.hit", ASSIGN_VALUE, 1)).otherwise(F.col("x.hit")).alias("value"), F.lit(True).alias("secret")
@@ -66,10 +66,10 @@ def labelled_samples(docs: DataFrame, text: str = "text", rows: int = 2_000, ran
     outside = F.regexp_replace(F.regexp_replace(F.regexp_replace("__text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     plain = found.select(F.explode(F.regexp_extract_all(outside, F.lit(IDENTIFIER), F.lit(0))).alias("value"), F.lit(False).alias("secret"))
     seed = F.sha2(F.concat(F.lit("random strings"), F.col("id").cast("string")), 256)
-    drawn = docs.sparkSession.range(random_strings).select(
+    made = docs.sparkSession.range(random_strings).select(
         F.when(F.col("id") % 4 == 0, seed).otherwise(F.base64(F.unhex(seed))).alias("value"), F.lit(True).alias("secret")
     )
-    return secrets.unionByName(plain).unionByName(drawn)
+    return secrets.unionByName(plain).unionByName(made)
 
 
 def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:

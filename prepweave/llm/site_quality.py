@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from prepweave.llm.common import small, written
+from prepweave.llm.common import drawn, small, written
 from prepweave.llm.language import held_out
 
 #: Symbols whose share of a text is a feature of its own each.
@@ -115,7 +115,7 @@ def learn(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...] = ("quali
     marked = labels.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(*[F.max((F.col(c) > 0).cast("int")).alias(f"__y_{c}") for c in targets])
     marked = written(marked.filter(~held_out("__k")), "labels")
     share = rows / max(rows, marked.count())
-    picked = written(marked.filter(F.pmod(F.xxhash64(F.lit("sample"), "__k"), F.lit(1_000_000)) < F.lit(share * 1_000_000)), "picked")
+    picked = written(marked.filter(drawn(share, "__k")), "picked")
     ys = [f"__y_{c}" for c in targets]
     used = docs.select(F.col(key).alias("__k"), F.coalesce(F.col(text), F.lit("")).alias("__t")).join(small(picked, 2 * rows), "__k")
     sample = written(used.select("__t", *ys), "sample")

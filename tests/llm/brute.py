@@ -163,7 +163,7 @@ def disclosing(texts: list[str | None], window: int, support: int, generalise: f
             hit = text[a:b]
             entity = f"{kind}:" + (re.sub("[^0-9]", "", hit) if kind in ("card", "phone") else hit.lower())
             before, after = text[max(0, a - window) : a], text[b : b + window]
-            near = regex.sub("^" + word, "", before) + " " + regex.sub(word + "$", "", after)
+            near = (regex.sub("^" + word, "", before) if a > window else before) + " " + (regex.sub(word + "$", "", after) if b + window < len(text) else after)
             beside.setdefault(entity, set())
             for t in set(terms(near)):
                 beside[entity].add(t)
