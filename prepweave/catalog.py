@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepweave import catalog_ordered, catalog_sources, catalog_streams, catalog_summaries  # noqa: F401  these register their queries
+from prepweave import catalog_ordered, catalog_quality, catalog_sources, catalog_streams, catalog_summaries  # noqa: F401  these register their queries
 from prepweave.errors import PlanError
 from prepweave.functions import expressions as ex
 from prepweave.functions.expressions import fld, fn, lit
@@ -51,7 +51,7 @@ SELECT c_mktsegment, revenue, orders, customers, middle, orders / CAST(sum(order
 )
 def customer_segment_report(spark, sf_dir):
     orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    joined = join_tables(orders, customer, JoinConfig("inner", ["o_custkey"], ["c_custkey"])).table
+    joined = join_tables(orders, customer, JoinConfig("inner", ["o_custkey"], ["c_custkey"], unique_side="right")).table
     config = AggregateConfig(
         ["c_mktsegment"],
         [Measure("price", "sum", "revenue"), Measure("o_orderkey", "count", "orders"), Measure("o_custkey", "unique_count", "customers"), Measure("price", "median", "middle")],
@@ -361,7 +361,7 @@ RULES = {
     "allowed_values": (validation.Rule("r", "allowed_values", "segment", "SEGMENT", config={"values": ["BUILDING", "MACHINERY"]}), "c_mktsegment NOT IN ('BUILDING', 'MACHINERY')", "c_mktsegment"),
     "min_max": (validation.Rule("r", "min_max", "number", "RANGE", config={"min": 100, "max": 500}), "c_custkey % 7 = 0 OR c_custkey NOT BETWEEN 100 AND 500", "CASE WHEN c_custkey % 7 = 0 THEN 'bad' ELSE CAST(c_custkey AS VARCHAR) END"),
     "text_length": (validation.Rule("r", "text_length", "segment", "LENGTH", config={"min": 9, "max": 9}), "length(c_mktsegment) <> 9", "c_mktsegment"),
-    "regex": (validation.Rule("r", "regex", "segment", "PATTERN", config={"pattern": "[A-M].*"}), "NOT regexp_full_match(c_mktsegment, '[A-M].*')", "c_mktsegment"),
+    "regex": (validation.Rule("r", "regex", "segment", "PATTERN", config={"pattern": "[A-F].*|H.+D"}), "NOT regexp_full_match(c_mktsegment, '[A-F].*|H.+D')", "c_mktsegment"),
 }
 
 
@@ -454,15 +454,29 @@ def classified_rows(spark, sf_dir):
     return discovery.classify(o, ("Status", "Key")).select("__row_id", F.col("__row_class").alias("kind"))
 
 
-@register("SELECT * FROM (VALUES ('a', 'key', 'mapped'), ('a', 'price', 'mapped'), ('a', 'note', 'defaulted'), ('b', 'key', 'mapped'), ('b', 'price', 'missing_optional'), ('b', 'note', 'defaulted')) t(source_id, field_id, status)")
+@register(
+    """WITH f AS (SELECT o_orderkey, o_totalprice FROM orders), a AS (SELECT 'orders' AS source_id, count(*) AS n, count(o_orderkey) AS keys, count(o_totalprice) AS prices FROM f),
+b AS (SELECT 'lines' AS source_id, count(*) AS n, count(l_orderkey) AS keys, 0 AS prices FROM lineitem),
+s AS (SELECT * FROM a UNION ALL SELECT * FROM b)
+SELECT source_id, 'key' AS field_id, 'mapped' AS status, n AS rows, keys AS filled FROM s
+UNION ALL SELECT source_id, 'price', CASE source_id WHEN 'orders' THEN 'mapped' ELSE 'missing_optional' END, n, prices FROM s
+UNION ALL SELECT source_id, 'note', 'defaulted', n, n FROM s"""
+)
 def alignment_cells(spark, sf_dir):
-    """What each source has for each canonical field."""
+    """What each source has for each canonical field, by the types its table has, and how many of its rows fill it."""
     fields = (mapping.Field("key", data_type="integer", required=True), mapping.Field("price", data_type="decimal"), mapping.Field("note"))
     maps = lambda key, price: mapping.MappingSet(fields, (mapping.Mapping("key", key), mapping.Mapping("price", price), mapping.Mapping("note", default_value="-")))
-    sources = (mapping.AlignedSource("a", maps("o_orderkey", "o_totalprice"), "t"), mapping.AlignedSource("b", maps("l_orderkey", "gone"), "t"))
-    kinds = {"a": {"o_orderkey": "integer", "o_totalprice": "decimal"}, "b": {"l_orderkey": "integer"}}
-    cells = mapping.alignment_matrix(kinds, mapping.AlignmentPlan(fields, sources))
-    return spark.createDataFrame([(c["source_id"], c["field_id"], c["status"]) for c in cells], "source_id string, field_id string, status string")
+    tables = {"orders": table(spark, sf_dir, "orders"), "lines": table(spark, sf_dir, "lineitem")}
+    sources = (mapping.AlignedSource("orders", maps("o_orderkey", "o_totalprice"), "t"), mapping.AlignedSource("lines", maps("l_orderkey", "gone"), "t"))
+    plan = mapping.AlignmentPlan(fields, sources)
+    cells = mapping.alignment_matrix({n: split.canonical_types(df) for n, df in tables.items()}, plan)
+    status = spark.createDataFrame([(c["source_id"], c["field_id"], c["status"]) for c in cells], "source_id string, field_id string, status string")
+    found = []
+    for s in sources:
+        df = mapping.align_table(tables[s.source_id].withColumn("__row_id", F.lit(0).cast("long")), s, s.source_id, plan)
+        filled = F.array(*[F.struct(F.lit(f.id).alias("field_id"), F.count(f.id).alias("filled")) for f in fields])
+        found.append(df.agg(F.count("*").alias("rows"), filled.alias("x")).select(F.lit(s.source_id).alias("source_id"), "rows", F.inline("x")))
+    return status.join(found[0].unionByName(found[1]), ["source_id", "field_id"])
 
 
 @register("SELECT * FROM (VALUES ('column_renamed', 'customer', false), ('data_type_changed', 'total', true), ('column_added', NULL, false)) t(category, field_id, blocking)")

@@ -28,6 +28,8 @@ class JoinConfig:
     approve_many_to_many: bool = False
     output_fields: list[str] = field(default_factory=list)
     suffix: str = "_right"
+    #: The side (left or right) whose keys are known to be unique, so that many rows can't meet many.
+    unique_side: str | None = None
 
     def __post_init__(self):
         if not self.left_keys or len(self.left_keys) != len(self.right_keys):
@@ -36,6 +38,8 @@ class JoinConfig:
             raise PlanError("JOIN_TYPE_UNSUPPORTED", self.join_type)
         if unknown := [n for n in self.key_normalisation if n not in NORMALISERS]:
             raise PlanError("JOIN_NORMALISATION_UNSUPPORTED", ", ".join(unknown))
+        if self.unique_side not in (None, "left", "right"):
+            raise PlanError("JOIN_UNIQUE_SIDE_UNSUPPORTED", self.unique_side)
         if self.null_key_policy not in ("never_match", "match_nulls", "reject"):
             raise PlanError("JOIN_NULL_POLICY_UNSUPPORTED", self.null_key_policy)
         if self.duplicate_key_policy not in ("block_many_to_many", "allow", "keep_first", "keep_last", "review"):
@@ -104,7 +108,8 @@ def join_tables(left: DataFrame, right: DataFrame, config: JoinConfig, order: tu
     """Joins two tables; also gives what found no partner on each side, and with policy review the repeated keys.
 
     All left columns come first, then the right ones, a name that the left has with the suffix. Keys are compared after
-    normalisation and do not show. Two jobs run before: the cardinality gate, and with policy reject the null check.
+    normalisation and do not show. Two jobs run before: the cardinality gate, unless a side is declared unique, and with policy
+    reject the null check.
     order gives the fields that order each side's rows for keep_first and keep_last.
     """
     keys = _key_names(len(config.left_keys))
@@ -112,7 +117,8 @@ def join_tables(left: DataFrame, right: DataFrame, config: JoinConfig, order: tu
     if config.null_key_policy == "reject" and not (l.filter(_any_null(keys)).isEmpty() and r.filter(_any_null(keys)).isEmpty()):
         raise PlanError("JOIN_NULL_KEYS_REJECTED")
     diagnostics = analyse(left, right, config)
-    if config.duplicate_key_policy == "block_many_to_many" and not config.approve_many_to_many and diagnostics.first()["blocked"]:
+    gated = config.duplicate_key_policy == "block_many_to_many" and not config.approve_many_to_many and not config.unique_side
+    if gated and diagnostics.first()["blocked"]:
         raise PlanError("JOIN_MANY_TO_MANY_APPROVAL_REQUIRED")
     review = None
     if config.duplicate_key_policy == "review" or config.approve_many_to_many:

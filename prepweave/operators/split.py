@@ -97,12 +97,18 @@ def split_table(df: DataFrame, config: SplitConfig, order: list[str], today=None
     return out.select(*df.columns, "__split_key", "__split_group", "__chunk")
 
 
+def clean_name(text: str, limit: int = 180) -> str:
+    """A text as part of a file name: unsafe characters and double dots become underscores, reserved names get one before."""
+    name = re.sub(r'[<>:"/\\|?*\x00-\x1f]+', "_", text).replace("..", "_").strip(" ._") or "output"
+    name = f"_{name}" if name.lower() in RESERVED else name
+    return name[:limit].rstrip(" ._") or "output"
+
+
 def safe_name(template: str, values: dict[str, str], taken: set[str], limit: int = 180) -> str:
-    """A file name without an ending: unknown variables are empty, unsafe characters become underscores, a name that is
-    taken gets a number."""
-    filled = re.sub(r"\{(\w+)\}", lambda m: str(values.get(m[1], "")), template)
-    name = re.sub(r'[<>:"/\\|?*\x00-\x1f]+', "_", filled).strip(" ._") or "output"
-    name = (f"{name}_" if name.lower() in RESERVED else name)[:limit]
+    """A file name without an ending: values are cleaned before they are put in and the whole after, unknown variables are
+    empty, a name that is taken gets a number."""
+    filled = re.sub(r"\{(\w+)\}", lambda m: clean_name(str(values[m[1]])) if values.get(m[1]) else "", template)
+    name = clean_name(filled, limit)
     out, n = name, 2
     while out.lower() in taken:
         out, n = f"{name[: limit - len(str(n)) - 1]}_{n}", n + 1

@@ -65,7 +65,7 @@ def write_split(split: DataFrame, config: SplitConfig, output: str, run_date: st
     entries = []
     for r in rows:
         value = r["__split_key"] + (f"_part_{r['__chunk']}" if chunks[r["__split_group"]] > 1 else "")
-        name = safe_name(config.naming_template, {"project": config.project_label, "report_type": config.report_type, "split_value": value, "run_date": run_date, "month": run_date[:7], "department": r["__split_key"]}, taken)
+        name = safe_name(config.naming_template, {"project": config.project_label, "report_type": config.report_type, "split_value": value, "run_date": run_date, "month": value, "department": value}, taken)
         entries.append({"group": r["__split_group"], "chunk": r["__chunk"], "name": name, "rows": r["rows"]})
     if not entries:
         return []
@@ -78,8 +78,11 @@ def write_split(split: DataFrame, config: SplitConfig, output: str, run_date: st
     guarded(named.select(*data, "__output")).repartition("__output").write.option("header", True).partitionBy("__output").csv(output)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").option("recursiveFileLookup", "true").load(output)
     hashed = files.select(F.element_at(F.split("path", "/"), -2).alias("folder"), "path", F.sha2("content", 256).alias("sha256"), "length").orderBy("path").collect()  # a row a file
+    folders: dict[str, list] = {}
+    for h in hashed:
+        folders.setdefault(unquote(h["folder"]), []).append(h)
     for e in entries:
-        own = [h for h in hashed if unquote(h["folder"]) in (f"__output={e['name']}", f"__output={quote(e['name'])}")]
+        own = folders.get(f"__output={e['name']}") or folders.get(f"__output={quote(e['name'])}") or []
         together = hashlib.sha256("".join(h["sha256"] for h in own).encode()).hexdigest()
         e |= {"sha256": own[0]["sha256"] if len(own) == 1 else together, "bytes": sum(h["length"] for h in own)}
     return entries

@@ -15,6 +15,7 @@ from prepweave.functions.expressions import REASONS, Calculation, apply_calculat
 from prepweave.operators import validation
 from prepweave.operators.cleaning import GROUPS, KEEPS, ROW_ID, Operation, apply_operation, observed
 from prepweave.operators.mapping import MappingSet, apply_mapping
+from prepweave.tables import drop, written
 
 SCHEMA_VERSIONS = ("1.0", "1.1", "1.2")
 #: Parts of names whose text values would be secrets.
@@ -66,7 +67,7 @@ def assert_no_secrets(plan, path: str = "plan") -> None:
 
 @dataclass
 class WorkflowResult:
-    """Lazy tables; all read one annotated table, which `release` drops from the cache."""
+    """Tables that all read one annotated table, which is written once below spark.checkpoint.dir and stays until release()."""
 
     accepted: DataFrame
     rejected: DataFrame
@@ -79,7 +80,7 @@ class WorkflowResult:
     again: Callable[[], WorkflowResult] | None = None
 
     def release(self) -> None:
-        self.annotated.unpersist()
+        drop(self.annotated)
 
 
 @dataclass
@@ -117,7 +118,7 @@ def compile_workflow(table: DataFrame, plan: WorkflowPlan, today: dt.date, limit
         out = apply_calculation(out, c, types, today)
         types[c.output_canonical_field] = c.output_type
     annotated, left = observed(validation.annotate(out, list(plan.rules)))
-    annotated = annotated.persist()
+    annotated = written(annotated, "annotated")
     seen.append(("the end", left))
     reasons = REASONS if REASONS in annotated.columns else None
     accepted, rejected = validation.split(annotated, reasons)
@@ -134,11 +135,12 @@ def reconcile(result: WorkflowResult) -> dict[str, int]:
     bad = validation.rejecting() | (F.size(reasons) > 0 if reasons else F.lit(False))
     facts = result.annotated.agg(F.count("*").alias("left"), F.count_if(bad).alias("rejected"), F.coalesce(F.sum(F.size(F.filter(validation.FINDINGS, lambda f: f["severity"] == "blocking"))), F.lit(0)).alias("blocking"), F.coalesce(F.sum(F.size(validation.FINDINGS)), F.lit(0)).alias("findings")).first()
     if result.again and result.seen and result.seen[-1][1].get["rows"] != facts["left"]:
+        # counts that a repeated task has added to twice: the plan runs anew, and the result is that run's from now on
         fresh = result.again()
         fresh.again = None
-        counts = reconcile(fresh)
-        fresh.release()
-        return counts
+        result.release()
+        result.__dict__.update(fresh.__dict__)
+        return reconcile(result)
     read = expected = result.rows_in.count()
     filtered = grouped = 0
     for name, seen in result.seen:
@@ -154,6 +156,11 @@ def reconcile(result: WorkflowResult) -> dict[str, int]:
     return counts
 
 
+def _rows_of(spark: SparkSession, path: str) -> int:
+    """The records of written delimited files, line breaks within cells aside."""
+    return spark.read.option("header", True).option("multiLine", True).option("escape", "\\").csv(path).count()
+
+
 def run_workflow(spark: SparkSession, table: DataFrame, plan: WorkflowPlan, output: str, today: dt.date, source: tuple[str, str] | None = None, workbook: bool = False) -> RunRecord:
     """Runs a plan and writes accepted, rejected and findings below output, with a manifest; a failure writes one too.
 
@@ -172,6 +179,9 @@ def run_workflow(spark: SparkSession, table: DataFrame, plan: WorkflowPlan, outp
         if source:
             assert_unchanged(spark, *source)
         write_evidence({"accepted": result.accepted, "rejected": result.rejected, "findings": result.findings}, output)
+        left = {k: _rows_of(spark, f"{output}/{k}") for k in ("accepted", "rejected", "findings")}  # what is there now, not what a plan gives again
+        if any(left[k] != run.counts[k] for k in left):
+            raise PlanError("ROW_RECONCILIATION_FAILED", f"written {left}, counted {run.counts}")
         if workbook:
             workflow_workbook(spark, result, plan, run, source, f"{output}/{plan.project_id}-{run.run_id}.xlsx")
         result.release()

@@ -87,6 +87,62 @@ def classify_batch(scanned: DataFrame, previous: DataFrame | None = None, failed
     return df.withColumn("state", state).select("relative_path", "path", "bytes", "sha256", "state", "reason")
 
 
+CATALOG = "relative_path string, state string, table_id string, rows long, columns array<struct<column:string,data_type:string>>, warnings array<string>, reason string"
+
+
+def build_catalog(spark: SparkSession, scanned: DataFrame, previous: DataFrame | None = None, table_strategy: str = "first_visible", overrides=None, at_once: int = 8) -> DataFrame:
+    """Each file of a scan with its state and, if it takes part, the table that discovery chooses in it: id, estimated data
+    rows, columns with types, warnings.
+
+    A file whose content an earlier one has is a duplicate, one that the last batch had is unchanged; neither is read. A file
+    in which no table is found, or that can't be read, is quarantined with the reason, and the others go on. at_once files
+    are looked at in parallel, each by Spark jobs of its own; a file takes a row on the driver.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    from prepweave.sources import discovery
+    from prepweave.sources.grid import read_source
+
+    settings = overrides or discovery.Overrides()
+    files = classify_batch(scanned, previous).orderBy(F.lower("relative_path"), "relative_path").collect()  # bounded by the scan
+
+    def look(f) -> tuple:
+        if f["state"] != "eligible":
+            return f["relative_path"], f["state"], None, None, [], [], f["reason"]
+        try:
+            grid = read_source(spark, f["path"])
+            found = discovery.assemble(grid, discovery.choose(discovery.discover(grid, settings), table_strategy), settings)
+        except PlanError as e:
+            return f["relative_path"], "quarantined", None, None, [], [], e.code
+        except Exception as e:  # noqa: BLE001  a file that can't be read must not end the batch
+            return f["relative_path"], "quarantined", None, None, [], [], f"SOURCE_DISCOVERY_FAILED: {type(e).__name__}"
+        return f["relative_path"], "eligible", found.table.region.table_id, found.rows, [(c["column"], c["data_type"]) for c in found.columns], found.warnings, None
+
+    with ThreadPoolExecutor(at_once) as pool:
+        return spark.createDataFrame(list(pool.map(look, files)), CATALOG)
+
+
+def import_source(spark: SparkSession, path: str, root: str) -> tuple[str, str]:
+    """Copies a file into a folder of its own below the managed root, under a safe name, and leaves the given one as it is;
+    returns the copy's path and fingerprint. Other types than delimited files and workbooks are an error."""
+    import re
+    import uuid
+
+    name = path.rstrip("/").rpartition("/")[2]
+    stem, _, ending = name.rpartition(".")
+    if ending.lower() not in ("csv", "tsv", "txt", "xlsx", "xlsm"):
+        raise PlanError("SOURCE_UNSUPPORTED_TYPE", ending)
+    safe = re.sub(r"[^A-Za-z0-9._-]+", "_", stem).strip("._")[:100] or "source"
+    copy = f"{root.rstrip('/')}/{uuid.uuid4().hex}/{safe}.{ending.lower()}"
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    source, target = hadoop.Path(path), hadoop.Path(copy)
+    store = source.getFileSystem(conf)
+    if not store.exists(source):
+        raise PlanError("SOURCE_NOT_FOUND", path)
+    hadoop.FileUtil.copy(store, source, target.getFileSystem(conf), target, False, conf)
+    return copy, fingerprint(spark, copy)
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """The SHA-256 of one file; of a folder that of its files' hashes in order."""
     rows = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("h")).orderBy("path").collect()

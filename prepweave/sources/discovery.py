@@ -257,13 +257,24 @@ def classify(table: DataFrame, labels: tuple[str, ...], leaf: tuple[str, ...] |
 NULL_LIKE = ["", "null", "none", "n/a", "na", "-"]
 
 
-def profile(table: DataFrame) -> DataFrame:
-    """A row per column: inferred type, share of nulls, different values, repeated values, least and greatest length.
+#: Different values of a column that its profile shows.
+SAMPLES = 5
 
-    Everything but the different values is one aggregation over all rows; those are counted from (column, value) pairs,
-    which combine before the shuffle.
+
+def profile(table: DataFrame, sample_rows: int = 10_000) -> DataFrame:
+    """A row per column: inferred type, share of nulls, different values, repeated values, key and identifier flags, and the
+    first different values of the first sample_rows rows (none without __row_id).
+
+    Everything but the samples covers all rows, counted from (column, value) pairs, which combine before the shuffle. A
+    column is an identifier by its label, or if a value of more than one character begins with 0.
     """
     names = [c for c in table.columns if not c.startswith("__")]
+    samples = None
+    if "__row_id" in table.columns:
+        first = table.filter(F.col("__row_id") <= sample_rows)
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("position"), text.trim(F.col(f"`{c}`").cast("string")).alias("value")) for i, c in enumerate(names)])).alias("x")
+        values = first.select("__row_id", cells).select("__row_id", "x.*").filter(~F.lower("value").isin(NULL_LIKE)).groupBy("position", "value").agg(F.min("__row_id").alias("at"))
+        samples = values.groupBy("position").agg(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("at", "value"))), 1, SAMPLES), lambda x: x["value"]).alias("samples"))  # sample_rows values at most
     long = table.select(F.explode(F.array(*[F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for i, c in enumerate(names)])).alias("x")).select("x.*")
     v = text.trim(F.coalesce("value", F.lit("")))
     none = F.lower(v).isin(NULL_LIKE)
@@ -273,6 +284,7 @@ def profile(table: DataFrame) -> DataFrame:
         "none": none,
         "whole": ~none & is_(r"^[+-]?\d+$"),
         "zeros": ~none & is_(r"^[+-]?0\d+$"),
+        "coded": ~none & is_(r"^0."),
         "number": ~none & is_(r"^[+-]?(\d+(\.\d+)?|\d{1,3}(,\d{3})+(\.\d+)?)$"),
         "day": ~none & is_(r"^\d{4}-\d{1,2}-\d{1,2}$"),
         "slashed": ~none & is_(r"^\d{1,2}[/-]\d{1,2}[/-]\d{2,4}$"),
@@ -280,13 +292,16 @@ def profile(table: DataFrame) -> DataFrame:
         "flag": ~none & F.lower(v).isin("true", "false", "yes", "no"),
     })
     n = lambda c: F.coalesce(F.sum(F.when(F.col(c), F.col("n"))), F.lit(0))
-    out = facts.groupBy("position", "column").agg(F.sum("n").alias("rows"), n("none").alias("nulls"), F.count_if(~F.col("none")).alias("unique_count"), F.sum(F.when(~F.col("none"), F.col("n") - 1)).alias("repeats"), *[n(c).alias(c) for c in ("whole", "zeros", "number", "day", "slashed", "flag", "percent")])
+    out = facts.groupBy("position", "column").agg(F.sum("n").alias("rows"), n("none").alias("nulls"), F.count_if(~F.col("none")).alias("unique_count"), F.sum(F.when(~F.col("none"), F.col("n") - 1)).alias("repeats"), *[n(c).alias(c) for c in ("whole", "zeros", "coded", "number", "day", "slashed", "flag", "percent")])
+    if samples is not None:
+        out = out.join(samples, "position", "left")
+    labelled = reduce(lambda a, b: a | b, [F.lower("column").contains(p) for p in ROLES["identifier"]])
     full = F.col("rows") - F.col("nulls")
     kind = F.when(full == 0, "text").when(F.col("whole") == full, F.when(F.col("zeros") > 0, "text").otherwise("integer")).when(F.col("number") == full, "decimal").when(F.col("day") == full, "date").when(F.col("flag") == full, "boolean").otherwise("text")
     mixed = (kind == "text") & (F.col("number") > 0) & (F.col("number") < full)
     kept = (F.col("zeros") > 0) & (F.col("whole") == full)
     warnings = F.array_compact(F.array(F.when(F.col("slashed") > 0, "AMBIGUOUS_DATES"), F.when(kept, "LEADING_ZEROS"), F.when(mixed, "MIXED_TYPES")))
-    return out.select("position", "column", kind.alias("data_type"), "rows", (F.col("nulls") / F.col("rows") * 100).alias("null_percentage"), "unique_count", F.coalesce("repeats", F.lit(0)).alias("duplicate_count"), ((F.col("unique_count") == full) & (full > 0)).alias("key_candidate"), warnings.alias("warnings"), (F.col("percent") > 0).alias("percentages"))
+    return out.select("position", "column", kind.alias("data_type"), "rows", (F.col("nulls") / F.col("rows") * 100).alias("null_percentage"), "unique_count", F.coalesce("repeats", F.lit(0)).alias("duplicate_count"), ((F.col("unique_count") == full) & (full > 0)).alias("key_candidate"), (labelled | (F.col("coded") > 0)).alias("identifier_candidate"), warnings.alias("warnings"), (F.col("percent") > 0).alias("percentages"), F.coalesce(F.col("samples") if samples is not None else F.lit(None), F.array().cast("array<string>")).alias("samples"))
 
 
 #: Parts of labels that tell a column's role.
@@ -300,6 +315,40 @@ def roles(label: str, data_type: str, percentages: bool = False) -> list[str]:
     return [role for role, parts in ROLES.items() if more.get(role) or any(p in low for p in parts)]
 
 
+@dataclass
+class Assembled:
+    """A found table with what its rows tell."""
+
+    table: Table
+    rows: int
+    repeated_headers: int
+    footers: int
+    preview: list[dict[str, str]]
+    columns: list[dict]
+    warnings: list[str]
+
+
+def assemble(grid: DataFrame, table: Table, overrides: Overrides = Overrides()) -> Assembled:  # noqa: B008
+    """The number of data rows, of headers that come again and of other rows, the first data rows, and the columns' profiles
+    with roles, of the data rows alone. Rows are counted in one pass and profiled in another; the driver gets preview_rows
+    rows and a row a column."""
+    labels = table.header.labels if table.header else tuple(f"unnamed_{i + 1}" for i in range(table.region.last_column - table.region.first_column + 1))
+    rows = classify(read_table(grid, table), labels)
+    kinds = {r["__row_class"]: r["n"] for r in rows.groupBy("__row_class").agg(F.count("*").alias("n")).collect()}
+    data = rows.filter("__row_class = 'data'").drop("__row_class", "__row_confidence")
+    first = data.orderBy("__row_id").limit(overrides.preview_rows).drop("__row_id").collect()
+    repeated, footers = kinds.get("repeated_header", 0), sum(n for k, n in kinds.items() if k not in ("data", "repeated_header"))
+    warnings = list(table.warnings)
+    if repeated:
+        warnings.append(f"Detected {repeated} repeated header row(s); no row was deleted")
+    if footers:
+        warnings.append(f"Classified {footers} footer/total/note row(s); no row was deleted")
+    columns = []
+    for c in profile(data, overrides.profile_sample_rows).orderBy("position").collect():
+        columns.append(c.asDict() | {"roles": roles(c["column"], c["data_type"], c["percentages"])})
+    return Assembled(table, kinds.get("data", 0), repeated, footers, [r.asDict() for r in first], columns, warnings)
+
+
 def memory_risk(file_bytes: int, rows: int, columns: int, available: int) -> str:
     """low, warning or block, by an estimate of a single machine's memory; advice only, as Spark spills."""
     share = max(3 * file_bytes, 24 * rows * columns) / max(1, available)

@@ -23,6 +23,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, when nothing reads them any more."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def in_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     """The rows sorted by range over all tasks and written once, with the number of their range (__part) and a number that
     grows with the order (__at), as two plans would not cut the same ranges."""

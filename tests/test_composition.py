@@ -95,7 +95,7 @@ def test_split(spark):
     out = split_table(df, SplitConfig(["d", "k"], "quarter", 2), ["i"]).orderBy("i").collect()
     assert [(r["__split_key"], r["__chunk"]) for r in out] == [("2026-Q1__A", 1), ("2026-Q1__A", 1), ("2026-Q1__A", 2), ("x__null", 1)]
     taken = set()
-    assert [safe_name("{split_value}", {"split_value": v}, taken) for v in ("Finance/North", "Finance\\North", "../x*?", "con", "{y}")] == ["Finance_North", "Finance_North_2", "x", "con_", "{y}"]
+    assert [safe_name("{split_value}", {"split_value": v}, taken) for v in ("Finance/North", "Finance\\North", "../x*?", "con", "{y}")] == ["Finance_North", "Finance_North_2", "x", "_con", "{y}"]
 
 
 def many_ranges(spark, rows: int):

@@ -30,7 +30,7 @@ def _rows(rows):
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in [*TABLES.split(), "documents"]:
+    for t in [*TABLES.split(), "documents", "conversations"]:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{os.path.join(SF, t)}.parquet')")
     return con
 
