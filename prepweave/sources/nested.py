@@ -29,19 +29,22 @@ def merged_schema(values: DataFrame, column: str = "value") -> T.DataType:
     return T._parse_datatype_string(text.replace("OBJECT<", "STRUCT<"))
 
 
-def _cells(value: Column, kind: T.StructType, before: str, path: str) -> tuple[list[tuple[str, Column]], list[tuple[str, str, T.DataType]]]:
+def _cells(value: Column, kind: T.StructType, before: str, path: str) -> tuple[list[tuple[str, Column]], list[tuple[str, Column, T.DataType]]]:
     """The scalar cells below an object, objects in it flattened to dotted names, and the lists in it."""
     cells, lists = [], []
     for f in kind.fields:
-        name, at = f"{before}{f.name}", f"{path}['{f.name.replace(chr(39), chr(92) + chr(39))}']"
+        name, mark = f"{before}{f.name}", "'" if "'" not in f.name else '"'
+        here, at = value, f"{path}[{mark}{f.name}{mark}]"
+        if mark in f.name:  # no path can name it
+            here, at = F.try_element_at(F.try_variant_get(value, path, "map<string,variant>"), F.lit(f.name)), "$"
         if isinstance(f.dataType, T.StructType):
-            inner, more = _cells(value, f.dataType, f"{name}.", at)
+            inner, more = _cells(here, f.dataType, f"{name}.", at)
             cells += inner
             lists += more
         elif isinstance(f.dataType, T.ArrayType):
-            lists.append((name, at, f.dataType.elementType))
+            lists.append((name, F.try_variant_get(here, at, "array<variant>"), f.dataType.elementType))
         else:
-            cells.append((name, F.try_variant_get(value, at, _kind(f.dataType))))
+            cells.append((name, F.try_variant_get(here, at, _kind(f.dataType))))
     return cells, lists
 
 
@@ -73,19 +76,19 @@ def _add(out: Nested, path: str, values: DataFrame, kind: T.DataType) -> None:
     if not isinstance(kind, T.StructType):
         if isinstance(kind, T.ArrayType):
             out.tables[path] = values.select(*ids)
-            _below(out, path, values, "", "$", kind.elementType)
+            _below(out, path, values, "", F.try_variant_get(v, "$", "array<variant>"), kind.elementType)
         else:
             out.tables[path] = values.select(*ids, F.try_variant_get(v, "$", _kind(kind)).alias("value"))
         return
     cells, lists = _cells(v, kind, "", "$")
     out.tables[path] = values.select(*ids, *[c.alias(n) for n, c in cells])
-    for name, at, element in lists:
-        _below(out, path, values, name, at, element)
+    for name, elements, element in lists:
+        _below(out, path, values, name, elements, element)
 
 
-def _below(out: Nested, path: str, values: DataFrame, name: str, at: str, element: T.DataType) -> None:
+def _below(out: Nested, path: str, values: DataFrame, name: str, elements: Column, element: T.DataType) -> None:
     """The table of a list: its elements, numbered by parent and place."""
-    listed = values.select(F.col(ROW).alias(PARENT), F.posexplode(F.try_variant_get("value", at, "array<variant>")).alias(PLACE, "value"))
+    listed = values.select(F.col(ROW).alias(PARENT), F.posexplode(elements).alias(PLACE, "value"))
     below = f"{path}.{name}" if path and name else path + name or "items"
     rows = written(with_row_ids(listed, [PARENT, PLACE]).select(ROW, PARENT, PLACE, "value"), "elements")
     _add(out, below, rows, element)
