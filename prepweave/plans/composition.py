@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -94,7 +94,7 @@ def run_composition(spark: SparkSession, tables: dict[str, DataFrame], plan: Com
     and the fingerprint of the file behind each table; one that has changed since ends the run before and after it is read.
     """
     from prepweave.sources.catalog import assert_unchanged
-    from prepweave.plans.evidence import write_evidence, write_manifest, write_split
+    from prepweave.plans.evidence import output_manifest, write_documents, write_evidence, write_manifest, write_split
 
     run = BatchRecord(f"batch-{uuid.uuid4().hex[:12]}", plan.project_id, "running")
     try:
@@ -118,6 +118,17 @@ def run_composition(spark: SparkSession, tables: dict[str, DataFrame], plan: Com
             split = split_table(written, plan.split, order or [c for c in written.columns])
             run.outputs = write_split(split, plan.split, f"{output}/split", run_date)
         run.status = "partial" if run.excluded_sources else "succeeded"
+        # what went in and how, beside the tables, and every file with its hash; sources themselves are never part of it
+        documents = {
+            "applied-plan": asdict(plan),
+            "schema-alignment": cells,
+            "source-manifest": [{"source_id": s, "columns": dict(t.dtypes), "path": (sources or {}).get(s, (None, None))[0], "fingerprint": (sources or {}).get(s, (None, None))[1]} for s, t in tables.items()],
+            "rejected-files": run.excluded_sources,
+            "batch-summary": {"run_id": run.run_id, "operation": plan.operation, "sources": len(tables), "sources_used": len(ready), "counts": run.counts, "outputs": len(run.outputs)},
+            "audit-log": {"run_id": run.run_id, "project_id": run.project_id, "operation": plan.operation, "run_date": run_date},
+        }
+        write_documents(spark, documents, output)
+        output_manifest(spark, output, run.counts)
     except PlanError as e:
         run.status, run.error_code = "failed", e.code
         write_manifest(spark, run, output)

@@ -6,6 +6,7 @@ import csv
 import hashlib
 import io
 import json
+import re
 import zipfile
 from dataclasses import asdict
 from typing import Any
@@ -45,6 +46,23 @@ def write_manifest(spark: SparkSession, record: Any, output: str) -> None:
     write_text(spark, f"{output}/manifest", json.dumps(asdict(record), sort_keys=True, default=str))
 
 
+def write_documents(spark: SparkSession, documents: dict[str, Any], output: str) -> None:
+    """Small JSON files of exact names, keys sorted."""
+    for name, content in documents.items():
+        write_bytes(spark, f"{output}/{name}.json", json.dumps(content, indent=2, sort_keys=True, default=str).encode())
+
+
+def output_manifest(spark: SparkSession, output: str, rows: dict[str, int]) -> list[dict]:
+    """An entry for each file below output: path, bytes, SHA-256, and the rows of the table that it belongs to. Files are read
+    and hashed by Spark; the manifest itself is written afterwards as output-manifest.json."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(output)
+    inside = F.element_at(F.split("path", re.escape(f"/{output.rstrip('/').rpartition('/')[2]}/")), -1)
+    found = files.select(inside.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")).filter(~F.col("path").rlike(r"(^|/)[_.]")).orderBy("path").collect()  # a row a file
+    entries = [r.asDict() | {"rows": rows.get(r["path"].split("/")[0], 0)} for r in found]
+    write_documents(spark, {"output-manifest": entries}, output)
+    return entries
+
+
 def read_manifest(spark: SparkSession, output: str) -> dict:
     return json.loads(spark.read.text(f"{output}/manifest", wholetext=True).first()[0])
 

@@ -3,15 +3,36 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: The setting that names the folder of the run that is on, below spark.checkpoint.dir.
+RUN = "prepweave.run.folder"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """All tables that are written on the way within it lie in one folder, which goes at the end. Results must be written
+    elsewhere, or read, before."""
+    before, path = spark.conf.get(RUN, None), fresh_path(spark, name)
+    spark.conf.set(RUN, path)
+    try:
+        yield path
+    finally:
+        spark.conf.set(RUN, before) if before else spark.conf.unset(RUN)
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new place below spark.checkpoint.dir, which the driver and all executors reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/prepweave"
+    """A new place in the folder of the run that is on, or below spark.checkpoint.dir, which the driver and all executors
+    reach."""
+    base = spark.conf.get(RUN, None) or spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/prepweave"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -92,3 +92,46 @@ def test_lost_written_rows_fail_the_run(spark, tmp_path, monkeypatch):
     with pytest.raises(PlanError) as e:
         workflow.run_workflow(spark, table, plan, str(tmp_path / "bad"), dt.date(2026, 1, 1))
     assert e.value.code == "ROW_RECONCILIATION_FAILED"
+
+
+def test_run_folder_holds_what_is_written_on_the_way(spark, tmp_path):
+    from prepweave.operators.ordered import fill
+    from prepweave.tables import RUN, run_folder
+
+    df = spark.createDataFrame([(1, None), (2, "x"), (3, None)], "i int, v string")
+    with run_folder(spark) as outer:
+        fill(df, ["v"], ["i"]).write.parquet(str(tmp_path / "filled"))
+        with run_folder(spark) as inner:
+            assert inner.startswith(outer) and spark.conf.get(RUN) == inner
+        path = spark._jvm.org.apache.hadoop.fs.Path(outer)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        assert store.exists(path)
+    assert not store.exists(path) and spark.conf.get(RUN, None) is None
+    assert sorted((r["i"], r["v"]) for r in spark.read.parquet(str(tmp_path / "filled")).collect() if r["v"]) == [(2, "x"), (3, "x")]
+
+
+def test_composition_leaves_its_documents(spark, tmp_path):
+    import hashlib
+    import json
+    import os
+
+    from prepweave.operators.append import AppendConfig
+    from prepweave.operators.mapping import AlignedSource, AlignmentPlan
+    from prepweave.plans.composition import CompositionPlan, run_composition
+
+    fields = (Field("k", data_type="integer", required=True),)
+    maps = MappingSet(fields, (Mapping("k", "k"),))
+    tables = {s: spark.createDataFrame([(i, i) for i in range(5)], "__row_id long, k long") for s in "ab"}
+    plan = CompositionPlan("p", ["a", "b"], AlignmentPlan(fields, tuple(AlignedSource(s, maps, "t") for s in "ab")), "append", append=AppendConfig())
+    out = str(tmp_path / "out")
+    run = run_composition(spark, tables, plan, out, "2026-07-17")
+    names = {f[:-5] for f in os.listdir(out) if f.endswith(".json")}
+    assert names == {"applied-plan", "schema-alignment", "source-manifest", "rejected-files", "batch-summary", "audit-log", "output-manifest"}
+    read = lambda n: json.load(open(f"{out}/{n}.json"))
+    assert read("batch-summary")["counts"] == run.counts and read("applied-plan")["operation"] == "append" and len(read("schema-alignment")) == 2
+    entries = read("output-manifest")
+    assert {e["path"].split("/")[0] for e in entries} >= {"processed", "alignment", "applied-plan.json"}
+    for e in entries:
+        data = open(f"{out}/{e['path']}", "rb").read()
+        assert (len(data), hashlib.sha256(data).hexdigest()) == (e["bytes"], e["sha256"])
+    assert {e["rows"] for e in entries if e["path"].startswith("processed/")} == {10}
