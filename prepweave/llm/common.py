@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from prepweave.tables import fresh_path as shared_dir  # noqa: F401
+from prepweave.tables import written  # noqa: F401
+
 #: A word is a run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Lengths of the pieces in which a running sum is built.
 BLOCK = 256
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and all executors can reach."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "prepweave-checkpoints")  # local runs only: no cluster names a folder
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def dropped(*tables: DataFrame | None) -> None:
     """Deletes written tables that nothing reads any more, so that a long job does not fill the shared folder."""
     for df in tables:

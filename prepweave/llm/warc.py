@@ -6,6 +6,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -117,35 +118,62 @@ def write_archives(rows: DataFrame, path: str, records_per_file: int = 16_384) -
     rows.write.option("lineSep", CRLF * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _inflated(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
+    """An archive's bytes in pieces of at most `most`; it may be gzipped as a whole or record by record. What follows the
+    last member is left out."""
+    if data[:2] != b"\x1f\x8b":
+        for i in range(0, len(data), most):
+            yield data[i : i + most]
+        return
+    member, at = zlib.decompressobj(31), 0
+    while at < len(data):
+        feed, at = data[at : at + most], at + most
+        while feed:
+            if out := member.decompress(feed, most):
+                yield out
+            feed = member.unconsumed_tail
+            if member.eof:
+                feed, member = member.unused_data, zlib.decompressobj(31)
+                if feed and feed[0] != 0x1F:
+                    return
+
+
 def _parse(data: bytes) -> Iterator[tuple]:
-    """The records of an archive, which may be gzipped as a whole or record by record."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data[:2] == b"\x1f\x8b":
-            member = zlib.decompressobj(31)
-            parts.append(member.decompress(data) + member.flush())
-            data = member.unused_data
-        data = b"".join(parts)
-    at = 0
-    while (at := data.find(VERSION.encode(), at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
-            raise ValueError("a record's header does not end")
+    """The records of an archive, one after another; besides its compressed bytes a record and a piece are held."""
+    pieces, held = _inflated(data), bytearray()
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (at := held.find(VERSION.encode())) < 0:
+            del held[: max(0, len(held) - len(VERSION))]
+            if not more():
+                return
+        del held[:at]
+        looked = 0
+        while (end := held.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(held) - 3)
+            if not more():
+                raise ValueError("a record's header does not end")
         head = {}
-        for row in data[at:end].split(b"\r\n")[1:]:
+        for row in bytes(held[:end]).split(b"\r\n")[1:]:
             name, _, value = row.partition(b":")
             head[name.strip().lower().decode()] = value.strip().decode()
         length = int(head["content-length"])
-        block = data[end + 4 : end + 4 + length]
-        if len(block) != length:
-            raise ValueError("a record is shorter than its Content-Length")
+        while len(held) < end + 4 + length:
+            if not more():
+                raise ValueError("a record is shorter than its Content-Length")
+        block = bytes(held[end + 4 : end + 4 + length])
+        del held[: end + 4 + length]
         kind, own = head["warc-type"], head["warc-record-id"]
         digest = head.get("warc-payload-digest", "").removeprefix("sha1:") or None
         total = head.get("warc-segment-total-length")
         page = head.get("x-page-id")
         segment = int(head.get("warc-segment-number", 0))
         yield own, kind, head.get("warc-segment-origin-id", own), segment, int(total) if total else None, head.get("warc-refers-to"), digest, int(page) if page else None, block
-        at = end + 4 + length
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -156,9 +184,9 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
         for frame in frames:
             for content in frame["content"]:
-                found = list(_parse(content))
-                for i in range(0, len(found), 256):
-                    yield pd.DataFrame(found[i : i + 256], columns=names).astype({"segment": "Int32", "total_length": "Int64", "page_id": "Int64"})
+                found = _parse(content)
+                while some := list(islice(found, 256)):
+                    yield pd.DataFrame(some, columns=names).astype({"segment": "Int32", "total_length": "Int64", "page_id": "Int64"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInPandas(parse, RECORD_SCHEMA)
@@ -237,7 +265,8 @@ def pages_of(decoded: DataFrame) -> DataFrame:
     ok = written(ok.select("record_id", "type", "refers_to", "payload_digest", "page_id", "payload_bytes"), "records")
     named = ok.filter("type = 'revisit'").select("refers_to").distinct()
     origins = ok.filter("type = 'response'").join(named.withColumnRenamed("refers_to", "__r"), F.col("record_id") == F.col("__r"), "left_semi").select(F.col("record_id").alias("__id"), F.col("page_id").alias("__page"), F.col("payload_bytes").alias("__bytes")).dropDuplicates(["__id"])
-    joined = ok.join(origins, F.col("refers_to") == F.col("__id"), "left")
+    # few responses that many revisits name go to each task, so that the revisits of one payload do not meet in one
+    joined = ok.join(small(written(origins, "origins"), SHARED), F.col("refers_to") == F.col("__id"), "left")
     return joined.select("page_id", F.coalesce("payload_bytes", "__bytes").alias("payload_bytes"), "payload_digest", F.col("type").alias("record_type"), F.when(F.col("type") == "revisit", F.col("__page")).alias("refers_to"))
 
 

@@ -185,3 +185,61 @@ def disclosing(texts: list[str | None], window: int, support: int, generalise: f
         if value >= generalise:
             out[entity, t] = value
     return out
+
+
+def quality_shape(text: str) -> tuple[set, list[float]]:
+    """The words, prefixes and shape of a text, character by character."""
+    import math
+    import unicodedata
+
+    low, words, word = text.lower(), [], ""
+    for c in low + " ":
+        if unicodedata.category(c)[0] == "L":
+            word += c
+        else:
+            words += [word] if word else []
+            word = ""
+    some, n = set(words), max(1, len(text))
+    kind = lambda c: "upper" if c.isupper() else "letter" if c.isalpha() else "digit" if c.isdigit() else "space" if c.isspace() else "other"
+    kinds = Counter(map(kind, text))
+    lines = [x for x in text.split("\n") if x.strip()]
+    shape = [text.count(c) / n for c in "#*$%&|<>!"] + [kinds["upper"] / n, kinds["digit"] / n, kinds["other"] / n]
+    shape += [1 - len(some) / max(1, len(words)), 1 - len(set(lines)) / max(1, len(lines)), math.log(1 + len(words)), min(50.0, n / max(1, len(words)))]
+    return some | {w[:5] + "*" for w in some if len(w) > 5}, shape
+
+
+def logistic(z: float) -> float:
+    import math
+
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def site_chances(p: list[float], hosts: list, paths: list, most_prior: float = 1e6, edge: float = 1e-6) -> list[float]:
+    """Chances that take host and path into account, each document left out of its own site's sums."""
+    import math
+
+    def mean(x):
+        return sum(x) / len(x)
+
+    sites = [(h, q) for h, q in zip(hosts, paths)]
+    of = lambda keys: {k: [i for i, x in enumerate(keys) if x == k] for k in set(keys)}
+    by_host, by_path, total = of(hosts), of(sites), mean(p)
+    spread = sum((p[i] - mean([p[j] for j in m])) ** 2 for m in by_path.values() for i in m)
+    within = max(edge, spread / max(1, len(p) - len(by_path)))
+
+    def weight(groups, above):
+        far = sum(len(m) * (mean([p[i] for i in m]) - above(m)) ** 2 for m in groups.values())
+        scale = len(p) - sum(len(m) ** 2 for m in groups.values()) / len(p)
+        between = (far - (len(groups) - 1) * within) / scale if len(groups) > 1 and scale > 0 else 0
+        return min(most_prior, within / between) if between > 0 else most_prior
+
+    k_host = weight(by_host, lambda m: total)
+    k_path = weight(by_path, lambda m: mean([p[i] for i in by_host[hosts[m[0]]]]))
+    logit = lambda x: math.log(min(1 - edge, max(edge, x)) / (1 - min(1 - edge, max(edge, x))))
+    out = []
+    for i, x in enumerate(p):
+        h, q = by_host[hosts[i]], by_path[sites[i]]
+        of_host = (k_host * total + sum(p[j] for j in h) - x) / (k_host + len(h) - 1)
+        of_path = (k_path * of_host + sum(p[j] for j in q) - x) / (k_path + len(q) - 1)
+        out.append(1 / (1 + math.exp(-(logit(x) + logit(of_path) - logit(total)))))
+    return out

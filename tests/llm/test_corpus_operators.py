@@ -22,6 +22,26 @@ def test_site_quality_on_held_out(documents, spark, sf):
     assert sum(clean) >= 0.97 * len(clean) and sum(low) <= 0.2 * len(low)
 
 
+@pytest.mark.parametrize("which", ["documents", "odd"])
+def test_site_quality_against_a_plain_version(which, request, spark):
+    """Evidence from shapes and words taken character by character, posteriors by lists, the verdict from both."""
+    docs = request.getfixturevalue(which)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    model = site_quality.learn(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels)
+    rows = docs.select("doc_id", "text", "source", "lang").collect()
+    shapes = [brute.quality_shape(r["text"] or "") for r in rows]
+    chances = []
+    for k in range(2):
+        z = [model.bias[k] + sum((x - c) / s * w for x, c, s, w in zip(shape, model.centre, model.scale, model.shape_weights[:, k])) + sum(model.by_word[w][k] for w in words if w in model.by_word) for words, shape in shapes]
+        chances.append(brute.site_chances([brute.logistic(x) for x in z], [r["source"] for r in rows], [r["lang"] for r in rows]))
+    found = {r["doc_id"]: r for r in site_quality.classify(docs, model).collect()}
+    for r, (words, _), good, toxic in zip(rows, shapes, *chances):
+        got = found[r["doc_id"]]
+        assert (got["p_quality"], got["p_toxic"]) == (pytest.approx(good, abs=1e-9), pytest.approx(toxic, abs=1e-9)), r["doc_id"]
+        if min(abs(good - 0.5), abs(toxic - 0.5)) > 1e-6:
+            assert got["kept"] == (bool(words) and good >= 0.5 and toxic < 0.5)
+
+
 def test_site_posteriors_by_hand(spark):
     rng = np.random.default_rng(3)
     rows = [(h, q, float(np.clip(0.1 + 0.2 * h + 0.1 * q + rng.normal(0, 0.1), 0.01, 0.99))) for h in range(4) for q in range(3) for _ in range(2 + 5 * h)]
@@ -68,6 +88,31 @@ def test_site_levels(spark):
     assert [tuple(r) for r in df.select("host", "path").collect()] == [("a.org", "x"), ("b.org", ""), (None, None)]
 
 
+def test_archives_are_read_piece_by_piece():
+    """Plain, gzipped as a whole, record by record and followed by padding; records longer than a piece; broken ends."""
+    import gzip
+    import random
+
+    r = random.Random(1)
+    blocks = [bytes(r.choices(range(256), k=k)) for k in (0, 5, 3_000, 1_200_000, 0, 70_000)]
+    made = [f"{warc.VERSION}\r\nWARC-Type: response\r\nWARC-Record-ID: <{i}>\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, b in enumerate(blocks)]
+    whole = b"".join(made)
+    for data in (whole, gzip.compress(whole), b"".join(map(gzip.compress, made)), gzip.compress(whole) + b"\0" * 99):
+        assert [x[-1] for x in warc._parse(data)] == blocks
+    assert max(map(len, warc._inflated(gzip.compress(whole), 1 << 16))) <= 1 << 16
+    for broken in (whole[:-9], gzip.compress(whole)[:-900]):
+        with pytest.raises(ValueError):
+            list(warc._parse(broken))
+    assert list(warc._parse(b"")) == []
+
+
+def test_one_payload_on_half_of_the_pages(spark):
+    rows = [(i, f"http://x.org/{i}", "" if i % 2 else f"<p>{i}</p>", None) for i in range(400)]
+    found = {r["page_id"]: r for r in warc.round_trip(_pages(spark, rows), shared_dir(spark, "warc")).collect()}
+    assert len(found) == 400 and found[399]["record_type"] == "response"
+    assert all((r["record_type"], r["refers_to"]) == ("revisit", 399) for i, r in found.items() if i % 2 and i < 399)
+
+
 def _pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string, payload string")
 
