@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prepweave import catalog_ordered, catalog_quality, catalog_sources, catalog_streams, catalog_summaries  # noqa: F401  these register their queries
+from prepweave import catalog_ordered, catalog_quality, catalog_runs, catalog_sources, catalog_streams, catalog_summaries  # noqa: F401  these register their queries
 from prepweave.errors import PlanError
 from prepweave.functions import expressions as ex
 from prepweave.functions.expressions import fld, fn, lit
