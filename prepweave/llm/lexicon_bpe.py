@@ -13,6 +13,7 @@ from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import pyarrow as pa
 import regex
@@ -83,10 +84,11 @@ class Vocabulary:
         self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.tokens = {i: t for t, i in [*self.ids.items(), *self.special.items()]}
+        self.written = {t: str(i) for t, i in self.ids.items()}
         self.chars = byte_characters()
         self.table = str.maketrans({i: c for i, c in self.chars.items()})
         self.pattern, self.pattern_later = regex.compile(SPLIT), regex.compile(SPLIT_LATER)
-        self.high, self.later = regex.compile("[\u0558-\U0010ffff]"), regex.compile(f"[{LATER}{''.join(map(chr, CAPITALS))}]")
+        self.later = regex.compile(f"[{LATER}{''.join(map(chr, CAPITALS))}]")
         self.blank = regex.compile(f"[{SPACES}]+")
         self.parts = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
@@ -95,15 +97,21 @@ class Vocabulary:
         if piece.isascii():
             low = piece.lower()
             return [low] if low.isalpha() else self.pattern.findall(low)
-        text = self.blank.sub(" ", unicodedata.normalize("NFC", piece))
-        # lower case is taken character by character, without the final form of sigma
-        text = text.replace("Σ", "σ").lower()
-        if self.high.search(text) and self.later.search(text):
-            return self.pattern_later.findall(text.translate(CAPITALS))
-        return self.pattern.findall(text)
+        try:
+            piece.encode("latin-1")
+        except UnicodeEncodeError:
+            text = self.blank.sub(" ", unicodedata.normalize("NFC", piece))
+            # lower case is taken character by character, without the final form of sigma
+            text = text.replace("Σ", "σ").lower()
+            return self.pattern_later.findall(text.translate(CAPITALS)) if self.later.search(text) else self.pattern.findall(text)
+        low = piece.lower()  # Latin-1 is in normal form, and its white space is taken as such by the pattern
+        return [low] if low.isalpha() else self.pattern.findall(low)
 
     def merge(self, word: str) -> list[int]:
-        """The ids of one word: of all adjacent pairs the one of least rank is joined, leftmost first, until none has one."""
+        return [self.ids[s] for s in self.symbols(word)]
+
+    def symbols(self, word: str) -> list[str]:
+        """The tokens of one word: of all adjacent pairs the one of least rank is joined, leftmost first, until none has one."""
         symbols = list(word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.table))
         symbols[-1] += END
         ranks = self.ranks
@@ -119,9 +127,9 @@ class Vocabulary:
                 near[at - 1] = ranks.get((symbols[at - 1], symbols[at]), NONE)
             if at < len(near):
                 near[at] = ranks.get((symbols[at], symbols[at + 1]), NONE)
-        return [self.ids[s] for s in symbols]
+        return symbols
 
-    def _merge_long(self, symbols: list[str]) -> list[int]:
+    def _merge_long(self, symbols: list[str]) -> list[str]:
         n, ranks = len(symbols), self.ranks
         after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
         heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
@@ -137,14 +145,19 @@ class Vocabulary:
             for x, y in ((before[i], i), (i, after[i])):
                 if x >= 0 and y < n and (r := ranks.get((symbols[x], symbols[y]))) is not None:
                     heapq.heappush(heap, (r, x, symbols[x], symbols[y]))
-        return [self.ids[s] for s, k in zip(symbols, live) if k]
+        return [s for s, k in zip(symbols, live) if k]
+
+
+def filter_bits(words: int) -> int:
+    """Bits of the bitmap of so many words: a power of two, at least 16 a word."""
+    return max(1 << 8, 1 << (16 * words).bit_length())
 
 
 def build(entries: list[tuple[bytes, list[int]]], path: str) -> None:
     """Writes the minimal acyclic transducer of words and their ids.
 
     Words are added in byte order; a finished branch is shared with an equal one that is already there, so common
-    suffixes stand once. Each transition carries how many words come before those behind it, so the sum along a path is
+    suffixes stand once. A bitmap of the words' hashes tells most others at once. Each transition carries how many words come before those behind it, so the sum along a path is
     the word's number, which gives its ids in a table.
     """
     entries = sorted(dict(entries).items())
@@ -189,8 +202,12 @@ def build(entries: list[tuple[bytes, list[int]]], path: str) -> None:
     for _, ids in entries:
         at.extend(ids)
         outputs.append(len(at))
+    bits = bytearray(filter_bits(len(entries)) // 8)
+    for word, _ in entries:
+        h = crc32(word) & (8 * len(bits) - 1)
+        bits[h >> 3] |= 1 << (h & 7)
     pad = lambda b: b + b"\0" * (-len(b) % 8)
-    parts = [pad(x) for x in (starts.tobytes(), targets.tobytes(), skips.tobytes(), outputs.tobytes(), at.tobytes(), finals, bytes(labels))]
+    parts = [pad(x) for x in (starts.tobytes(), targets.tobytes(), skips.tobytes(), outputs.tobytes(), at.tobytes(), bytes(bits), finals, bytes(labels))]
     with open(path, "wb") as f:
         f.write(array("Q", [len(done), len(labels), len(entries), len(at)]).tobytes())
         for p in parts:
@@ -215,11 +232,15 @@ class Lexicon:
 
         self.starts, self.targets, self.skips = part("I", states + 1, 4), part("I", moves, 4), part("I", moves, 4)
         self.outputs, self.ids = part("I", words + 1, 4), part("I", ids, 4)
+        self.bits, self.mask = part("B", filter_bits(words) // 8, 1), filter_bits(words) - 1
         self.finals = part("B", states, 1)
         self.labels, self.root = at, states - 1
 
     def find(self, word: bytes) -> list[int] | None:
         """The ids of a word, or None if the lexicon lacks it."""
+        h = crc32(word) & self.mask
+        if not self.bits[h >> 3] >> (h & 7) & 1:
+            return None
         state, number, starts, base, find = self.root, 0, self.starts, self.labels, self.map.find
         for i in range(len(word)):
             move = find(word[i : i + 1], base + starts[state], base + starts[state + 1]) - base
@@ -259,7 +280,9 @@ class Coder:
     def _word(self, word: str) -> tuple[str, str]:
         """The ids and the tokens of a word, each joined by spaces."""
         ids = self.lexicon.find(word.encode("utf-8", "surrogatepass")) if self.lexicon else None
-        ids = self.vocabulary.merge(word) if ids is None else ids
+        if ids is None:
+            symbols, written = self.vocabulary.symbols(word), self.vocabulary.written
+            return " ".join([written[s] for s in symbols]), " ".join(symbols)
         return " ".join(map(str, ids)), self.decode(ids)
 
     def _piece(self, piece: bytes) -> tuple[str, str]:
