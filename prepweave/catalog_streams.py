@@ -42,7 +42,7 @@ def _in_two_runs(spark, sf_dir, make, repeats: bool = False):
     checkpoint, output = fresh_path(spark, "checkpoint"), fresh_path(spark, "stream")
     schema = "event_id long, ts timestamp, event_type string, user_id long"
     for folder in _arrivals(spark, sf_dir, repeats):
-        progress = event_time.run(make(event_time.replay(spark, folder, schema)), checkpoint, output)
+        progress = event_time.run(make(event_time.replay(spark, folder, schema, files_at_once=2)), checkpoint, output)
         assert progress.late == 0, "rows came later than the delay"
     out = spark.read.parquet(output)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("since", "until")})
