@@ -105,6 +105,22 @@ def test_fuzzy_candidates_lose_nothing_and_are_few(spark):
     assert nothing.columns == ["left_key", "right_key", "distance"] and nothing.collect() == []
 
 
+def test_fuzzy_candidates_are_hardly_more_than_near_pairs(spark):
+    r = random.Random(9)
+    damage = lambda n: n[: (i := r.randrange(len(n)))] + r.choice(["", "x", "xy"]) + n[i + r.randint(0, 1) :]
+    frame = lambda t: spark.createDataFrame([(x,) for x in t], "text string")
+    # one beginning for all, and few different grams behind it
+    names = sorted({"automobile " + "".join(r.choices("0123456789abcdef", k=10)) for _ in range(800)})
+    found = fuzzy.candidates(frame(names), frame(sorted({damage(n) for n in names})), 2)
+    assert found.count() < 2 * len(names)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    # texts around the length from which grams are compared, runs of a character and some beyond the basic plane
+    long = sorted({"".join(r.choices("ab\U0001f600", k=r.randint(29, 37))) for _ in range(40)} | {"a" * 31, "a" * 33, "a" * 35, "a" * 30 + "bb"})
+    near = sorted({damage(damage(n)) if r.random() < 0.5 else damage(n) for n in long} | {"a" * 34, "a" * 33})
+    pairs = [tuple(x) for x in fuzzy.candidates(frame(long), frame(near), 2).collect()]
+    assert {(a, b) for a in long for b in near if _edits(a, b) <= 2} <= set(pairs) and len(pairs) == len(set(pairs))
+
+
 # --- references and dependencies
 
 
