@@ -22,6 +22,12 @@ def inside() -> W:
     return W.partitionBy("__part").orderBy("__at")
 
 
+def inside_back() -> W:
+    """The rows of a range from the last on: a frame that ends at the last row is read anew by Spark for each of its rows,
+    while one that begins there grows."""
+    return W.partitionBy("__part").orderBy(F.desc("__at"))
+
+
 def _same(columns: list[str], struct: Column) -> Column:
     return reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(struct[c]) for c in columns], F.lit(True))
 
@@ -34,10 +40,10 @@ def carried(rows: DataFrame, value: Column, name: str, by: list[str] = [], back:
     place = F.when(F.col("__held").isNotNull(), F.col("__at"))
     ends = rows.groupBy("__part").agg((F.min_by if back else F.max_by)("__held", place).alias("__end"))
     # a row a range
-    others = W.orderBy("__part").rowsBetween(1, W.unboundedFollowing) if back else W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    ends = ends.select("__part", (F.first if back else F.last)("__end", ignorenulls=True).over(others).alias("__beyond"))
-    frame = inside().rowsBetween(0, W.unboundedFollowing) if back else inside().rowsBetween(W.unboundedPreceding, 0)
-    found = rows.withColumn("__near", (F.first if back else F.last)("__held", ignorenulls=True).over(frame)).join(F.broadcast(ends), "__part")
+    others = W.orderBy(F.desc("__part") if back else F.asc("__part")).rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select("__part", F.last("__end", ignorenulls=True).over(others).alias("__beyond"))
+    frame = (inside_back() if back else inside()).rowsBetween(W.unboundedPreceding, 0)
+    found = rows.withColumn("__near", F.last("__held", ignorenulls=True).over(frame)).join(F.broadcast(ends), "__part")
     found = found.withColumn("__near", F.coalesce("__near", "__beyond"))
     return found.withColumn(name, F.when(_same(by, F.col("__near")), F.col("__near.__value"))).drop("__held", "__near", "__beyond")
 

@@ -67,6 +67,14 @@ def test_hot_key_is_many_ranges(spark):
     assert "SortMergeJoin" not in plan and "hashpartitioning(k" not in plan
 
 
+def test_fill_back_reads_a_range_once(spark):
+    """A frame up to the last row is read anew for each row: 10 ^ 10 steps for a range of 150,000 rows."""
+    df = spark.range(600_000).selectExpr("id", "if(id % 1000 = 999, id, null) as mark")
+    filled = ordered.fill(df, ["mark"], ["id"], back=True)
+    assert "unboundedfollowing" not in filled._jdf.queryExecution().executedPlan().toString().lower()
+    assert filled.filter("mark <> id - id % 1000 + 999 or mark is null").count() == 0
+
+
 def test_fill_ranks_and_frames(spark):
     r = random.Random(4)
     rows = [(i, r.choice([None, 1, 1, 2, 3]), r.choice([None, None, None, i]), r.choice([None, "a", "b"])) for i in range(97)]
