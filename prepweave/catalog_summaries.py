@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prepweave.operators import sketches
 from prepweave.operators.aggregate import Measure
 from prepweave.operators.cube import cube, grouping_sets, rollup
+from prepweave.operators.quantiles import exact_percentiles
 from prepweave.registry import register, table
 from prepweave.tables import written
 
@@ -70,7 +71,8 @@ def sketch_quantiles(spark, sf_dir):
     """Quantiles of three batches from merged sketches lie within one percent of the exact ones, and no row is lost."""
     df = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("flag"), F.col("l_extendedprice").alias("v"), "l_orderkey")
     merged = written(sketches.merge_quantiles(_merged([sketches.quantile_sketch(b, ["flag"], "v") for b in _batches(df, "l_orderkey")]), ["flag"]), "merged")
-    exact = df.groupBy("flag").agg(F.expr("percentile_disc(0.5) within group (order by v)").alias("m"), F.expr("percentile_disc(0.99) within group (order by v)").alias("h"))
+    # by selection: an aggregate would hold all different values of a flag in one task
+    exact = exact_percentiles(df, ["flag"], "v", [0.5, 0.99]).withColumnsRenamed({"p0": "m", "p1": "h"})
     about = sketches.quantile_estimates(merged, ["flag"], [0.5, 0.99])
     rows = merged.select("flag", F.aggregate(F.map_values("sketch"), F.lit(0).cast("long"), lambda a, v: a + v).alias("n"))
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= (sketches.RELATIVE + 0.002) * F.col(b)  # noqa: E731  a row beside it may be exact's

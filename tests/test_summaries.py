@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from prepweave import catalog
 from prepweave.errors import PlanError
 from prepweave.operators import sketches
 from prepweave.operators.aggregate import Measure
@@ -97,3 +98,8 @@ def test_frequency_sketches(spark):
     assert all(counts[x] <= about <= counts[x] + 2.72 * n / sketches.CELLS + 1 for (g, x), (about, n) in got.items() if g)
     with pytest.raises(PlanError):
         sketches.distinct_sketch(df, ["gone"], "v")
+
+
+def test_quantiles_are_checked_without_a_buffer_of_all_values(spark):
+    plan = catalog.queries()["sketch_quantiles"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "percentile_disc" not in plan and "percentiledisc" not in plan
