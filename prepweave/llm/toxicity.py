@@ -26,6 +26,8 @@ WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 12
 REACH, POOLED = max(WIDTHS) - 1, len(WIDTHS) * FILTERS
 #: Words that are scored at a time, and different words whose filter values a worker remembers.
 STRETCH, REMEMBERED = 1 << 13, 1 << 16
+#: How often tasks' networks are averaged, and bins of a unit of a logit in which checked documents are counted.
+MIXES, GRID = 3, 256
 #: A score from which a document counts as toxic; thresholds of languages are moved to it.
 EVEN = 0.3
 
@@ -51,15 +53,20 @@ class Network:
         for f in self.filters:
             f[:, 0] += 1 / len(f)  # the first dimension begins as the word's own evidence
         self.shifts, self.out, self.bias = np.full(POOLED, -0.5, np.float32), np.full(POOLED, 0.2, np.float32), np.float32(-1)
+        self.sums = np.full(SLOTS + 1, 0.1, np.float32)
+        self.held = [np.full_like(w, 0.1) for w in (*self.filters, self.shifts, self.out)] + [np.float32(0.1)]
 
     def logits(self, pooled: np.ndarray) -> np.ndarray:
         return np.maximum(pooled + self.shifts, 0) @ self.out + self.bias
 
     def fit(self, docs: list[np.ndarray], y: np.ndarray, rounds: int, rate: float, seed: int = 7) -> None:
-        """Adagrad on the log loss. Only the words at which a filter is largest get a gradient."""
-        self._begin(docs, y)
-        r, sums = np.random.default_rng(seed), np.full(SLOTS + 1, 0.1, np.float32)
-        held = [np.full_like(w, 0.1) for w in (*self.filters, self.shifts, self.out)] + [np.float32(0.1)]
+        """Adagrad on the log loss, from the words' own evidence on."""
+        self.begin(*evidence(docs, y), len(y), y.sum())
+        self.train(docs, y, rounds, rate, seed)
+
+    def train(self, docs: list[np.ndarray], y: np.ndarray, rounds: int, rate: float, seed: int = 7) -> None:
+        """Only the words at which a filter is largest get a gradient. Sums of squares go on from the last call."""
+        r, sums, held = np.random.default_rng(seed), self.sums, self.held
         for _ in range(rounds):
             for some in np.array_split(r.permutation(len(docs)), max(1, len(docs) // 64)):
                 rows, starts = joined([docs[i] for i in some])
@@ -95,16 +102,35 @@ class Network:
                 held[-1] += steps[-1] ** 2
                 self.bias -= 0.2 * rate * steps[-1] / np.sqrt(held[-1])
 
-    def _begin(self, docs: list[np.ndarray], y: np.ndarray) -> None:
+    def begin(self, n: np.ndarray, yes: np.ndarray, docs: int, positive: float) -> None:
         """The first dimension of each row: the log odds of documents that hold it, drawn to none where they are few."""
-        n, yes = np.zeros(SLOTS), np.zeros(SLOTS)
-        for rows, label in zip(docs, y):
-            held = np.unique(rows)
-            n[held] += 1
-            yes[held] += label
-        odds = np.log((yes + 0.5) / (y.sum() + 1)) - np.log((n - yes + 0.5) / ((1 - y).sum() + 1))
+        odds = np.log((yes + 0.5) / (positive + 1)) - np.log((n - yes + 0.5) / (docs - positive + 1))
         self.table[:SLOTS, 0] += (odds * n / (n + 6) / PARTS).astype(np.float32)
 
+    def state(self) -> np.ndarray:
+        """All weights and sums of squares: a row for each row of the table, then the others in rows of the same width."""
+        rest = np.concatenate([np.ravel(w) for w in (*self.filters, self.shifts, self.out, self.bias, *self.held)])
+        rest = np.append(rest, np.zeros(-len(rest) % (SIZE + 1))).reshape(-1, SIZE + 1)
+        return np.concatenate([np.concatenate([self.table, self.sums[:, None]], axis=1), rest]).astype(np.float32)
+
+    def put(self, state: np.ndarray) -> None:
+        self.table, self.sums, rest = state[: SLOTS + 1, :SIZE].copy(), state[: SLOTS + 1, SIZE].copy(), state[SLOTS + 1 :].ravel()
+        parts = [*self.filters, self.shifts, self.out, self.bias, *self.held]
+        cuts = np.cumsum([np.size(w) for w in parts])
+        parts = [x.reshape(np.shape(w)).copy() for x, w in zip(np.split(rest, cuts), parts)]
+        n = len(WIDTHS)
+        self.filters, self.shifts, self.out, self.bias, self.held = parts[:n], parts[n], parts[n + 1], np.float32(parts[n + 2]), [*parts[n + 3 : -1], np.float32(parts[-1])]
+
+
+def evidence(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many documents hold each row of the table, and how many of them are positive."""
+    n, yes = np.zeros(SLOTS), np.zeros(SLOTS)
+    for rows, label in zip(docs, y):
+        held = np.unique(rows)
+        n[held] += 1
+        yes[held] += label
+    return n, yes
+
 
 def joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Rows of all words of some documents one after another, each behind REACH empty words, and where each begins. No
@@ -186,15 +212,13 @@ class Scorer:
         return self.net.logits(self.pooled(texts))
 
 
-def _threshold(logits: np.ndarray, y: np.ndarray, wrong: float) -> float:
-    """The cut with the fewest missed positives and, weighing `wrong` each, negatives taken for one; in the middle of the
-    gap that it lies in."""
-    order = np.argsort(logits)
-    z, marks = logits[order], y[order]
-    cost = np.cumsum(np.append(0, marks)) + wrong * np.append(np.cumsum((1 - marks)[::-1])[::-1], 0)  # cut before each, and behind all
+def _threshold(z: np.ndarray, yes: np.ndarray, no: np.ndarray, wrong: float) -> float:
+    """The cut with the fewest missed positives and, weighing `wrong` each, negatives taken for one, from the numbers of
+    both at each logit in ascending order; in the middle of the gap that it lies in."""
+    cost = np.append(0, np.cumsum(yes)) + wrong * np.append(np.cumsum(no[::-1])[::-1], 0)  # cut before each, and behind all
     least = np.flatnonzero(cost == cost.min())
-    low, high = least[len(least) // 2], least[len(least) // 2]
-    return float((z[max(0, low - 1)] + z[min(len(z) - 1, high)]) / 2)
+    at = least[len(least) // 2]
+    return float((z[max(0, at - 1)] + z[min(len(z) - 1, at)]) / 2)
 
 
 class Toxicity:
@@ -220,18 +244,20 @@ def learn(
     docs: DataFrame, labels: DataFrame, target: str = "toxic", text: str = "text", lang: str = "lang", key: str = "doc_id",
     rows: int = 12_000, checked: float = 0.25, rounds: int = 12, rate: float = 0.2, wrong: float = 1.0, weight: float = 4.0,
 ) -> Toxicity:
-    """A network and a threshold for each language, from about `rows` labelled documents that are not held out, picked by
-    a hash of the key (the documented bound of the labelled sample). The share `checked` of them is kept from the network
-    and sets the thresholds: a language's own is drawn to that of all by `weight` positive documents. The language is the
-    one that a text's n-grams tell; lang only trains these profiles. A key labelled twice has the largest label, null
+    """A network and a threshold for each language, from all labelled documents that are not held out. The share `checked`
+    of them is kept from the network and sets the thresholds: a language's own is drawn to that of all by `weight` positive
+    documents. A task trains on about `rows` documents; of several tasks' networks, which begin alike from all documents'
+    evidence, the changes are averaged MIXES times, those of a row of the table over the tasks that changed it. The language
+    is the one that a text's n-grams tell; lang only trains these profiles. A key labelled twice has the largest label, null
     labels count as absent; without documents of both classes the chance is the smoothed share.
+
+    The driver has the weights, counts a row of the table, and counts a language and 1 / GRID of a logit.
     """
     marked = labels.filter(F.col(key).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max((F.col(target) > 0).cast("int")).alias("__y"))
     marked = written(marked.filter(~held_out("__k")), "labels")
-    picked = written(marked.filter(drawn(min(1.0, rows / max(1, marked.count())), "__k")), "picked")
     profiles = language.learn(docs, text, lang, key)
-    used = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(small(picked, 2 * rows), "__k")
-    used = used.select("__t", "__y", drawn(checked, F.lit("checked"), "__k").alias("__checked"))
+    used = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(small(marked, 100_000), "__k")
+    used = used.select("__t", "__y", drawn(checked, F.lit("checked"), "__k").alias("__checked"), F.xxhash64("__k").alias("__h"))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = language.Profiles(profiles, 400)
@@ -239,29 +265,82 @@ def learn(
             texts = batch.column(0).to_pylist()
             found = [np.array([slots(w) for w in words_of(t)], np.uint16).tobytes() for t in texts]
             langs = [tool.predict(t)[0] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2), pa.array(langs, pa.string())], names=["rows", "y", "checked", "lang"])
-
-    table = used.mapInArrow(rows_of, "rows binary, y int, checked boolean, lang string").toPandas()  # the bounded sample
-    y = table["y"].to_numpy(np.float32)
-    if not 0 < y.sum() < len(y):
-        return Toxicity(None, profiles, {}, 0.0, float((y.sum() + 1) / (len(y) + 2)))
-    found = [np.frombuffer(x, np.uint16).reshape(-1, PARTS) for x in table["rows"]]
-    kept = table["checked"].to_numpy(bool)
-    if not 0 < y[~kept].sum() < (~kept).sum() or not 0 < y[kept].sum() < kept.sum():
-        kept[:] = False  # too few to keep some back
-    net = Network()
-    train = np.flatnonzero(~kept)
-    net.fit([found[i] for i in train], y[train], rounds, rate)
-    used_for = np.flatnonzero(kept) if kept.any() else train
-    logits = np.concatenate([_logits(net, [found[i] for i in some]) for some in np.array_split(used_for, len(used_for) // 64 + 1) if len(some)])
-    threshold, thresholds = _threshold(logits, y[used_for], wrong), {}
-    for name, some in table.iloc[used_for].reset_index(drop=True).groupby("lang").groups.items():
-        n = y[used_for][some].sum()
-        if 0 < n < len(some):
-            thresholds[name] = (n * _threshold(logits[some], y[used_for][some], wrong) + weight * threshold) / (n + weight)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2), batch.column(3), pa.array(langs, pa.string())], names=["rows", "y", "checked", "h", "lang"])
+
+    table = written(used.mapInArrow(rows_of, "rows binary, y int, checked boolean, h long, lang string"), "picked")
+    counts = {(r["checked"], r["y"]): r["n"] for r in table.groupBy("checked", "y").agg(F.count("*").alias("n")).collect()}
+    n, positive = sum(counts.values()), sum(c for (_, y), c in counts.items() if y)
+    if not 0 < positive < n:
+        return Toxicity(None, profiles, {}, 0.0, float((positive + 1) / (n + 2)))
+    train = back = table
+    if len(counts) == 4:  # else too few to keep some back
+        train, back = table.filter("NOT checked"), table.filter("checked")
+        n, positive = counts[False, 0] + counts[False, 1], counts[False, 1]
+    net = _trained(train.select("rows", "y", "h"), n, positive, rows, rounds, rate)
+
+    def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _arrays(batch.column(0))
+            logits = np.concatenate([_logits(net, found[i : i + 64]) for i in range(0, len(found), 64)]) if found else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.floor(logits * GRID).astype(np.int64)), batch.column(1), batch.column(2)], names=["at", "y", "lang"])
+
+    seen = back.select("rows", "y", "lang").mapInArrow(bins, "at long, y int, lang string").groupBy("lang", "at").agg(F.count_if(F.col("y") == 1).alias("yes"), F.count_if(F.col("y") == 0).alias("no")).toPandas()
+
+    def cut(some) -> float:
+        some = some.groupby("at", sort=True)[["yes", "no"]].sum()
+        return _threshold((some.index.to_numpy() + 0.5) / GRID, some["yes"].to_numpy(), some["no"].to_numpy(), wrong)
+
+    threshold, thresholds = cut(seen), {}
+    for name, some in seen.groupby("lang"):
+        yes = int(some["yes"].sum())
+        if yes and some["no"].sum():
+            thresholds[name] = (yes * cut(some) + weight * threshold) / (yes + weight)
     return Toxicity(net, profiles, thresholds, threshold)
 
 
+def _arrays(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint16).reshape(-1, PARTS) for x in column.to_pylist()]
+
+
+def _trained(table: DataFrame, n: int, positive: int, rows: int, rounds: int, rate: float) -> Network:
+    """A network from all rows of the table, in as many tasks as hold about `rows` each."""
+    net, tasks = Network(), -(-n // rows)
+
+    def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, yes = np.zeros(SLOTS), np.zeros(SLOTS)
+        for batch in batches:
+            more = evidence(_arrays(batch.column(0)), batch.column(1).to_numpy())
+            n, yes = n + more[0], yes + more[1]
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(yes[at])], names=["slot", "n", "yes"])
+
+    # a row for each row of the embedding table at most
+    found = table.mapInArrow(evidences, "slot long, n double, yes double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).toPandas()
+    held, yes = np.zeros(SLOTS), np.zeros(SLOTS)
+    held[found["slot"]], yes[found["slot"]] = found["n"], found["yes"]
+    net.begin(held, yes, n, positive)
+    mixes = 1 if tasks == 1 else min(MIXES, rounds)
+    columns = [f"v{i}" for i in range(SIZE + 1)]
+    for mix in range(mixes):
+        some = rounds // mixes + (mix < rounds % mixes)
+
+        def trained(group: pa.Table) -> pa.Table:
+            before, order = net.state(), np.argsort(group.column("h").to_numpy(), kind="stable")
+            docs, y = _arrays(group.column("rows")), group.column("y").to_numpy().astype(np.float32)
+            net.train([docs[i] for i in order], y[order], some, rate, 7 + mix)
+            change = net.state() - before
+            net.put(before)  # a worker may have another group
+            at = np.flatnonzero(change.any(axis=1))
+            return pa.table({"slot": pa.array(at), **{c: pa.array(change[at, i].astype(np.float64)) for i, c in enumerate(columns)}})
+
+        dealt = table.groupBy(F.pmod("h", F.lit(tasks)).alias("part"))  # about `rows` documents each
+        changes = dealt.applyInArrow(trained, "slot long, " + ", ".join(f"{c} double" for c in columns)).groupBy("slot").agg(*[F.avg(c).alias(c) for c in columns]).toPandas()
+        state = net.state()
+        state[changes["slot"]] += changes[columns].to_numpy(np.float32)
+        net.put(state)
+    return net
+
+
 def _logits(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     rows, starts = joined(docs)
     x, n = net.table[rows].sum(axis=1), len(rows) - REACH

@@ -218,6 +218,20 @@ def test_toxicity_odd(which, request, spark):
         assert len(found) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in found)
 
 
+def test_toxicity_learns_from_all_labels(spark, monkeypatch):
+    """Whatever a task trains on, all labelled documents that are not held out count, for evidence, network and thresholds."""
+    docs = spark.createDataFrame([(i, f"w{i % 50} " + ("vile" if i % 3 == 0 else "kind") + " more", "en") for i in range(400)], "doc_id long, text string, lang string")
+    labels = docs.selectExpr("doc_id", "if(doc_id % 3 = 0, 1, 0) as toxic")
+    seen = []
+    begin = toxicity.Network.begin
+    monkeypatch.setattr(toxicity.Network, "begin", lambda self, n, yes, count, positive: (seen.append((n.max(), count)), begin(self, n, yes, count, positive)))
+    model = toxicity.learn(docs, labels, rows=40)
+    learned = docs.filter(~toxicity.held_out("doc_id")).count()
+    assert 0.6 * learned < seen[0][1] < 0.9 * learned and seen[0][0] == seen[0][1]  # "more" is in all but those that are kept back
+    found = toxicity.score(docs, model).join(labels, "doc_id")
+    assert found.filter("predicted <> toxic").count() == 0
+
+
 def test_samples_of_small_shares(spark):
     """A share far below one millionth still draws its part, and a share of 1 draws all."""
     ids = spark.range(1 << 20)
