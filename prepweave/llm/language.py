@@ -89,12 +89,10 @@ class Profiles:
 
     def __init__(self, profiles: dict[str, list[int]], size: int):
         self.names = sorted(profiles)
-        self.codes, self.ranks = [], []
-        for name in self.names:
-            codes = np.array(profiles[name], np.int64)
-            order = np.argsort(codes)
-            self.codes.append(codes[order])
-            self.ranks.append(order)
+        self.codes = np.unique(np.concatenate([np.array(profiles[name], np.int64) for name in self.names])) if self.names else np.empty(0, np.int64)
+        self.ranks = np.full((len(self.names), len(self.codes)), 1 << 40)  # far from any place: the profile lacks the n-gram
+        for of, name in zip(self.ranks, self.names):
+            of[np.searchsorted(self.codes, np.array(profiles[name], np.int64))] = np.arange(len(profiles[name]))
         self.most = size
 
     def predict(self, text: str | None) -> tuple[str, float]:
@@ -106,12 +104,10 @@ class Profiles:
         if not len(codes):
             return "und", 0.0
         own = top(codes, counts, self.most)
-        place = np.arange(len(own))
-        likeness = []
-        for known, ranks in zip(self.codes, self.ranks):
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            away = np.where(known[at] == own, np.minimum(np.abs(ranks[at] - place), self.most), self.most)
-            likeness.append(1.0 - away.sum() / (self.most * len(own)))
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        place = np.flatnonzero(self.codes[at] == own)
+        away = np.minimum(np.abs(self.ranks[:, at[place]] - place), self.most).sum(axis=1) + self.most * (len(own) - len(place))
+        likeness = list(1.0 - away / (self.most * len(own)))
         best = int(np.argmax(likeness))
         total = sum(likeness)
         return self.names[best], float(likeness[best] / total) if total > 0 else 0.0

@@ -2,44 +2,134 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterable, Iterator
-from itertools import islice
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prepweave.llm import language
 from prepweave.llm.common import drawn, small, written
-from prepweave.llm.language import held_out
+from prepweave.llm.language import SPACE, held_out
 
-WORDS = regex.compile(r"\p{L}+")
 #: Rows of the embedding table. A word has two for itself, by two hashes, so that two words hardly ever share both, and one
 #: each for its first letters, as many languages put words together. A further row of zeros stands for no word.
 SLOTS, PREFIXES = 1 << 16, (6, 8)
 PARTS = 2 + len(PREFIXES)
-FACTORS = 2654435761, 2246822519, 3266489917
+#: The odd base of the polynomial by which letters are hashed modulo 2 ** 64, and the factors that mix its bits.
+BASE, FACTORS = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 WIDTHS, FILTERS, SIZE = (1, 2, 3), 8, 12
 REACH, POOLED = max(WIDTHS) - 1, len(WIDTHS) * FILTERS
-#: Words that are scored at a time, and different words whose filter values a worker remembers.
-STRETCH, REMEMBERED = 1 << 13, 1 << 16
+#: Characters that are read at a time, and how many of a text's last words its next stretch begins with: REACH or more.
+STRETCH, REMEMBERED = 1 << 15, REACH
 #: How often tasks' networks are averaged, and bins of a unit of a logit in which checked documents are counted.
 MIXES, GRID = 3, 256
+#: Bytes of documents that a task trains on at a time at most.
+HELD = 1 << 28
 #: A score from which a document counts as toxic; thresholds of languages are moved to it.
 EVEN = 0.3
 
 
-def slots(word: str) -> tuple[int, ...]:
-    """The embedding rows of a lower-case word."""
-    whole = zlib.crc32(word.encode())  # CRCs are linear: factors, not seeds, make independent hashes of them
-    return whole % SLOTS, (whole * FACTORS[0] >> 16) % SLOTS, *[(zlib.crc32(word[:n].encode()) * f >> 16) % SLOTS for n, f in zip(PREFIXES, FACTORS[1:])]
+def points_of(text: str) -> np.ndarray:
+    """The text's letters in lower case, one by one, and a space for each other character."""
+    return language._letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
+
+
+def runs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins and ends."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], points != SPACE, [False]))))
+    return edges[::2], edges[1::2]
+
+
+@lru_cache(4)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse."""
+    steps = np.full((2, size), [[BASE], [pow(BASE, -1, 1 << 64)]], np.uint64)
+    steps[:, 0] = 1
+    return tuple(np.cumprod(steps, axis=1, dtype=np.uint64))
+
+
+def hashed(points: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The embedding rows of all words: hashes of a run of letters are differences of running sums."""
+    up, down = _powers(1 << len(points).bit_length())
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(points * up[: len(points)], dtype=np.uint64)))
+    out = np.empty((len(begins), PARTS), np.uint16)
+    first = down[begins]
+    for i, ends_at in enumerate((ends, *[np.minimum(ends, begins + k) for k in PREFIXES])):
+        h = (sums[ends_at] - sums[begins]) * first
+        for f in FACTORS:
+            h = (h ^ (h >> 31)) * np.uint64(f)
+        h ^= h >> 32
+        if i == 0:
+            out[:, 0] = h % SLOTS
+        out[:, i + 1] = (h >> (16 * i + 16)) % SLOTS
+    return out
 
 
 def words_of(text: str | None) -> Iterator[str]:
-    return (m.group() for m in WORDS.finditer((text or "").lower()))
+    """The words one by one: runs of letters in lower case."""
+    points = points_of(text or "")
+    return (points[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(*runs(points)))
+
+
+def slots(word: str) -> tuple[int, ...]:
+    """The embedding rows of a lower-case word."""
+    return tuple(hashed(points_of(word), np.array([0]), np.array([len(word)]))[0].tolist())
+
+
+def stretches(texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The embedding rows of the words of some texts, about STRETCH characters at a time; with each of these texts' number of
+    words, and whether the last one goes on as the first one of the next stretch. A text is cut between words, but for a
+    word of over STRETCH letters, which counts as several."""
+    held, size, blank = [], 0, np.full(1, SPACE, np.uint32)
+
+    def together() -> tuple[np.ndarray, np.ndarray]:
+        points = np.concatenate([x for p in held for x in (p, blank)])
+        begins, ends = runs(points)
+        counts = np.diff(np.searchsorted(begins, np.cumsum([0] + [len(p) + 1 for p in held])))
+        held.clear()
+        return hashed(points, begins, ends), counts
+
+    for text in texts:
+        text, at = text or "", 0
+        while True:
+            points, goes_on = points_of(text[at : at + STRETCH]), at + STRETCH < len(text)
+            if goes_on:
+                blanks = np.flatnonzero(points == SPACE)
+                points = points[: blanks[-1] + 1] if len(blanks) else points
+            at += len(points)
+            held.append(points)
+            size += len(points) + 1
+            if goes_on or size > STRETCH:
+                yield *together(), goes_on
+                size = 0
+            if not goes_on:
+                break
+    if held:
+        yield *together(), False
+
+
+def rows_by_text(texts: list[str | None]) -> list[bytes]:
+    """Each text's rows, as bytes."""
+    parts = [[]]
+    for rows, counts, goes_on in stretches(texts):
+        ends = np.cumsum(counts)
+        for a, b in zip(ends - counts, ends):
+            parts[-1].append(rows[a:b].tobytes())
+            parts.append([])
+        if goes_on:
+            parts.pop()
+    return [b"".join(x) for x in parts[:-1]]
+
+
+def embedded(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The sum of each word's rows of a table."""
+    out = table.take(rows[:, 0], axis=0)
+    for i in range(1, PARTS):
+        out += table.take(rows[:, i], axis=0)
+    return out
 
 
 class Network:
@@ -70,7 +160,7 @@ class Network:
         for _ in range(rounds):
             for some in np.array_split(r.permutation(len(docs)), max(1, len(docs) // 64)):
                 rows, starts = joined([docs[i] for i in some])
-                x = self.table[rows].sum(axis=1)
+                x = embedded(self.table, rows)
                 ends, n = np.append(starts[1:], len(rows) - REACH), len(rows) - REACH
                 at, best = [], []
                 for f in self.filters:
@@ -126,7 +216,9 @@ def evidence(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndar
     """How many documents hold each row of the table, and how many of them are positive."""
     n, yes = np.zeros(SLOTS), np.zeros(SLOTS)
     for rows, label in zip(docs, y):
-        held = np.unique(rows)
+        seen = np.zeros(SLOTS, bool)
+        seen[rows] = True
+        held = np.flatnonzero(seen)
         n[held] += 1
         yes[held] += label
     return n, yes
@@ -141,72 +233,45 @@ def joined(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Scorer:
-    """A network ready for texts: what each filter gives for a row of the table is computed once, for a word when it is
-    first met, so that a window costs look-ups and sums."""
+    """A network ready for texts, which are read by stretches, many short ones together."""
 
     def __init__(self, net: Network):
         self.net = net
-        self.per_row = np.concatenate([net.table @ f[j] for f in net.filters for j in range(len(f))], axis=1)
-        self.forget()
-
-    def forget(self) -> None:
-        self.at, self.known, self.values = {None: 0}, 1, np.zeros((REMEMBERED + 1, self.per_row.shape[1]), np.float32)
-
-    def places(self, words: list[str | None]) -> np.ndarray:
-        """The remembered places of words; None is no word. At most REMEMBERED different words at a time."""
-        new = list({w for w in words if w not in self.at})
-        if self.known + len(new) > REMEMBERED:
-            self.forget()
-            new = list({w for w in words if w})
-        if new:
-            found = np.array([slots(w) for w in new])
-            self.values[self.known : self.known + len(new)] = self.per_row[found].sum(axis=1)
-            self.at.update(zip(new, range(self.known, self.known + len(new))))
-            self.known += len(new)
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-
-    def windows(self, words: list[str | None]) -> list[np.ndarray]:
+        self.filters = np.concatenate([f[j] for f in net.filters for j in range(len(f))], axis=1)
+        self.gap = np.full((REACH, PARTS), SLOTS, np.int64)
+
+    def windows(self, rows: np.ndarray) -> list[np.ndarray]:
         """Each filter's value for each window that begins REACH or more words before the end."""
-        places = self.places(words)  # first: it may begin a new table of values
-        g, n, column, out = self.values[places], len(words) - REACH, 0, []
+        g, n, column, out = embedded(self.net.table, rows) @ self.filters, len(rows) - REACH, 0, []
         for k in WIDTHS:
-            z = 0
-            for j in range(k):
-                z = z + g[j : j + n, column : column + FILTERS]
-                column += FILTERS
+            z = g[:n, column : column + FILTERS].copy()
+            for j in range(1, k):
+                z += g[j : j + n, column + j * FILTERS : column + (j + 1) * FILTERS]
+            column += k * FILTERS
             out.append(z)
         return out
 
     def pooled(self, texts: Iterable[str | None]) -> np.ndarray:
-        """Each filter's largest value over each text. Short texts are scored together, long ones by stretches."""
-        best, batch, held, gap = [], [], 0, [None] * REACH
-
-        def together() -> None:
-            starts = np.cumsum([0] + [REACH + len(w) for w in batch[:-1]])
-            found = self.windows([w for words in batch for w in (*gap, *words)] + gap)
-            best.append(np.concatenate([np.maximum.reduceat(z, starts, axis=0) for z in found], axis=1))
-            batch.clear()
-
-        for text in texts:
-            words = words_of(text)
-            some = list(islice(words, STRETCH))
-            if batch and (len(some) == STRETCH or held + len(some) > 2 * STRETCH):
-                together()
-                held = 0
-            if len(some) < STRETCH:
-                batch.append(some)
-                held += len(some)
-                continue
-            most, before = np.full((1, POOLED), -np.inf, np.float32), gap
-            while some:
-                following = list(islice(words, STRETCH))
-                seen = before + some
-                most[0] = np.maximum(most[0], np.concatenate([z.max(axis=0) for z in self.windows(seen if following else seen + gap)]))
-                before, some = seen[-REACH:], following
-            best.append(most)
-        if batch:
-            together()
-        return np.concatenate(best) if best else np.zeros((0, POOLED), np.float32)
+        """Each filter's largest value over each text. A text that goes on has its last words again before the next ones."""
+        done, self.at, most = [], self.gap, None
+        for found, counts, goes_on in stretches(texts):
+            ends = np.cumsum(counts)
+            rows = np.full((len(found) + len(self.at) + REACH * len(counts), PARTS), SLOTS, np.int64)
+            rows[: len(self.at)] = self.at
+            rows[len(self.at) + np.arange(len(found)) + np.repeat(REACH * np.arange(len(counts)), counts)] = found
+            starts = np.concatenate(([0], len(self.at) + ends[:-1] + REACH * np.arange(len(counts) - 1)))
+            if goes_on:
+                rows = rows[: len(rows) - REACH]
+            best, n = np.full((len(counts), POOLED), -np.inf, np.float32), len(rows) - REACH
+            some = starts < n  # else a text that goes on has no word yet
+            if some.any():
+                best[some] = np.concatenate([np.maximum.reduceat(z, starts[some], axis=0) for z in self.windows(rows)], axis=1)
+            if most is not None:
+                best[0] = np.maximum(best[0], most)
+            most = best[-1] if goes_on else None
+            done.append(best[:-1] if goes_on else best)
+            self.at = rows[max(starts[-1], len(rows) - REMEMBERED) :] if goes_on else self.gap
+        return np.concatenate(done) if done else np.zeros((0, POOLED), np.float32)
 
     def logits(self, texts: Iterable[str | None]) -> np.ndarray:
         return self.net.logits(self.pooled(texts))
@@ -246,34 +311,36 @@ def learn(
 ) -> Toxicity:
     """A network and a threshold for each language, from all labelled documents that are not held out. The share `checked`
     of them is kept from the network and sets the thresholds: a language's own is drawn to that of all by `weight` positive
-    documents. A task trains on about `rows` documents; of several tasks' networks, which begin alike from all documents'
-    evidence, the changes are averaged MIXES times, those of a row of the table over the tasks that changed it. The language
-    is the one that a text's n-grams tell; lang only trains these profiles. A key labelled twice has the largest label, null
-    labels count as absent; without documents of both classes the chance is the smoothed share.
+    documents. A network trains on about `rows` documents; of several networks, which begin alike from all documents'
+    evidence, the changes are averaged MIXES times, those of a row of the table over the networks that changed it. The
+    language is the one that a text's n-grams tell; lang only trains these profiles. A key labelled twice has the largest
+    label, null labels count as absent; without documents of both classes the chance is the smoothed share.
 
-    The driver has the weights, counts a row of the table, and counts a language and 1 / GRID of a logit.
+    Documents are dealt to tasks once, by their key, and written as rows of the table; training and thresholds read them
+    where they lie. The driver has the weights, counts a row of the table, and counts a language and 1 / GRID of a logit.
     """
     marked = labels.filter(F.col(key).isNotNull() & F.col(target).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.max((F.col(target) > 0).cast("int")).alias("__y"))
     marked = written(marked.filter(~held_out("__k")), "labels")
     profiles = language.learn(docs, text, lang, key)
-    used = docs.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(small(marked, 100_000), "__k")
-    used = used.select("__t", "__y", drawn(checked, F.lit("checked"), "__k").alias("__checked"), F.xxhash64("__k").alias("__h"))
+    marked = small(marked.withColumn("__checked", drawn(checked, F.lit("checked"), "__k")), 100_000)
+    found = docs.filter(~held_out(key))  # less to shuffle where the labels are many
+    counts = {(r["__checked"], r["__y"]): r["n"] for r in found.select(F.col(key).alias("__k")).join(marked, "__k").groupBy("__checked", "__y").agg(F.count("*").alias("n")).collect()}
+    n, positive = sum(counts.values()), sum(c for (_, y), c in counts.items() if y)
+    if not 0 < positive < n:
+        return Toxicity(None, profiles, {}, 0.0, float((positive + 1) / (n + 2)))
+    apart = len(counts) == 4  # else too few to keep some back
+    used = found.select(F.col(key).alias("__k"), F.col(text).alias("__t")).join(marked, "__k").repartition("__k").select("__t", "__y", "__checked", F.xxhash64("__k").alias("__h"))
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = language.Profiles(profiles, 400)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            found = [np.array([slots(w) for w in words_of(t)], np.uint16).tobytes() for t in texts]
-            langs = [tool.predict(t)[0] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column(1), batch.column(2), batch.column(3), pa.array(langs, pa.string())], names=["rows", "y", "checked", "h", "lang"])
+            texts, back = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            langs = [tool.predict(t)[0] if b or not apart else None for t, b in zip(texts, back)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows_by_text(texts), pa.binary()), *batch.columns[1:], pa.array(langs, pa.string())], names=["rows", "y", "checked", "h", "lang"])
 
     table = written(used.mapInArrow(rows_of, "rows binary, y int, checked boolean, h long, lang string"), "picked")
-    counts = {(r["checked"], r["y"]): r["n"] for r in table.groupBy("checked", "y").agg(F.count("*").alias("n")).collect()}
-    n, positive = sum(counts.values()), sum(c for (_, y), c in counts.items() if y)
-    if not 0 < positive < n:
-        return Toxicity(None, profiles, {}, 0.0, float((positive + 1) / (n + 2)))
     train = back = table
-    if len(counts) == 4:  # else too few to keep some back
+    if apart:
         train, back = table.filter("NOT checked"), table.filter("checked")
         n, positive = counts[False, 0] + counts[False, 1], counts[False, 1]
     net = _trained(train.select("rows", "y", "h"), n, positive, rows, rounds, rate)
@@ -303,7 +370,7 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
 
 
 def _trained(table: DataFrame, n: int, positive: int, rows: int, rounds: int, rate: float) -> Network:
-    """A network from all rows of the table, in as many tasks as hold about `rows` each."""
+    """A network from all rows of the table, in as many tasks as hold about `rows` each, which read them where they lie."""
     net, tasks = Network(), -(-n // rows)
 
     def evidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,6 +382,7 @@ def _trained(table: DataFrame, n: int, positive: int, rows: int, rounds: int, ra
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(yes[at])], names=["slot", "n", "yes"])
 
     # a row for each row of the embedding table at most
+    table = table.coalesce(tasks)
     found = table.mapInArrow(evidences, "slot long, n double, yes double").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes")).toPandas()
     held, yes = np.zeros(SLOTS), np.zeros(SLOTS)
     held[found["slot"]], yes[found["slot"]] = found["n"], found["yes"]
@@ -324,26 +392,43 @@ def _trained(table: DataFrame, n: int, positive: int, rows: int, rounds: int, ra
     for mix in range(mixes):
         some = rounds // mixes + (mix < rounds % mixes)
 
-        def trained(group: pa.Table) -> pa.Table:
-            before, order = net.state(), np.argsort(group.column("h").to_numpy(), kind="stable")
-            docs, y = _arrays(group.column("rows")), group.column("y").to_numpy().astype(np.float32)
-            net.train([docs[i] for i in order], y[order], some, rate, 7 + mix)
-            change = net.state() - before
-            net.put(before)  # a worker may have another group
-            at = np.flatnonzero(change.any(axis=1))
-            return pa.table({"slot": pa.array(at), **{c: pa.array(change[at, i].astype(np.float64)) for i, c in enumerate(columns)}})
-
-        dealt = table.groupBy(F.pmod("h", F.lit(tasks)).alias("part"))  # about `rows` documents each
-        changes = dealt.applyInArrow(trained, "slot long, " + ", ".join(f"{c} double" for c in columns)).groupBy("slot").agg(*[F.avg(c).alias(c) for c in columns]).toPandas()
+        def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            before = net.state()
+            for group in _groups(batches, rows):
+                net.put(before)
+                order = np.argsort(group.column("h").to_numpy(), kind="stable")
+                docs, y = _arrays(group.column("rows")), group.column("y").to_numpy().astype(np.float32)
+                net.train([docs[i] for i in order], y[order], some, rate, 7 + mix)
+                change = (net.state() - before) * np.float32(len(y))
+                at = np.flatnonzero(change.any(axis=1))
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.full(len(at), len(y), np.int32)), *map(pa.array, change[at].T.copy())], names=["slot", "docs", *columns])
+
+        changes = table.mapInArrow(trained, "slot int, docs int, " + ", ".join(f"{c} float" for c in columns)).groupBy("slot").agg(*[(F.sum(c) / F.sum("docs")).alias(c) for c in columns]).toPandas()
         state = net.state()
         state[changes["slot"]] += changes[columns].to_numpy(np.float32)
         net.put(state)
     return net
 
 
+def _groups(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """The rows in groups of `rows` to twice as many, less only if there are no more or the documents are long."""
+    held, docs, size = [], 0, 0
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            some = batch.slice(i, rows)
+            if held and (docs + some.num_rows > 2 * rows or size + some.nbytes > HELD):
+                yield pa.Table.from_batches(held)
+                held, docs, size = [], 0, 0
+            held.append(some)
+            docs += some.num_rows
+            size += some.nbytes
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _logits(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     rows, starts = joined(docs)
-    x, n = net.table[rows].sum(axis=1), len(rows) - REACH
+    x, n = embedded(net.table, rows), len(rows) - REACH
     return net.logits(np.concatenate([np.maximum.reduceat(sum(x[j : j + n] @ f[j] for j in range(len(f))), starts, axis=0) for f in net.filters], axis=1))
 
 

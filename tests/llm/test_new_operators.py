@@ -8,9 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 from pyspark.sql import functions as F
 
+from prepweave import tables
 from prepweave.llm import prefix_trie, resample, toxicity
 from prepweave.llm.common import drawn
 
@@ -232,6 +235,44 @@ def test_toxicity_learns_from_all_labels(spark, monkeypatch):
     assert found.filter("predicted <> toxic").count() == 0
 
 
+def test_training_leaves_documents_where_they_lie(spark, monkeypatch):
+    """No step of the training shuffles documents: only sums by row of the embedding table cross the net."""
+    texts = [" ".join(f"w{i * k % 97}" for k in range(2, 9)) + (" vile" if i % 3 == 0 else "") for i in range(120)]
+    table = spark.createDataFrame(list(zip(map(bytearray, toxicity.rows_by_text(texts)), [int(i % 3 == 0) for i in range(120)], range(120))), "rows binary, y int, h long").repartition(4)
+    plans, collected = [], type(table).toPandas
+    monkeypatch.setattr(type(table), "toPandas", lambda self: (plans.append(self._jdf.queryExecution().sparkPlan().toString()), collected(self))[1])
+    net = toxicity._trained(tables.written(table, "test"), 120, 40, 30, 12, 0.2)
+    assert len(plans) == 1 + toxicity.MIXES and not any("FlatMapGroups" in p or "Repartition" in p for p in plans)
+    logits = toxicity.Scorer(net).logits(texts)
+    assert logits[::3].min() > max(logits[1::3].max(), logits[2::3].max())
+
+
+def test_groups_are_bounded(monkeypatch):
+    """A task trains on all its documents, at most twice `rows` at a time, fewer if they are long."""
+    one = lambda i, n: pa.RecordBatch.from_pydict({"h": list(range(i, i + n)), "rows": [b"x" * 80] * n})
+    batches = [one(0, 25), one(25, 3), one(28, 10), one(38, 1), one(39, 61)]
+    for held, most in ((1 << 28, 20), (900, 10)):
+        monkeypatch.setattr(toxicity, "HELD", held)
+        groups = [g.column("h").to_pylist() for g in toxicity._groups(iter(batches), 10)]
+        assert sum(groups, []) == list(range(100)) and max(map(len, groups)) <= most
+
+
+def test_words_of_all_texts_at_once(monkeypatch):
+    """The words hashed together are those of each text, whatever the stretches; a run of letters over a stretch is several."""
+    r = random.Random(5)
+    texts = ["".join(r.choices("abÉéßСс中'’ -9\n\t𝐀", k=r.randint(0, 90))) for _ in range(300)] + [None, "", " ", "12", "a" * 64, " a" * 40]
+    plain = [regex.findall(r"\p{L}+", (t or "").lower()) for t in texts]
+    for stretch in (1 << 15, 64):
+        monkeypatch.setattr(toxicity, "STRETCH", stretch)
+        found = [np.frombuffer(x, np.uint16).reshape(-1, toxicity.PARTS).tolist() for x in toxicity.rows_by_text(texts)]
+        assert found == [[list(toxicity.slots(w)) for w in words] for words in plain]
+    assert [list(toxicity.words_of(t)) for t in texts] == plain
+    whole = {toxicity.slots(w)[:2] for words in plain for w in words}
+    assert len(whole) == len({w for words in plain for w in words})
+    found = np.frombuffer(toxicity.rows_by_text(["b " + "a" * 150])[0], np.uint16).reshape(-1, toxicity.PARTS).tolist()
+    assert found == [list(toxicity.slots(w)) for w in ("b", "a" * 64, "a" * 64, "a" * 22)]
+
+
 def test_samples_of_small_shares(spark):
     """A share far below one millionth still draws its part, and a share of 1 draws all."""
     ids = spark.range(1 << 20)
