@@ -133,6 +133,31 @@ def test_interval_nodes_are_few_and_apart(spark):
         assert len(nodes) <= 2 * (hi - lo + 1).bit_length()
 
 
+def test_few_long_intervals_do_not_widen_nodes(spark):
+    """Points are copied for the levels that most intervals need, and no node gets a large part of them."""
+    spans = spark.range(1400).selectExpr("id as i", "id * 1000 as lo", "id * 1000 + if(id % 700 = 0, 400000, 900) as hi")
+    side = spans.selectExpr("lo as __low", "hi as __high")
+    bits, highest, tasks = intervals.bins(side)
+    assert (bits, highest, tasks) == (10, 0, 1)
+    found = [r["n"] for r in side.select(intervals.nodes(F.col("__low"), F.col("__high"), bits, highest).alias("n")).collect()]
+    assert {n["level"] for nodes in found for n in nodes} == {0} and sum(map(len, found)) <= 4 * 1400
+    assert [n["node"] for n in found[700]] == list(range(700_000 >> 10, (1_100_000 >> 10) + 1))
+    long = intervals.bins(spark.range(100).selectExpr("0L as __low", "if(id < 60, 1L, 1L << 40) as __high"))
+    assert long[0] == 1 and 37 <= long[1] <= 39
+    got = intervals.range_join(spans.selectExpr("lo + 500 as at"), spans, "at", ("lo", "hi")).select("at", "i").collect()
+    assert _sorted(got) == _sorted((p * 1000 + 500, i) for p in range(1400) for i in {p, *[x for x in (0, 700) if x <= p and p * 1000 + 500 <= x * 1000 + 400_000]})
+
+
+def test_pairs_of_copies_make_small_files(spark, tmp_path):
+    """A point's pairs stand together, and copies of a point have the same list of intervals."""
+    points = spark.range(20_000).selectExpr("id as p", "(id * 7919) % 500 * 100 as at").repartition(3)
+    spans = spark.range(20_000).selectExpr("id as i", "(id * 104729) % 500 * 100 as lo", "(id * 104729) % 500 * 100 + 150 as hi").repartition(3)
+    pairs = intervals.range_join(points, spans, "at", ("lo", "hi")).select("p", "i")
+    pairs.write.parquet(f"{tmp_path}/pairs")
+    n = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert n == 20_000 * 80 - 40 * 40 and sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < n
+
+
 def test_interval_joins_of_dates_and_nothing(spark):
     days = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-01', DATE'2024-01-05'), (2, DATE'2024-01-06', DATE'2024-01-06') t(i, lo, hi)")
     points = spark.sql("SELECT * FROM VALUES (DATE'2024-01-05'), (DATE'2024-01-07'), (NULL) t(d)")
