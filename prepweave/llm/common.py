@@ -41,6 +41,12 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """Marks a side for a join by sorting. Spark takes a table of exploded or collected rows for no larger than what it is
+    made of, or than its compressed file, and so would broadcast sides of many times its own limit through the driver."""
+    return df.hint("merge")
+
+
 def drawn(share: Column | float, *key: Column | str) -> Column:
     """Whether a row belongs to a sample of so large a share, told from 63 bits of the key's hash, so that small shares of
     very many rows are told apart too."""

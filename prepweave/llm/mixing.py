@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from prepweave.llm.common import WORD, once, row_name, word_count, written
+from prepweave.llm.common import WORD, merged, once, row_name, word_count, written
 
 #: Weights of the sources in the order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -147,12 +147,12 @@ def mix(docs: DataFrame, text: str = "text", block_tokens: int = 64, shard_slots
     cut = packed.filter("size > 0").select("doc_id", F.col("__row").alias("row"), "source", "size", F.col("__offset").alias("offset"), F.explode(F.expr(f"sequence(__offset div {block_tokens}, (__offset + size - 1) div {block_tokens})")).alias("block"))
     parts = cut.select("doc_id", "row", "source", "offset", "block", F.expr(f"greatest(offset, block * {block_tokens}) - offset").alias("start"), F.expr(f"least(offset + size, (block + 1) * {block_tokens}) - greatest(offset, block * {block_tokens})").alias("words"))
     b = taken_blocks.select("shard", "pass", F.col("source").alias("__s"), F.col("block").alias("__b"))
-    pieces = parts.join(b, F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))).drop("__s", "__b")
+    pieces = parts.join(merged(b), F.col("source").eqNullSafe(F.col("__s")) & (F.col("block") == F.col("__b"))).drop("__s", "__b")
     pieces = written(pieces, "pieces")
     per_doc = pieces.groupBy("doc_id", "source", "offset").agg(F.sum("words").alias("__taken"))
     per_doc = per_doc.select(F.col("doc_id").alias("__d"), F.col("source").alias("__s"), F.col("offset").alias("__o"), "__taken")
     same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__offset") == F.col("__o")) & (F.col("size") > 0)
-    result = packed.join(per_doc, same, "left").drop("__d", "__s", "__o")
+    result = packed.join(merged(per_doc), same, "left").drop("__d", "__s", "__o")
     t = sources.select(F.col("source").alias("__s"), "source_size", "target")
     result = result.join(F.broadcast(t) if sources.count() <= 100_000 else t, F.col("source").eqNullSafe(F.col("__s")), "left")
     return result.select("doc_id", "source", F.col("__offset").alias("offset"), "size", "source_size", "target", F.coalesce("__taken", F.lit(0)).cast("long").alias("taken")), pieces

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prepweave.llm import knn, mixing, neardup, queries, site_quality, warc
-from prepweave.llm.common import shared_dir
+from prepweave.llm.common import shared_dir, written
 from prepweave.llm.components import components
 from tests.llm import brute
 
@@ -182,6 +182,20 @@ def test_mixing(which, request):
     assert all(counted.get(r["doc_id"], 0) == r["taken"] for r in found)
 
 
+def test_mixing_broadcasts_no_side_of_exploded_rows(spark, monkeypatch):
+    """A few long documents and runs of slots become very many blocks, which Spark's estimates don't show."""
+    frames = {}
+    monkeypatch.setattr(mixing, "written", lambda df, name: frames.setdefault(name, df) and written(df, name))
+    docs = spark.createDataFrame([(i, "w " * 50_000, f"s{i % 2}") for i in range(6)], "doc_id long, text string, source string")
+    mixed, pieces = mixing.mix(docs)
+    frames["documents"] = mixed.drop("source_size", "target")
+    for name in ("pieces", "documents"):
+        assert frames[name].count()
+        frames[name].collect()
+        joins = re.findall(r"\w*Join\w*", frames[name]._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0])
+        assert "SortMergeJoin" in joins[:2], (name, joins)  # above it at most the few sources
+
+
 def test_permutation_is_one(spark):
     for n in (1, 2, 7, 100):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n), F.lit("k")).alias("x")).collect()
