@@ -167,7 +167,7 @@ def mixed_texts(docs: DataFrame, pieces: DataFrame, text: str = "text") -> DataF
     others = [c for c in docs.columns if c not in ("doc_id", "source", text)]
     order = W.partitionBy("__row").orderBy(F.xxhash64(*others) if others else F.lit(0))
     # the rows of one name, in any order, meet the places that the stream gave them
-    joined = docs.withColumn("__row", row_name("doc_id", "source", text)).withColumn("__n", F.row_number().over(order) - 1).join(each, "__row")
+    joined = docs.withColumn("__row", row_name("doc_id", "source", text)).withColumn("__n", F.row_number().over(order) - 1).join(merged(each), "__row")
     joined = joined.withColumn("__runs", F.get("__each", F.col("__n"))["runs"]).filter("__runs is not null")
     take = lambda words: F.array_join(F.transform("__runs", lambda r: F.array_join(F.slice(words, (r["start"] + 1).cast("int"), r["words"].cast("int")), " ")), " ")
     return joined.withColumn(text, once(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), take)).drop("__runs", "__each", "__n", "__row")

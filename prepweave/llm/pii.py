@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prepweave.llm.common import cut_out, hits_and_gaps, row_name, small, span_text, spans, with_steps, without, written
+from prepweave.llm.common import cut_out, hits_and_gaps, merged, row_name, small, span_text, spans, with_steps, without, written
 
 #: Fixed patterns; a match that fails its test is dropped and not retried. Possessive repeats match as greedy ones do
 #: here. The look-behind (or the end of the last match, \G) skips starts inside a run that has already failed.
@@ -98,7 +98,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame | None = None, text: str
     contexts = each_text.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts")).filter(F.col("contexts") >= support)
     # terms are counted and written before they meet the candidates, of which common words are the most frequent by far
     counted = docs.select(F.explode(F.array_distinct(_terms(F.coalesce(F.col(text), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    candidates = contexts.join(entities, "entity").join(written(counted, "term-counts"), "term")
+    candidates = contexts.join(entities, "entity").join(merged(written(counted, "term-counts")), "term")
     # n(t,e) is at most n(e), so a term of more documents than this stays below the least disclosure whatever n(t,e) is
     every = float(max(total, 1))
     most = F.lit(every) * F.pow(F.col("n_entity") / F.lit(every), F.lit(float(generalise)))

@@ -188,8 +188,8 @@ def test_mixing_broadcasts_no_side_of_exploded_rows(spark, monkeypatch):
     monkeypatch.setattr(mixing, "written", lambda df, name: frames.setdefault(name, df) and written(df, name))
     docs = spark.createDataFrame([(i, "w " * 50_000, f"s{i % 2}") for i in range(6)], "doc_id long, text string, source string")
     mixed, pieces = mixing.mix(docs)
-    frames["documents"] = mixed.drop("source_size", "target")
-    for name in ("pieces", "documents"):
+    frames |= {"texts": mixing.mixed_texts(docs, pieces), "documents": mixed.drop("source_size", "target")}
+    for name in ("pieces", "texts", "documents"):
         assert frames[name].count()
         frames[name].collect()
         joins = re.findall(r"\w*Join\w*", frames[name]._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0])
