@@ -158,6 +158,18 @@ def test_pairs_of_copies_make_small_files(spark, tmp_path):
     assert n == 20_000 * 80 - 40 * 40 and sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < n
 
 
+def test_pairs_of_many_copies_make_small_files(spark, tmp_path):
+    """Files stay small when a point's list of intervals is as long as a Parquet page; chunks hold each point once."""
+    points = spark.range(1_501).selectExpr("id as p", "id % 7 as at").repartition(3)
+    spans = spark.range(4_003).selectExpr("id as i", "id % 5 as lo", "id % 5 + 4 as hi").repartition(3)
+    intervals.range_join(points, spans, "at", ("lo", "hi")).select("p", "i").write.parquet(f"{tmp_path}/pairs")
+    found = spark.read.parquet(f"{tmp_path}/pairs")
+    want = [(p, i) for p in range(1_501) for i in range(4_003) if i % 5 <= p % 7 <= i % 5 + 4]
+    got = found.agg(F.count("*"), F.count_distinct("p", "i"), F.sum(F.expr("p * 5000 + i"))).first()
+    assert tuple(got) == (len(want), len(want), sum(p * 5000 + i for p, i in want))
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < len(want) / 4
+
+
 def test_interval_joins_of_dates_and_nothing(spark):
     days = spark.sql("SELECT * FROM VALUES (1, DATE'2024-01-01', DATE'2024-01-05'), (2, DATE'2024-01-06', DATE'2024-01-06') t(i, lo, hi)")
     points = spark.sql("SELECT * FROM VALUES (DATE'2024-01-05'), (DATE'2024-01-07'), (NULL) t(d)")
